@@ -46,7 +46,7 @@ def iso(day: str) -> str:
 ROTATED = f"""
 raw_files AS (
   SELECT event_type AS service, 'main' AS category, 'h' || (user_id % 4) AS host,
-         max(epoch_ms(ts)) AS label_ms,
+         max((epoch_us(ts) // 1000)) AS label_ms,
          CAST(sum(length(props) + length(event_type) + 20) AS BIGINT) AS size_bytes
   FROM events GROUP BY event_type, user_id % 4, event_id // {t.EVENTS_PER_FILE}),
 files AS (
@@ -163,8 +163,8 @@ rolled AS (
 LISTING = f"""
 named AS (
   SELECT event_id, 'h' || (user_id % 4) AS agent,
-         '@' || {encode('epoch_ms(ts)')} || '.s' AS file_name,
-         '@' || {encode('epoch_ms(ts)')} || '.u' AS part_name
+         '@' || {encode('(epoch_us(ts) // 1000)')} || '.s' AS file_name,
+         '@' || {encode('(epoch_us(ts) // 1000)')} || '.u' AS part_name
   FROM events),
 local AS (
   SELECT agent, file_name, event_id FROM named
@@ -191,7 +191,7 @@ candidates AS (
 ATTEMPTS = f"""
 attempts AS (
   SELECT 'h' || (user_id % 4) AS agent, event_id // 200 AS cycle, event_id,
-         '@' || {encode('epoch_ms(ts)')} || '.s' AS file_name, event_id % 11 <> 0 AS ok
+         '@' || {encode('(epoch_us(ts) // 1000)')} || '.s' AS file_name, event_id % 11 <> 0 AS ok
   FROM events),
 flagged AS (
   SELECT *, NOT ((ok AND event_id % 13 <> 0) OR event_id % 1001 = 0) AS gone FROM attempts)"""
@@ -212,10 +212,10 @@ flags AS (
 
 CHANNEL = """
 ev AS (
-  SELECT 'h' || (user_id % 4) AS agent, epoch_ms(ts) // 1000 AS second, event_id * 2 AS seq,
+  SELECT 'h' || (user_id % 4) AS agent, epoch_us(ts) // 1000000 AS second, event_id * 2 AS seq,
          'poll' AS kind FROM events
   UNION ALL
-  SELECT 'h' || (user_id % 4), epoch_ms(ts) // 1000, event_id * 2 + 1, 'heartbeat' FROM events
+  SELECT 'h' || (user_id % 4), epoch_us(ts) // 1000000, event_id * 2 + 1, 'heartbeat' FROM events
   WHERE event_type IN ('click', 'view')),
 numbered AS (
   SELECT *, row_number() OVER (PARTITION BY agent ORDER BY second, seq) AS n FROM ev),
@@ -256,7 +256,7 @@ MERGED = f"""
   FROM doc_lines l JOIN units u USING (service, category, host)
   WHERE l.label BETWEEN u.first_label AND u.last_label"""
 
-ORDER_MS = "epoch_ms(o_orderdate)"
+ORDER_MS = "(epoch_us(o_orderdate) // 1000)"
 ORDER_LABEL = encode(ORDER_MS, leap(ORDER_MS))
 
 
@@ -303,7 +303,7 @@ WITH x AS (SELECT o_orderkey, {ORDER_LABEL} AS label FROM orders),
 y AS (SELECT *, {shifted_ms('label')} AS shifted FROM x)
 SELECT o_orderkey, label, shifted - {leap('shifted')} * 1000 AS label_ms FROM y""",
         "prj3_time_label": f"""
-SELECT 'events' AS origin, event_id AS id, {encode('epoch_ms(ts)')} AS label FROM events
+SELECT 'events' AS origin, event_id AS id, {encode('(epoch_us(ts) // 1000)')} AS label FROM events
 UNION ALL SELECT 'orders', o_orderkey, {ORDER_LABEL} FROM orders""",
         "jn4_leap_asof": f"""
 SELECT o_orderkey, CAST({leap(ORDER_MS)} AS BIGINT) AS leap_seconds FROM orders""",
@@ -354,7 +354,7 @@ SELECT * FROM x WHERE line <> ''""",
             ARCHIVE, f"SELECT {iso('dir_date')} AS dir_date, file_name FROM listing "
                      "WHERE dir_date BETWEEN DATE '2024-01-28' AND DATE '2024-01-31'"),
         "flt7_elapsed": f"""
-SELECT event_id, ({AS_OF_MS} - epoch_ms(ts)) // 1000 >= {t.SHIP_INTERVAL} AS due FROM events""",
+SELECT event_id, ({AS_OF_MS} - (epoch_us(ts) // 1000)) // 1000 >= {t.SHIP_INTERVAL} AS due FROM events""",
         "flt8_decision": _with(PLAN, f"SELECT {dir_cols}, decision, ships FROM plan"),
         "flt9_tail": _with(
             EVENT_LINES, "SELECT topic, line FROM routed WHERE starts_with(topic, 'shop.errors') "

@@ -156,7 +156,8 @@ def _archived(spark: SparkSession, root: str) -> DataFrame:
 def snk3_delete(spark, sf):
     root = t.document_spool(spark, sf)
     found = inventory.usable(files.rotated_files(spark, root).drop("dir_name", "dir_ok"))
-    limits = found.select(*DIR_KEYS).distinct().withColumn("limit_ms", F.lit(t.AS_OF_MS))
+    limits = found.select(*DIR_KEYS).distinct().withColumn(
+        "limit_label", F.lit(labels.first_label_at(t.AS_OF_MS)))
     archive.delete_files(retention.manifest(found, limits, min_bytes=2000))
     return files.rotated_files(spark, root).select(*DIR_KEYS, "file_name")
 
@@ -449,7 +450,8 @@ def agg8_collapse(spark, sf):
 def _size_bound(spark: SparkSession, sf: str) -> DataFrame:
     """Retention with half of each directory as its floor."""
     found = t.usable_files(spark, sf)
-    limits = inventory.ready_bytes(found).withColumn("limit_ms", F.lit(SIZE_BOUND_MS))
+    limits = inventory.ready_bytes(found).withColumn(
+        "limit_label", F.lit(labels.first_label_at(SIZE_BOUND_MS)))
     return retention.manifest(found, limits, min_bytes=F.expr("ready_bytes div 2"))
 
 
@@ -545,7 +547,7 @@ def job1_ship_plan(spark, sf):
 def job2_outstanding(spark, sf):
     found, plan = _plan(spark, sf)
     return ship.outstanding(found, plan, t.AS_OF).select(
-        *DIR_KEYS, "file_name", "size_bytes", "label_ms")
+        *DIR_KEYS, "file_name", "size_bytes", labels.decode_ms(F.col("label")).alias("label_ms"))
 
 
 def _merged(spark: SparkSession, sf: str) -> DataFrame:

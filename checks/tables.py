@@ -33,8 +33,7 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     })
 
 
-def rotated_files(spark: SparkSession, sf: str) -> DataFrame:
-    """service, category, host, file_name, size_bytes: one file per 64 events and directory."""
+def _rotated(spark: SparkSession, sf: str) -> DataFrame:
     grouped = events(spark, sf).groupBy(
         F.col("event_type").alias("service"), "host",
         F.expr(f"event_id div {EVENTS_PER_FILE}").alias("_chunk"),
@@ -43,9 +42,16 @@ def rotated_files(spark: SparkSession, sf: str) -> DataFrame:
         F.sum(F.length("props") + F.length("event_type") + 20).cast("bigint").alias("size_bytes"),
     )
     return grouped.select(
-        "service", F.lit("main").alias("category"), "host",
-        F.concat(F.lit("@"), labels.encode_ms(F.col("ms")), F.lit(".s")).alias("file_name"),
-        "size_bytes",
+        "service", F.lit("main").alias("category"), "host", "ms",
+        labels.encode_ms(F.col("ms")).alias("label"), "size_bytes",
+    )
+
+
+def rotated_files(spark: SparkSession, sf: str) -> DataFrame:
+    """service, category, host, file_name, size_bytes: one file per 64 events and directory."""
+    return _rotated(spark, sf).select(
+        "service", "category", "host",
+        F.concat(F.lit("@"), "label", F.lit(".s")).alias("file_name"), "size_bytes",
     )
 
 
@@ -53,16 +59,16 @@ def usable_files(spark: SparkSession, sf: str) -> DataFrame:
     return inventory.usable(rotated_files(spark, sf))
 
 
-def archive_listing(spark: SparkSession, sf: str) -> DataFrame:
-    """dir_date, file_name: what has been shipped so far.
+def _shipped(spark: SparkSession, sf: str) -> DataFrame:
+    """What has been shipped so far: dir_date, name_date, service, host, taistamp.
 
     signup and (purchase, h3) never shipped; others lag by 0 to 2 days; (view, h0)
     files up to 2024-01-05 went out again in the newest directory.
     """
-    day = F.to_date(F.timestamp_millis("label_ms"))
+    day = F.to_date(F.timestamp_millis("ms"))
     lag = F.when(F.col("service") == "error", 2).when(F.col("service") == "click", 0).otherwise(1)
     again = (F.col("service") == "view") & (F.col("host") == "h0") & (day <= F.lit("2024-01-05"))
-    files = usable_files(spark, sf).where(
+    files = _rotated(spark, sf).where(
         (F.col("service") != "signup")
         & ~((F.col("service") == "purchase") & (F.col("host") == "h3"))
         & (day <= F.date_sub(F.lit("2024-01-30").cast("date"), lag))
@@ -70,16 +76,24 @@ def archive_listing(spark: SparkSession, sf: str) -> DataFrame:
     return files.select(
         F.when(again, F.lit("2024-01-31").cast("date")).otherwise(F.date_add(day, 1))
         .alias("dir_date"),
-        names.archive_name(F.col("label"), F.col("service"), F.col("host")).alias("file_name"),
+        day.alias("name_date"), "service", "host", F.col("label").alias("taistamp"),
+    )
+
+
+def archive_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """dir_date, file_name of everything shipped so far."""
+    return _shipped(spark, sf).select(
+        "dir_date",
+        F.concat_ws(",", F.date_format("name_date", "yyyy,MM,dd"), "service", "host",
+                    F.concat("taistamp", F.lit(".seq"))).alias("file_name"),
     )
 
 
 def archive(spark: SparkSession, sf: str) -> DataFrame:
     """The parsed catalogue without the (view, h0) re-shipment case."""
-    parsed = names.with_archive_fields(archive_listing(spark, sf))
-    return parsed.where(
-        "name_ok AND NOT (service = 'view' AND host = 'h0' AND dir_date = '2024-01-31')"
-    ).drop("name_ok")
+    return _shipped(spark, sf).where(
+        "NOT (service = 'view' AND host = 'h0' AND dir_date = '2024-01-31')"
+    )
 
 
 def spoiled_listing(spark: SparkSession, sf: str) -> DataFrame:

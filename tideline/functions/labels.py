@@ -56,24 +56,44 @@ def _epoch_ms(day: str) -> int:
     return int(datetime.fromisoformat(day).replace(tzinfo=timezone.utc).timestamp()) * 1000
 
 
+def _raw_label(shifted_ms: int) -> str:
+    """Label text of an already leap-shifted instant."""
+    seconds, ms = divmod(shifted_ms, 1000)
+    return f"{seconds + TAI_BASE:016x}{ms * 1_000_000:08x}"
+
+
+def _offset_at(ms: int, leap_table: LeapTable) -> int:
+    return next((off for at, off in _newest_first(leap_table) if at < ms), 0)
+
+
+def _newest_first(leap_table: LeapTable) -> list[tuple[int, int]]:
+    return sorted(((_epoch_ms(day), off) for day, off in leap_table), reverse=True)
+
+
 def leap_offset(ms: Column, leap_table: LeapTable = LEAP_TABLE) -> Column:
     """JN4: the offset of the latest entry strictly before ``ms``, else 0.
 
     The table is a short constant, so the as-of lookup is a CASE with the newest
     entry first: no join, no shuffle, and recent data stops at the first test.
     """
-    newest_first = sorted(((_epoch_ms(day), off) for day, off in leap_table), reverse=True)
     offset = F.lit(0)
-    for at, off in reversed(newest_first):
+    for at, off in reversed(_newest_first(leap_table)):
         offset = F.when(ms > F.lit(at), F.lit(off)).otherwise(offset)
     return offset
 
 
+def _label_offset(label: Column, leap_table: LeapTable) -> Column:
+    """JN4 on the shifted instant a label spells, by comparing the text itself."""
+    offset = F.lit(0)
+    for at, off in reversed(_newest_first(leap_table)):
+        offset = F.when(label >= F.lit(_raw_label(at + 1)), F.lit(off)).otherwise(offset)
+    return offset
+
+
 def encode_ms(ms: Column, leap_table: LeapTable = LEAP_TABLE) -> Column:
     """PRJ3 on epoch milliseconds."""
-    shifted = ms + leap_offset(ms, leap_table) * F.lit(1000)
-    seconds = F.floor(shifted / F.lit(1000)).cast("bigint")
-    nanos = F.pmod(shifted, F.lit(1000)).cast("bigint") * F.lit(1_000_000)
+    seconds = F.floor(ms / F.lit(1000)).cast("bigint") + leap_offset(ms, leap_table)
+    nanos = F.pmod(ms, F.lit(1000)).cast("bigint") * F.lit(1_000_000)
     return F.concat(
         F.lpad(F.lower(F.hex(seconds + F.lit(TAI_BASE))), 16, "0"),
         F.lpad(F.lower(F.hex(nanos)), 8, "0"),
@@ -92,11 +112,12 @@ def decode_ms(label: Column, leap_table: LeapTable = LEAP_TABLE) -> Column:
     before (and at) a leap boundary this yields one second less than was
     encoded; that is the defined behaviour, see the tests.
     """
-    valid = label.rlike(LABEL_PATTERN)
     seconds = F.conv(F.substring(label, 1, 16), 16, 10).try_cast("bigint") - F.lit(TAI_BASE)
     nanos = F.conv(F.substring(label, 17, 8), 16, 10).try_cast("bigint")
-    shifted = seconds * F.lit(1000) + F.floor(nanos / F.lit(1_000_000)).cast("bigint")
-    return F.when(valid, shifted - leap_offset(shifted, leap_table) * F.lit(1000))
+    whole = (seconds - _label_offset(label, leap_table)) * F.lit(1000)
+    return F.when(
+        label.rlike(LABEL_PATTERN), whole + F.floor(nanos / F.lit(1_000_000)).cast("bigint")
+    )
 
 
 def decode(label: Column, leap_table: LeapTable = LEAP_TABLE) -> Column:
@@ -104,6 +125,27 @@ def decode(label: Column, leap_table: LeapTable = LEAP_TABLE) -> Column:
     return F.timestamp_millis(decode_ms(label, leap_table))
 
 
+def first_label_at(ms: int, leap_table: LeapTable = LEAP_TABLE) -> str:
+    """The smallest label that decodes to ``ms`` or later.
+
+    Time limits become text constants, so file predicates compare the label (or the
+    file name) itself and reach the scan.
+    """
+    offsets = {0, *(off for _, off in leap_table)}
+    fits = [
+        ms + 1000 * off for off in offsets
+        if ms + 1000 * off - 1000 * _offset_at(ms + 1000 * off, leap_table) >= ms
+    ]
+    return _raw_label(min(fits))
+
+
+def floor_to_ms(label: Column) -> Column:
+    """The label without its part below a millisecond, which decoding ignores."""
+    nanos = F.conv(F.substring(label, 17, 8), 16, 10).try_cast("bigint")
+    whole = nanos - F.pmod(nanos, F.lit(1_000_000))
+    return F.concat(F.substring(label, 1, 16), F.lpad(F.lower(F.hex(whole)), 8, "0"))
+
+
 def label_of(file_name: Column) -> Column:
     """PRJ1: drop the first and the last two characters of a rotated name."""
     return F.substr(file_name, F.lit(2), F.greatest(F.length(file_name) - 3, F.lit(0)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,20 +16,29 @@ MAX_LOOK_BACK_DAYS = 3
 DAY_MS = 86_400_000
 
 
+def clock_ms(as_of: str) -> int:
+    """The fixed clock of a run, UTC. Operators never read the wall clock."""
+    at = datetime.fromisoformat(as_of).replace(tzinfo=timezone.utc)
+    return (at - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(milliseconds=1)
+
+
 def as_of_ms(as_of: str) -> Column:
-    """The fixed clock of a run. Operators never read the wall clock."""
-    return F.unix_millis(F.lit(as_of).cast("timestamp"))
+    return F.lit(clock_ms(as_of)).cast("bigint")
 
 
-def enrich(files: DataFrame, leap_table: labels.LeapTable = labels.LEAP_TABLE) -> DataFrame:
-    """PRJ1 + PRJ2: add label, label_ms and ``name_ok`` to an inventory."""
+def enrich(files: DataFrame) -> DataFrame:
+    """PRJ1: add label and ``name_ok`` to an inventory."""
     ok = F.coalesce(labels.is_rotated_name(F.col("file_name")), F.lit(False))
-    label = F.when(ok, labels.label_of(F.col("file_name")))
     return files.withColumns(
-        {"name_ok": ok, "label": label, "label_ms": labels.decode_ms(label, leap_table)}
+        {"name_ok": ok, "label": F.when(ok, labels.label_of(F.col("file_name")))}
     )
 
 
+def with_time(files: DataFrame, leap_table: labels.LeapTable = labels.LEAP_TABLE) -> DataFrame:
+    """PRJ2: add the event time of each label in epoch milliseconds."""
+    return files.withColumn("label_ms", labels.decode_ms(F.col("label"), leap_table))
+
+
 def usable(files: DataFrame, exclude: Sequence[str] = predicates.HIDDEN_FILES,
            strict: bool = False) -> DataFrame:
     """FLT1, then enrichment, then only well named files.

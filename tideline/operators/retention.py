@@ -69,19 +69,19 @@ def manifest(files: DataFrame, limits: DataFrame, keys: Sequence[str] = DIR_KEYS
              min_bytes: int | Column = MIN_BYTES) -> DataFrame:
     """W1: every file with ``to_delete``.
 
-    ``limits`` has one row per directory with ``limit_ms`` (and, when
-    ``min_bytes`` is a Column, whatever that column reads).
+    ``limits`` has one row per directory with ``limit_label``, the first label too
+    young to go (and, when ``min_bytes`` is a Column, whatever that column reads).
     """
     keys = list(keys)
     floor = min_bytes if isinstance(min_bytes, Column) else F.lit(min_bytes)
-    floors = limits.select(*keys, "limit_ms", floor.cast("bigint").alias("min_bytes"))
+    floors = limits.select(*keys, "limit_label", floor.cast("bigint").alias("min_bytes"))
     newest = files.groupBy(*keys).agg(F.max("label").alias("newest_label"))
     cuts = suffix_cut(files, floors, keys)
     per_key = floors.join(newest, keys, "left").join(cuts, keys, "left")
     deletable = (
         (F.col("label") <= F.col("cut_label"))
         & (F.col("label") < F.col("newest_label"))
-        & (F.col("label_ms") < F.col("limit_ms"))
+        & (F.col("label") < F.col("limit_label"))
     )
     return join_keyed(files, per_key, keys, "left").select(
         *files.columns, F.coalesce(deletable, F.lit(False)).alias("to_delete")

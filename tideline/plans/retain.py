@@ -9,27 +9,26 @@ from pyspark.sql import functions as F
 
 from tideline.functions import labels
 from tideline.operators import retention
-from tideline.operators.inventory import DAY_MS, DIR_KEYS, MAX_LOOK_BACK_DAYS, as_of_ms
+from tideline.operators.inventory import DAY_MS, DIR_KEYS, MAX_LOOK_BACK_DAYS, clock_ms
 
 
 def cleanup_limits(files: DataFrame, units: DataFrame, as_of: str,
                    max_look_back_days: int = MAX_LOOK_BACK_DAYS,
                    dir_keys: Sequence[str] = DIR_KEYS,
                    leap_table: labels.LeapTable = labels.LEAP_TABLE) -> DataFrame:
-    """Per directory the time before which files may go.
+    """Per directory the label from which files must stay.
 
     After a shipment: the time of the last shipped file. After anything else,
     throttling and nothing-to-sync included: a day more than the look-back ago.
     """
     keys = list(dir_keys)
-    shipped = units.select(
-        *keys, labels.decode_ms(F.col("last_label"), leap_table).alias("_shipped_ms")
-    )
-    fallback = as_of_ms(as_of) - F.lit((max_look_back_days + 1) * DAY_MS)
+    shipped = units.select(*keys, labels.floor_to_ms(F.col("last_label")).alias("_shipped"))
+    days_ago = clock_ms(as_of) - (max_look_back_days + 1) * DAY_MS
+    fallback = F.lit(labels.first_label_at(days_ago, leap_table))
     return (
         files.groupBy(*keys).agg(F.sum("size_bytes").alias("total_bytes"))
         .join(shipped, keys, "left")
-        .select(*keys, "total_bytes", F.coalesce("_shipped_ms", fallback).alias("limit_ms"))
+        .select(*keys, "total_bytes", F.coalesce("_shipped", fallback).alias("limit_label"))
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import labels, names, predicates
 from tideline.operators import inventory, watermark
-from tideline.operators.inventory import DAY_MS, DIR_KEYS, KEYS, MAX_LOOK_BACK_DAYS, as_of_ms
+from tideline.operators.inventory import DAY_MS, DIR_KEYS, KEYS, MAX_LOOK_BACK_DAYS, as_of_ms, clock_ms
 from tideline.operators.joins import join_keyed
 
 SHIP_INTERVAL_SECONDS = 3600
@@ -30,8 +30,8 @@ def ship_plan(files: DataFrame, archive: DataFrame, as_of: str,
     """
     state = inventory.directory_state(files, as_of, max_look_back_days, dir_keys, leap_table)
     marked = watermark.service_watermarks(state, archive, as_of, keys, max_look_back_days)
-    last_ms = labels.decode_ms(F.col("last_taistamp"), leap_table)
-    now = as_of_ms(as_of)
+    marked = marked.withColumn("_last_ms", labels.decode_ms(F.col("last_taistamp"), leap_table))
+    last_ms, now = F.col("_last_ms"), as_of_ms(as_of)
     decision = predicates.ship_decision(
         last_ms, now, interval_seconds, F.col("ready_bytes"), max_ready_bytes
     )
@@ -49,10 +49,15 @@ def ship_plan(files: DataFrame, archive: DataFrame, as_of: str,
     )
 
 
-def age_limit_ms(as_of: str, max_look_back_days: int = MAX_LOOK_BACK_DAYS) -> Column:
+def age_limit_ms(as_of: str, max_look_back_days: int = MAX_LOOK_BACK_DAYS) -> int:
     """Midnight of the day ``max_look_back_days`` + 1 days before the clock."""
-    midnight = F.unix_millis(F.date_trunc("day", F.lit(as_of).cast("timestamp")))
-    return midnight - F.lit((max_look_back_days + 1) * DAY_MS)
+    return clock_ms(as_of) // DAY_MS * DAY_MS - (max_look_back_days + 1) * DAY_MS
+
+
+def age_limit_label(as_of: str, max_look_back_days: int = MAX_LOOK_BACK_DAYS,
+                    leap_table: labels.LeapTable = labels.LEAP_TABLE) -> str:
+    """The age limit as a constant label."""
+    return labels.first_label_at(age_limit_ms(as_of, max_look_back_days), leap_table)
 
 
 def with_plan(files: DataFrame, plan: DataFrame,
@@ -77,10 +82,10 @@ def outstanding(files: DataFrame, plan: DataFrame, as_of: str,
             "last_taistamp", F.greatest("last_taistamp", "ledger_label")
         )
     fresh = F.coalesce(F.col("label") > F.col("last_taistamp"), F.lit(True))
+    young = files.where(F.col("label") >= age_limit_label(as_of, max_look_back_days))
     return (
-        with_plan(files, plan, dir_keys)
-        .where(F.col("ships") & fresh
-               & (F.col("label_ms") >= age_limit_ms(as_of, max_look_back_days)))
+        with_plan(young, plan.where("ships"), dir_keys)
+        .where(fresh)
         .drop("ships", "last_taistamp")
     )
 
@@ -90,7 +95,7 @@ def late_files(files: DataFrame, plan: DataFrame, as_of: str,
                dir_keys: Sequence[str] = DIR_KEYS) -> DataFrame:
     """STR4: files that can never ship any more, with the reason."""
     reason = F.when(F.col("label") <= F.col("last_taistamp"), "behind_watermark").when(
-        F.col("label_ms") < age_limit_ms(as_of, max_look_back_days), "too_old"
+        F.col("label") < age_limit_label(as_of, max_look_back_days), "too_old"
     )
     return (
         with_plan(files, plan, dir_keys)

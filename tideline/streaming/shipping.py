@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tideline.functions import labels
 from tideline.operators import inventory
 from tideline.operators.inventory import DIR_KEYS, MAX_LOOK_BACK_DAYS
 from tideline.plans import compact, rounds, ship
@@ -32,7 +33,7 @@ def seen_files(spark: SparkSession, state_root: str, as_of: str,
     The source's checkpoint only knows which files were seen; held-back ones live
     here, partitioned by label day so that a round reads the look-back only.
     """
-    oldest = F.to_date(F.timestamp_millis(ship.age_limit_ms(as_of, max_look_back_days)))
+    oldest = F.to_date(F.timestamp_millis(F.lit(ship.age_limit_ms(as_of, max_look_back_days))))
     seen = spark.read.schema(SEEN_SCHEMA).parquet(f"{state_root}/seen")
     return seen.where(F.col("day").isNull() | (F.col("day") >= oldest)).drop("batch_id", "day")
 
@@ -62,7 +63,7 @@ def start_shipping(spark: SparkSession, spool: str, archive_root: str, state_roo
         session = batch.sparkSession
         as_of = clock(batch_id)
         fresh = batch.where("file_name IS NOT NULL")
-        day = F.to_date(F.timestamp_millis(F.col("label_ms")))
+        day = F.to_date(labels.decode(F.col("label")))
         (
             inventory.enrich(fresh)
             .select(*DIR_KEYS, "file_name", "size_bytes", day.alias("day"))
