@@ -12,6 +12,7 @@ from checks import tables as t
 from tideline.functions import labels, names, predicates, telemetry, text
 from tideline.operators import errors, failover, gap, inventory, retention, rollup, watermark
 from tideline.operators.inventory import DIR_KEYS, KEYS
+from tideline.operators.joins import settled
 from tideline.plans import catalogue, compact, retain, route, runlog, ship
 from tideline.session import scratch_dir, use_utc
 from tideline.sources import archive, files, streams
@@ -317,8 +318,10 @@ def flt4_service_match(spark, sf):
         services.join(placed, KEYS).select(*DIR_KEYS, "dir_date", "file_name"), "dir_date")
 
 
-def _plan(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    found = t.usable_files(spark, sf)
+def _plan(spark: SparkSession, sf: str, keep: Callable = lambda df: df
+          ) -> tuple[DataFrame, DataFrame]:
+    """Inventory and plan; ``keep`` may write out an inventory that is read often."""
+    found = keep(t.usable_files(spark, sf))
     return found, ship.ship_plan(
         found, t.archive(spark, sf), t.AS_OF, t.SHIP_INTERVAL, t.size_limit(found))
 
@@ -449,7 +452,7 @@ def agg8_collapse(spark, sf):
 
 def _size_bound(spark: SparkSession, sf: str) -> DataFrame:
     """Retention with half of each directory as its floor."""
-    found = t.usable_files(spark, sf)
+    found = settled(t.usable_files(spark, sf))
     limits = inventory.ready_bytes(found).withColumn(
         "limit_label", F.lit(labels.first_label_at(SIZE_BOUND_MS)))
     return retention.manifest(found, limits, min_bytes=F.expr("ready_bytes div 2"))
@@ -563,7 +566,7 @@ def job3_merged_lines(spark, sf):
 
 @query
 def job4_retention(spark, sf):
-    found, plan = _plan(spark, sf)
+    found, plan = _plan(spark, sf, settled)
     units = compact.batches(ship.outstanding(found, plan, t.AS_OF))
     return retain.retention_manifest(
         found, units, t.AS_OF, min_bytes=F.expr("total_bytes div 2")

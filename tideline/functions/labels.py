@@ -76,18 +76,18 @@ def leap_offset(ms: Column, leap_table: LeapTable = LEAP_TABLE) -> Column:
     The table is a short constant, so the as-of lookup is a CASE with the newest
     entry first: no join, no shuffle, and recent data stops at the first test.
     """
-    offset = F.lit(0)
-    for at, off in reversed(_newest_first(leap_table)):
-        offset = F.when(ms > F.lit(at), F.lit(off)).otherwise(offset)
-    return offset
+    case = F
+    for at, off in _newest_first(leap_table):
+        case = case.when(ms > F.lit(at), F.lit(off))
+    return case.otherwise(F.lit(0))
 
 
 def _label_offset(label: Column, leap_table: LeapTable) -> Column:
     """JN4 on the shifted instant a label spells, by comparing the text itself."""
-    offset = F.lit(0)
-    for at, off in reversed(_newest_first(leap_table)):
-        offset = F.when(label >= F.lit(_raw_label(at + 1)), F.lit(off)).otherwise(offset)
-    return offset
+    case = F
+    for at, off in _newest_first(leap_table):
+        case = case.when(label >= F.lit(_raw_label(at + 1)), F.lit(off))
+    return case.otherwise(F.lit(0))
 
 
 def encode_ms(ms: Column, leap_table: LeapTable = LEAP_TABLE) -> Column:

@@ -20,48 +20,60 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.operators.inventory import DIR_KEYS
-from tideline.operators.joins import join_keyed
+from tideline.operators.joins import join_keyed, join_measured, measured
 
 MIN_BYTES = 1024 * 1024
-# Hex digits kept per step: 4096 s, 1 s, single label.
+# Hex digits kept per step: 4096 s, 1 s, single label. A step is skipped when no
+# directory has more files than LEAF_FILES left to look at.
 PREFIX_WIDTHS = (13, 16, 24)
+LEAF_FILES = 1_000_000
 
 
 def suffix_cut(files: DataFrame, floors: DataFrame, keys: Sequence[str] = DIR_KEYS,
-               widths: Sequence[int] = PREFIX_WIDTHS) -> DataFrame:
+               widths: Sequence[int] = PREFIX_WIDTHS, leaf_files: int = LEAF_FILES) -> DataFrame:
     """Per key the greatest label whose suffix sum exceeds ``min_bytes``.
 
     ``floors`` has one row per key with ``min_bytes``. Keys whose total does not
     exceed the floor are absent. ``widths`` must end with the label length.
     """
     keys = list(keys)
-    state = floors.select(*keys, "min_bytes", F.lit(0).cast("bigint").alias("_after"),
-                          F.lit("").alias("_prefix"))
     newer = (
         Window.partitionBy(*keys)
         .orderBy(F.col("_part").desc())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    done = 0
-    for width in widths:
-        part = F.substring("label", 1, width)
-        sized = files.select(*keys, F.substring("label", 1, done).alias("_prefix"),
-                             part.alias("_part"), "size_bytes")
-        scope = join_keyed(sized, state, [*keys, "_prefix"], "left_semi")
-        sums = scope.groupBy(*keys, "_part").agg(F.sum("size_bytes").alias("_bytes"))
-        running = sums.join(state, keys).withColumn(
+
+    def crossing(scope: DataFrame, state: DataFrame, width: int) -> DataFrame:
+        """Per key the greatest prefix still above the floor, and what lies after it."""
+        sums = scope.groupBy(*keys, F.substring("label", 1, width).alias("_part")).agg(
+            F.sum("size_bytes").alias("_bytes"), F.count(F.lit(1)).alias("_files")
+        )
+        left = sums.join(state, keys).withColumn(
             "_left", F.col("_after") + F.sum("_bytes").over(newer)
         )
-        # The greatest prefix still above the floor is the crossing one.
-        state = (
-            running.where(F.col("_left") > F.col("min_bytes"))
+        return (
+            left.where(F.col("_left") > F.col("min_bytes"))
             .groupBy(*keys, "min_bytes")
-            .agg(F.max(F.struct("_part", (F.col("_left") - F.col("_bytes")).alias("_after")))
-                 .alias("_cross"))
-            .select(*keys, "min_bytes", F.col("_cross._after").alias("_after"),
-                    F.col("_cross._part").alias("_prefix"))
+            .agg(F.max(F.struct("_part", (F.col("_left") - F.col("_bytes")).alias("_after"),
+                                "_files")).alias("_at"))
+            .select(*keys, "min_bytes", F.col("_at._after").alias("_after"),
+                    F.col("_at._part").alias("_prefix"), F.col("_at._files").alias("_files"))
         )
-        done = width
+
+    last = widths[-1]
+    start = floors.select(*keys, "min_bytes", F.lit(0).cast("bigint").alias("_after"))
+    state = crossing(files, start, widths[0])
+    done, rest = widths[0], list(widths[1:])
+    while done != last:
+        table, size = measured(state)
+        most = table.agg(F.max("_files")).first()[0] or 0
+        width = last if most <= leaf_files else rest[0]
+        rest = [w for w in rest if w > width]
+        inside = files.select(*keys, "label", "size_bytes",
+                              F.substring("label", 1, done).alias("_prefix"))
+        scope = join_measured(inside, (table.select(*keys, "_prefix"), size),
+                              [*keys, "_prefix"], "left_semi")
+        state, done = crossing(scope, table.drop("_prefix", "_files"), width), width
     return state.select(*keys, F.col("_prefix").alias("cut_label"))
 
 
