@@ -28,7 +28,8 @@ def put(root, directory, ms, body, suffix=".s"):
 def touch(root, *parts):
     path = os.path.join(root, *parts)
     os.makedirs(os.path.dirname(path), exist_ok=True)
-    open(path, "wb").close()
+    with open(path, "wb") as out:
+        out.write(b"x")
 
 
 def in_order(lines):
@@ -43,7 +44,7 @@ def test_inventory_of_a_spool(spark, tmp_path):
     touch(root, "not-a-service", "x")
     found = files.rotated_files(spark, root)
     good = found.where("dir_ok").select("service", "host", "file_name", "size_bytes").collect()
-    assert sorted(map(tuple, good)) == [("svc", "h1", name, 5), ("svc", "h1", "current", 0)]
+    assert sorted(map(tuple, good)) == [("svc", "h1", name, 5), ("svc", "h1", "current", 1)]
     assert found.where("NOT dir_ok").count() == 1
     dirs = inventory.service_dirs(found.select("dir_name"))
     assert {(r.dir_name, r.dir_ok) for r in dirs.collect()} == {
@@ -161,18 +162,18 @@ def test_next_round_ships_only_what_is_new(spark, tmp_path):
     assert marks["a"] == model.encode(NOW)
 
 
-def test_silent_service_does_not_ship_twice(spark, tmp_path):
+@pytest.mark.parametrize("parity", [False, True])
+def test_silent_service_ships_twice_only_in_parity(spark, tmp_path, parity):
     root, out = str(tmp_path / "spool"), str(tmp_path / "archive")
     put(root, "s@main@h", NOW - 10 * HOUR, b"one\n")
     rounds.run_round(spark, root, out, AS_OF, "r1")
-    later = "2024-02-03 23:00:00"
+    later = "2024-02-04 23:00:00"
     put(root, "s@main@h", inventory.clock_ms(later), b"two\n")
-    plain = rounds.run_round(spark, root, str(tmp_path / "none"), later, "x")
-    assert plain.units.first().n_files == 2
-    parity = rounds.run_round(spark, root, out, later.replace("02-03", "02-04"), "p", parity=True)
-    assert parity.outstanding.count() == 1
-    rounds.run_round(spark, root, out, later, "r2")
-    assert sorted(lines_by_dir(spark, out)["s@main@h"]) in (["one", "two"], ["one", "two", "two"])
+    done = rounds.run_round(spark, root, out, later, "r2", parity=parity)
+    assert done.plan.first().decision == "first"
+    assert done.outstanding.count() == (2 if parity else 1)
+    assert sorted(lines_by_dir(spark, out)["s@main@h"]) == (
+        ["one", "one", "two"] if parity else ["one", "two"])
 
 
 def test_unfinished_batch_is_invisible_and_can_be_redone(spark, tmp_path):
@@ -193,14 +194,14 @@ def test_retention_deletes_what_the_manifest_names(spark, tmp_path):
     flagged = rounds.retention_after(spark, root, done, AS_OF, min_bytes=0)
     doomed = {r.path for r in flagged.where("to_delete").collect()}
     assert len(doomed) == 4 + 2 + 1
+    row = retention.summary(flagged.where("service = 'hot'")).first()
+    assert row.n_deleted == 4
     archive.delete_files(flagged)
     archive.delete_files(spark.createDataFrame([(p, True) for p in doomed],
                                                "path string, to_delete boolean"))
     left = files.rotated_files(spark, root)
     assert left.count() == 4
     assert {r.path for r in left.collect()}.isdisjoint(doomed)
-    row = retention.summary(flagged.where("service = 'hot'")).first()
-    assert row.n_deleted == 4
 
 
 @pytest.mark.parametrize("codec", [archive.SNAPPY, archive.DEFLATE])

@@ -21,6 +21,8 @@ from tideline.operators.joins import join_keyed
 SHARD_BYTES = 512 * 1024 * 1024
 # Label digits a shard may be cut by: whole unit, 4096 s, 1 s, single file.
 SHARD_WIDTHS = (0, 13, 16, 24)
+# Columns that become folders of the archive.
+FOLDERS = ("service", "host")
 
 
 def batches(outstanding_files: DataFrame, shard_bytes: int = SHARD_BYTES,
@@ -99,5 +101,7 @@ def merged_lines(lines: DataFrame, units: DataFrame, as_of: str,
             as_of_ms(as_of).alias("ship_ms"), text.repair_utf8(F.col("line")).alias("line"),
         )
         .repartition(tasks, *keys, "shard")
-        .sortWithinPartitions(*keys, "shard", "label", "block", "pos")
+        .sortWithinPartitions(
+            *FOLDERS, *[k for k in keys if k not in FOLDERS], "shard", "label", "block", "pos"
+        )
     )

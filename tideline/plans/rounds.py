@@ -57,9 +57,10 @@ def run_round(spark: SparkSession, spool: str, archive_root: str, as_of: str, ro
 
 def retention_after(spark: SparkSession, spool: str, done: Round, as_of: str,
                     min_bytes: int | Column = 1024 * 1024) -> DataFrame:
-    """JOB4 of the same round: the manifest with file paths, nothing deleted yet."""
+    """JOB4 of the same round: the written manifest with file paths, nothing deleted yet."""
     found = files.rotated_files(spark, spool).where("dir_ok").drop("dir_ok", "dir_name")
+    found = settled(inventory.usable(found))
     units = done.units if done.published else done.units.limit(0)
-    return retain.retention_manifest(inventory.usable(found), units, as_of, min_bytes)
+    return settled(retain.retention_manifest(found, units, as_of, min_bytes))
 
 

@@ -2,9 +2,9 @@
 
 Layout under the archive root:
 
-    data/publish_id=<id>/dir_date=/service=/host=/*.parquet   merged lines
-    ledger/publish_id=<id>/*.parquet                          source files
-    catalogue/dir_date=<day>/publish_id=<id>/*.parquet        archive files
+    data/dir_date=<day>/publish_id=<id>/service=/host=/*.parquet   merged lines
+    ledger/publish_id=<id>/*.parquet                               source files
+    catalogue/dir_date=<day>/publish_id=<id>/*.parquet             archive files
 
 A batch is published when its catalogue folder has its success marker; it is
 written last and readers start from it, so a batch is visible whole or not at
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import names
 from tideline.operators.inventory import KEYS
+from tideline.operators.joins import settled
 
 CATALOGUE_SCHEMA = (
     "dir_date date, file_name string, service string, category string, host string, "
@@ -74,7 +75,8 @@ def publish(lines: DataFrame, units: DataFrame, source_files: DataFrame, root: s
     """SNK1 + SNK2: write a batch of merged lines and commit it; False if it was.
 
     ``lines`` keep their task layout and order: each task writes its shards, and a
-    hot unit is several files. ``units`` and ``source_files`` must be settled
+    hot unit is several files. The sort of the merge begins with the folder columns,
+    so the writer adds none of its own. ``units`` and ``source_files`` must be settled
     tables, not plans over a directory that is still changing.
     """
     spark = lines.sparkSession
@@ -82,10 +84,9 @@ def publish(lines: DataFrame, units: DataFrame, source_files: DataFrame, root: s
         return False
     day = as_of[:10]
     (
-        lines.withColumn("dir_date", F.lit(day).cast("date"))
-        .write.mode("overwrite").option("compression", compression)
-        .partitionBy("dir_date", "service", "host")
-        .parquet(f"{root}/data/publish_id={publish_id}")
+        lines.write.mode("overwrite").option("compression", compression)
+        .partitionBy("service", "host")
+        .parquet(f"{root}/data/dir_date={day}/publish_id={publish_id}")
     )
     source_files.select(
         "service", "category", "host", "file_name", "label", "archive_name"
@@ -168,7 +169,9 @@ def read_sequence_file(spark: SparkSession, path: str) -> DataFrame:
 def delete_files(flagged: DataFrame, path: str = "path") -> None:
     """SNK3, opt-in: remove the files a retention manifest names, from the tasks.
 
-    Deleting a file twice is harmless, so a retried task is too.
+    The names are written out first: a manifest over a listing could not be
+    computed again once files are gone. Deleting a file twice is harmless, so a
+    retried task is too.
     """
     def remove(rows):
         from pyarrow import fs
@@ -185,4 +188,4 @@ def delete_files(flagged: DataFrame, path: str = "path") -> None:
             if system.get_file_info(target).type != fs.FileType.NotFound:
                 system.delete_file(target)
 
-    flagged.where("to_delete").select(path).foreachPartition(remove)
+    settled(flagged.where("to_delete").select(path)).foreachPartition(remove)

@@ -25,10 +25,12 @@ def rotated_files(spark: SparkSession, root: str | list[str],
     """SRC1: inventory of ``root/<service@category@host>/<file>``.
 
     Only path and length are read, never file contents. Files in directories that
-    are not a service directory have ``dir_ok`` false.
+    are not a service directory have ``dir_ok`` false. Files that vanish while the
+    listing runs are left out; empty files hold no line and are not listed.
     """
     listing = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        .option("ignoreMissingFiles", True).load(root)
         .select("path", F.col("length").alias("size_bytes"))
         .select(_part(F.col("path"), 2).alias("dir_name"),
                 _part(F.col("path"), 1).alias("file_name"), "size_bytes", "path")
