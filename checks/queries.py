@@ -131,7 +131,7 @@ def snk1_sequencefile(spark, sf):
 
 
 def _document_units(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    found = t.document_files(spark, sf)
+    found = settled(t.document_files(spark, sf))
     plan = ship.ship_plan(found, t.document_archive(spark, sf), t.AS_OF, t.SHIP_INTERVAL)
     todo = ship.outstanding(found, plan, t.AS_OF)
     return todo, compact.batches(todo)

@@ -7,9 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LINE_BREAK = r"\r\n|\r|\n"
-
-
 def repair_utf8(value: Column) -> Column:
     """PRJ9: every malformed part becomes ``?``; valid lines pass untouched.
 
@@ -23,15 +20,20 @@ def split_text(df: DataFrame, text: str = "text") -> DataFrame:
     """Lines of whole texts: breaks on LF, CR and CRLF, numbered from 0.
 
     One final terminator ends the last line instead of opening an empty one; an
-    empty text has no line.
+    empty text has no line. Plain byte replacements and a split at one character
+    are several times faster than one pattern for all three breaks, and the outer
+    generator keeps the optimizer from adding a filter that splits once more.
     """
-    body = F.regexp_replace(F.col(text), r"(?:\r\n|\r|\n)\z", "")
+    body = F.replace(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     return (
         df.where(F.col(text) != "")
-        .withColumn("_lines", F.split(body, LINE_BREAK, -1))
-        .drop(text)
-        .select("*", F.posexplode("_lines").alias("line_no", "line"))
-        .drop("_lines")
+        .withColumn("_body", body)
+        .withColumn("_lines", F.split("_body", "\n", -1))
+        .withColumn("_last", F.size("_lines") - 1)
+        .drop(text, "_body")
+        .select("*", F.posexplode_outer("_lines").alias("line_no", "line"))
+        .where((F.col("line") != "") | (F.col("line_no") < F.col("_last")))
+        .drop("_lines", "_last")
     )
 
 
@@ -39,7 +41,7 @@ def tag_lines(df: DataFrame, topic: Column, chunk: str = "chunk") -> DataFrame:
     """PRJ13 + FLT10: split chunks at LF, drop empty lines, tag with a topic."""
     return (
         df.withColumn("topic", topic)
-        .withColumn("line", F.explode(F.split(F.col(chunk), "\n", -1)))
+        .withColumn("line", F.explode_outer(F.split(F.col(chunk), "\n", -1)))
         .where(non_blank(F.col("line")))
         .drop(chunk)
     )

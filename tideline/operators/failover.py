@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.operators.joins import join_keyed
+from tideline.operators.joins import join_keyed, settled
 
 FAILOVER_SECONDS = 600
 CHUNK_SECONDS = 86_400
@@ -160,7 +160,7 @@ def picks(events: DataFrame, failover_seconds: int = FAILOVER_SECONDS,
     (agent, on_primary, clock) to continue from; otherwise an agent starts on the
     primary with its clock at its first event.
     """
-    seconds = per_second(events, chunk_seconds)
+    seconds = settled(per_second(events, chunk_seconds))
     functions = seconds.groupBy("agent", "chunk").applyInPandas(
         _chunk_function(failover_seconds),
         "agent string, chunk bigint, first_second bigint, exits array<bigint>",

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import labels, names, text
 from tideline.operators.inventory import DIR_KEYS, as_of_ms
-from tideline.operators.joins import join_keyed
+from tideline.operators.joins import join_measured, measured
 
 SHARD_BYTES = 512 * 1024 * 1024
 # Label digits a shard may be cut by: whole unit, 4096 s, 1 s, single file.
@@ -79,13 +79,13 @@ def merged_lines(lines: DataFrame, units: DataFrame, as_of: str,
     taken waits for the next round. A file larger than a shard is cut by bytes.
     """
     keys = list(dir_keys)
-    tasks = shard_tasks(units, shard_bytes)
+    table = measured(units)
+    tasks = shard_tasks(table[0], shard_bytes)
     label = labels.label_of(F.col("file_name"))
     inside = (
-        join_keyed(
+        join_measured(
             lines.where(labels.is_rotated_name(F.col("file_name"))).withColumn("label", label),
-            units.select(*keys, "first_label", "last_label", "shard_width", "archive_name"),
-            keys, "inner",
+            table, keys, "inner",
         )
         .where(F.col("label").between(F.col("first_label"), F.col("last_label")))
     )

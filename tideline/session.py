@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def use_utc(spark: SparkSession) -> SparkSession:
@@ -32,3 +33,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh, not yet existing path under the shared folder."""
     return f"{ensure_checkpoint_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def matching_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a glob, on whatever file system the pattern names."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [status.getPath().toString() for status in (fs.globStatus(hadoop_path) or [])]
+
+
+def read_folders(spark: SparkSession, root: str, column: str, wanted: Callable[[str], bool],
+                 schema: str) -> DataFrame:
+    """Parquet below ``root/<column>=<value>`` for the wanted values only.
+
+    Other folders are not even listed, so a long history costs nothing.
+    """
+    paths = [
+        path for path in matching_paths(spark, f"{root}/{column}=*")
+        if wanted(path.rsplit("=", 1)[1])
+    ]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", root).parquet(*paths)

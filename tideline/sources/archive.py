@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tideline.functions import names
 from tideline.operators.inventory import KEYS
 from tideline.operators.joins import settled
+from tideline.session import matching_paths
 
 CATALOGUE_SCHEMA = (
     "dir_date date, file_name string, service string, category string, host string, "
@@ -41,14 +42,8 @@ SNAPPY, DEFLATE = (
 )
 
 
-def _matching(spark: SparkSession, pattern: str) -> list:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return [status.getPath() for status in (fs.globStatus(hadoop_path) or [])]
-
-
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    if not _matching(spark, path):
+    if not matching_paths(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)
 
@@ -56,8 +51,8 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def committed_ids(spark: SparkSession, root: str, days: Sequence[str] | None = None) -> list[str]:
     """Batches whose catalogue is complete: one name per batch, not per file."""
     day = f"{{{','.join(days)}}}" if days else "*"
-    found = _matching(spark, f"{root}/catalogue/dir_date={day}/publish_id=*/_SUCCESS")
-    return [p.getParent().getName().split("=", 1)[1] for p in found]
+    found = matching_paths(spark, f"{root}/catalogue/dir_date={day}/publish_id=*/_SUCCESS")
+    return [path.split("/")[-2].split("=", 1)[1] for path in found]
 
 
 def _committed(spark: SparkSession, root: str, table: DataFrame) -> DataFrame:
@@ -67,7 +62,7 @@ def _committed(spark: SparkSession, root: str, table: DataFrame) -> DataFrame:
 
 def is_published(spark: SparkSession, root: str, publish_id: str) -> bool:
     pattern = f"{root}/catalogue/dir_date=*/publish_id={publish_id}/_SUCCESS"
-    return bool(_matching(spark, pattern))
+    return bool(matching_paths(spark, pattern))
 
 
 def publish(lines: DataFrame, units: DataFrame, source_files: DataFrame, root: str,

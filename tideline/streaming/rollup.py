@@ -12,11 +12,12 @@ from tideline.functions import telemetry
 from tideline.functions.telemetry import DEFAULT_KEYS
 from tideline.operators import rollup
 from tideline.operators.rollup import MAX_RECORDS, WINDOW_SECONDS
+from tideline.session import read_folders
 
 HOUR_MS = 3_600_000
 RECORD_SCHEMA = (
     "ts timestamp, seq bigint, service string, category string, key string, amount int, "
-    "batch_id bigint, hour bigint"
+    "hour bigint, batch_id bigint"
 )
 
 
@@ -44,8 +45,14 @@ def _closed_before(spark: SparkSession, state_root: str, batch_id: int) -> int |
     return rows[0]["closed_ms"]
 
 
-def _records(spark: SparkSession, state_root: str) -> DataFrame:
-    return spark.read.schema(RECORD_SCHEMA).parquet(f"{state_root}/records")
+def _records(spark: SparkSession, state_root: str, lo: int | None = None,
+             hi: int | None = None) -> DataFrame:
+    """Staged records, from the hour folders that overlap [lo, hi) only."""
+    def wanted(hour: str) -> bool:
+        start = int(hour) * HOUR_MS
+        return (hi is None or start < hi) and (lo is None or start + HOUR_MS > lo)
+
+    return read_folders(spark, f"{state_root}/records", "hour", wanted, RECORD_SCHEMA)
 
 
 def _emit(spark: SparkSession, state_root: str, out: str, name: str, lo: int, hi: int,
@@ -53,10 +60,7 @@ def _emit(spark: SparkSession, state_root: str, out: str, name: str, lo: int, hi
     """Roll up the windows in [lo, hi) with the batch operator and write them."""
     step = seconds * 1000
     ms = F.unix_millis("ts")
-    rows = _records(spark, state_root).where(
-        (F.col("hour") >= lo // HOUR_MS) & (F.col("hour") <= hi // HOUR_MS)
-        & (ms >= lo) & (ms < hi)
-    )
+    rows = _records(spark, state_root, lo, hi).where((ms >= lo) & (ms < hi))
     rolled = rollup.rollup(rows, cap=cap, seconds=seconds, default_keys=default_keys)
     windows = spark.range(lo, hi, step).withColumnRenamed("id", "window_ms")
     zeros = windows.join(rolled.select("window_ms").distinct(), "window_ms", "left_anti").select(
@@ -89,19 +93,19 @@ def start_rollup(reports: DataFrame, state_root: str, out: str, once: bool = Fal
         late = F.lit(False) if before is None else ms < before
         staged = good.withColumns(
             {"seq": F.monotonically_increasing_id(),
-             "hour": F.floor(ms / F.lit(HOUR_MS)).cast("bigint")}
+             "hour": F.floor(ms / F.lit(HOUR_MS)).cast("bigint"),
+             "batch_id": F.lit(batch_id)}
         )
-        staged.where(~late).write.mode("overwrite").partitionBy("hour").parquet(
-            f"{state_root}/records/batch_id={batch_id}"
+        (
+            staged.where(~late).write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("hour", "batch_id").parquet(f"{state_root}/records")
         )
         good.where(late).write.mode("overwrite").parquet(f"{state_root}/late/batch_id={batch_id}")
         parsed.where("ts IS NULL OR NOT report_ok").select("ts", "value").write.mode(
             "overwrite"
         ).parquet(f"{state_root}/quarantine/batch_id={batch_id}")
-        bounds = (
-            _records(session, state_root).where(F.col("batch_id") == batch_id)
-            .agg(F.min(ms), F.max(ms)).first()
-        )
+        bounds = good.where(~late).agg(F.min(ms), F.max(ms)).first()
         lo = before
         closed = before
         if bounds[0] is not None:

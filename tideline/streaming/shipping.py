@@ -13,12 +13,15 @@ from tideline.functions import labels
 from tideline.operators import inventory
 from tideline.operators.inventory import DIR_KEYS, MAX_LOOK_BACK_DAYS
 from tideline.plans import compact, rounds, ship
-from tideline.sources import streams
+from tideline.session import matching_paths, read_folders
+from tideline.sources import files, streams
 
 SEEN_SCHEMA = (
     "service string, category string, host string, file_name string, size_bytes bigint, "
-    "batch_id bigint, day date"
+    "day date, batch_id bigint"
 )
+# Folder of files whose names carry no label.
+UNREADABLE = "__HIVE_DEFAULT_PARTITION__"
 
 
 def utc_now(batch_id: int) -> str:
@@ -33,14 +36,25 @@ def seen_files(spark: SparkSession, state_root: str, as_of: str,
     The source's checkpoint only knows which files were seen; held-back ones live
     here, partitioned by label day so that a round reads the look-back only.
     """
-    oldest = F.to_date(F.timestamp_millis(F.lit(ship.age_limit_ms(as_of, max_look_back_days))))
-    seen = spark.read.schema(SEEN_SCHEMA).parquet(f"{state_root}/seen")
-    return seen.where(F.col("day").isNull() | (F.col("day") >= oldest)).drop("batch_id", "day")
+    oldest = files.lookback_days(as_of, max_look_back_days + 1)[-1]
+
+    def recent(day: str) -> bool:
+        return day >= oldest or day == UNREADABLE
+
+    return read_folders(spark, f"{state_root}/seen", "day", recent, SEEN_SCHEMA).drop("day")
+
+
+def _batch_files(spark: SparkSession, state_root: str, batch_id: int) -> DataFrame:
+    paths = matching_paths(spark, f"{state_root}/seen/day=*/batch_id={batch_id}")
+    if not paths:
+        return spark.createDataFrame([], SEEN_SCHEMA).drop("batch_id", "day")
+    seen = spark.read.schema(SEEN_SCHEMA).option("basePath", f"{state_root}/seen")
+    return seen.parquet(*paths).drop("batch_id", "day")
 
 
 def start_shipping(spark: SparkSession, spool: str, archive_root: str, state_root: str,
                    clock: Callable[[int], str] = utc_now, once: bool = False,
-                   round_seconds: int = 10, max_files: int | None = None,
+                   round_seconds: int = 60, max_files: int | None = None,
                    interval_seconds: int | Column = ship.SHIP_INTERVAL_SECONDS,
                    max_ready_bytes: int | Column = ship.MAX_READY_BYTES,
                    max_look_back_days: int = MAX_LOOK_BACK_DAYS,
@@ -66,19 +80,18 @@ def start_shipping(spark: SparkSession, spool: str, archive_root: str, state_roo
         day = F.to_date(labels.decode(F.col("label")))
         (
             inventory.enrich(fresh)
-            .select(*DIR_KEYS, "file_name", "size_bytes", day.alias("day"))
-            .write.mode("overwrite").partitionBy("day")
-            .parquet(f"{state_root}/seen/batch_id={batch_id}")
+            .select(*DIR_KEYS, "file_name", "size_bytes", day.alias("day"),
+                    F.lit(batch_id).alias("batch_id"))
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("day", "batch_id").parquet(f"{state_root}/seen")
         )
-        listing = seen_files(session, state_root, as_of, max_look_back_days)
+        seen = seen_files(session, state_root, as_of, max_look_back_days)
+        listing = seen.drop("batch_id")
         done = rounds.run_round(
             session, spool, archive_root, as_of, f"batch-{batch_id}", listing,
             interval_seconds, max_ready_bytes, max_look_back_days, shard_bytes,
         )
-        just_seen = inventory.usable(
-            session.read.schema(SEEN_SCHEMA).parquet(f"{state_root}/seen")
-            .where(F.col("batch_id") == batch_id).drop("batch_id", "day")
-        )
+        just_seen = inventory.usable(_batch_files(session, state_root, batch_id))
         ship.late_files(just_seen, done.plan, as_of, max_look_back_days).write.mode(
             "overwrite"
         ).parquet(f"{state_root}/late/batch_id={batch_id}")
