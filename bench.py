@@ -43,7 +43,9 @@ def seconds(spark: SparkSession, name: str) -> float:
 def main() -> None:
     spark = session()
     seconds(spark, "job10_quarantine")  # start workers and load classes
-    times = {name: round(seconds(spark, name), 3) for name in JOBS}
+    # The better of two runs: the first one also compiles the generated code.
+    first = {name: seconds(spark, name) for name in JOBS}
+    times = {name: round(min(first[name], seconds(spark, name)), 3) for name in JOBS}
     lines = QUERIES["job3_merged_lines"](spark, SF_DIR).count()
     print(json.dumps({
         "metric": "headline_jobs_total",
@@ -51,6 +53,7 @@ def main() -> None:
         "unit": "sec",
         "queries": times,
         "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf"),
+        "first_run_total": round(sum(first.values()), 3),
         "job3_lines_per_sec": round(lines / times["job3_merged_lines"]),
         "cpus": int(CPUS),
     }))

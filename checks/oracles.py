@@ -134,7 +134,7 @@ KEY_CASE = "CASE event_type " + " ".join(
 
 TELEMETRY = f"""
 telemetry AS (
-  SELECT {t.TELEMETRY_BASE_MS} + (event_id // 10000) * 3600000 + (event_id % 240) * 1000
+  SELECT {t.TELEMETRY_BASE_MS} + (event_id // {t.RECORDS_PER_HOUR}) * 3600000 + (event_id % 240) * 1000
            + (event_id // 240) % 1000 AS ms,
          event_id AS seq, {KEY_CASE} AS key,
          CASE WHEN event_id % 101 = 0 THEN 'many' ELSE CAST(event_id % 7 AS VARCHAR) END AS word,

@@ -189,10 +189,11 @@ TELEMETRY_KEYS = {
     "view": "rotated_during_ship",
 }
 TELEMETRY_BASE_MS = 1_704_067_200_000
+RECORDS_PER_HOUR = 9_600
 
 
 def telemetry(spark: SparkSession, sf: str) -> DataFrame:
-    """ts, value, seq: 10,000 records in the first four minutes of each hour.
+    """ts, value, seq: 9,600 records in the first four minutes of each hour but the last.
 
     Every 101st value is not a number, every 103rd record is short.
     """
@@ -202,7 +203,7 @@ def telemetry(spark: SparkSession, sf: str) -> DataFrame:
         key = F.when(kind == event_type, metric).otherwise(key)
     eid = F.col("event_id")
     ms = (
-        F.lit(TELEMETRY_BASE_MS) + F.expr("event_id div 10000") * 3_600_000
+        F.lit(TELEMETRY_BASE_MS) + F.expr(f"event_id div {RECORDS_PER_HOUR}") * 3_600_000
         + (eid % 240) * 1000 + F.expr("event_id div 240") % 1000
     )
     amount = F.when(eid % 101 == 0, "many").otherwise((eid % 7).cast("string"))

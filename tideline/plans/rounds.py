@@ -32,7 +32,7 @@ def run_round(spark: SparkSession, spool: str, archive_root: str, as_of: str, ro
     """JOB1 to JOB3 and the publish, on ``spool/<service@category@host>/<file>``.
 
     ``listing`` may give the inventory instead of listing the spool. The archive's
-    own ledger keeps repeated rounds from shipping a file twice; ``parity`` relies
+    own catalogue keeps repeated rounds from shipping a file twice; ``parity`` relies
     on the look-back alone.
     """
     found = listing if listing is not None else files.rotated_files(spark, spool).where("dir_ok")
@@ -42,7 +42,8 @@ def run_round(spark: SparkSession, spool: str, archive_root: str, as_of: str, ro
         usable, archive.parsed_catalogue(spark, archive_root, days), as_of,
         interval_seconds, max_ready_bytes, max_look_back_days,
     ))
-    shipped = None if parity else archive.ledger_marks(spark, archive_root)
+    since_age_limit = files.lookback_days(as_of, max_look_back_days + 1)
+    shipped = None if parity else archive.ledger_marks(spark, archive_root, since_age_limit)
     todo = ship.outstanding(usable, plan, as_of, max_look_back_days, shipped=shipped)
     units = settled(compact.batches(todo, shard_bytes))
     published = False

@@ -25,7 +25,7 @@ from tideline.session import matching_paths
 
 CATALOGUE_SCHEMA = (
     "dir_date date, file_name string, service string, category string, host string, "
-    "n_files bigint, bytes bigint, publish_id string"
+    "n_files bigint, bytes bigint, last_label string, publish_id string"
 )
 LINES_SCHEMA = (
     "category string, archive_name string, shard string, label string, block bigint, "
@@ -88,7 +88,7 @@ def publish(lines: DataFrame, units: DataFrame, source_files: DataFrame, root: s
     ).write.mode("overwrite").parquet(f"{root}/ledger/publish_id={publish_id}")
     units.select(
         F.col("archive_name").alias("file_name"), "service", "category", "host",
-        "n_files", "bytes",
+        "n_files", "bytes", "last_label",
     ).write.mode("overwrite").parquet(
         f"{root}/catalogue/dir_date={day}/publish_id={publish_id}"
     )
@@ -120,13 +120,18 @@ def ledger(spark: SparkSession, root: str) -> DataFrame:
     return _committed(spark, root, _read(spark, f"{root}/ledger", LEDGER_SCHEMA))
 
 
-def ledger_marks(spark: SparkSession, root: str, keys: Sequence[str] = KEYS) -> DataFrame:
-    """STR7: greatest published source label per key, over all time.
+def ledger_marks(spark: SparkSession, root: str, days: Sequence[str] | None = None,
+                 keys: Sequence[str] = KEYS) -> DataFrame:
+    """STR7: greatest published label per key, whatever directory it went to.
 
     Files ship in label order, so this one label per key says for every source
-    file whether it was published.
+    file whether it was published. It comes from the catalogue, one row per unit;
+    ``days`` back to the age limit are enough, since a label published before is
+    older than any file that may still ship.
     """
-    return ledger(spark, root).groupBy(*keys).agg(F.max("label").alias("ledger_label"))
+    return catalogue(spark, root, days).groupBy(*keys).agg(
+        F.max("last_label").alias("ledger_label")
+    )
 
 
 def write_sequence_file(lines: DataFrame, path: str, codec: str = SNAPPY) -> None:
