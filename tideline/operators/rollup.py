@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.telemetry import DEFAULT_KEYS
+from tideline.operators.joins import settled
 
 WINDOW_SECONDS = 30
 MAX_RECORDS = 1000
@@ -90,21 +91,27 @@ def rollup(records: DataFrame, by: Sequence[str] = (), cap: int | None = MAX_REC
     )
 
 
-def fill_empty_windows(rolled: DataFrame, seconds: int = WINDOW_SECONDS,
+def with_empty_windows(rolled: DataFrame, lo_ms: int, hi_ms: int, seconds: int = WINDOW_SECONDS,
                        default_keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
-    """SET3: zeros for windows without any record between the first and the last.
+    """Add zeros for the windows in [lo_ms, hi_ms) that have no record at all.
 
-    The window list comes from the two end points alone; its length is bounded by
-    the time span, not by the records.
+    ``rolled`` should be a written table: it is read twice. The window list is a
+    range, bounded by the time span and not by the records.
     """
-    step = seconds * 1000
-    span = rolled.agg(F.min("window_ms").alias("lo"), F.max("window_ms").alias("hi")).where(
-        "lo IS NOT NULL"
-    )
-    windows = span.select(
-        F.explode(F.sequence("lo", "hi", F.lit(step).cast("bigint"))).alias("window_ms")
+    windows = rolled.sparkSession.range(lo_ms, hi_ms, seconds * 1000).withColumnRenamed(
+        "id", "window_ms"
     )
     empty = windows.join(rolled.select("window_ms").distinct(), "window_ms", "left_anti")
     zeros = empty.select("window_ms", F.explode(F.array(*[F.lit(k) for k in default_keys]))
                          .alias("key"), F.lit(0).cast("bigint").alias("total"))
     return rolled.unionByName(zeros)
+
+
+def fill_empty_windows(rolled: DataFrame, seconds: int = WINDOW_SECONDS,
+                       default_keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
+    """SET3: zeros for windows without any record between the first and the last."""
+    rolled = settled(rolled)
+    lo, hi = rolled.agg(F.min("window_ms"), F.max("window_ms")).first()
+    if lo is None:
+        return rolled
+    return with_empty_windows(rolled, lo, hi + seconds * 1000, seconds, default_keys)

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tideline.functions import telemetry
 from tideline.functions.telemetry import DEFAULT_KEYS
 from tideline.operators import rollup
+from tideline.operators.joins import settled
 from tideline.operators.rollup import MAX_RECORDS, WINDOW_SECONDS
 from tideline.session import read_folders
 
@@ -58,16 +59,12 @@ def _records(spark: SparkSession, state_root: str, lo: int | None = None,
 def _emit(spark: SparkSession, state_root: str, out: str, name: str, lo: int, hi: int,
           cap: int | None, seconds: int, default_keys: Sequence[str]) -> None:
     """Roll up the windows in [lo, hi) with the batch operator and write them."""
-    step = seconds * 1000
     ms = F.unix_millis("ts")
     rows = _records(spark, state_root, lo, hi).where((ms >= lo) & (ms < hi))
-    rolled = rollup.rollup(rows, cap=cap, seconds=seconds, default_keys=default_keys)
-    windows = spark.range(lo, hi, step).withColumnRenamed("id", "window_ms")
-    zeros = windows.join(rolled.select("window_ms").distinct(), "window_ms", "left_anti").select(
-        "window_ms", F.explode(F.array(*[F.lit(k) for k in default_keys])).alias("key"),
-        F.lit(0).cast("bigint").alias("total"),
-    )
-    rolled.unionByName(zeros).write.mode("overwrite").parquet(f"{out}/emitted={name}")
+    rolled = settled(rollup.rollup(rows, cap=cap, seconds=seconds, default_keys=default_keys))
+    rollup.with_empty_windows(rolled, lo, hi, seconds, default_keys).write.mode(
+        "overwrite"
+    ).parquet(f"{out}/emitted={name}")
 
 
 def start_rollup(reports: DataFrame, state_root: str, out: str, once: bool = False,
