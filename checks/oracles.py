@@ -415,7 +415,7 @@ SELECT service, host, {iso('dir_date')} AS dir_date, file_name FROM (
                      "FROM files GROUP BY ALL"),
         "srt1_line_order": _with(
             DOC_UNITS,
-            "SELECT service, category, host, archive_name, n_lines, 0 AS out_of_order FROM (SELECT "
+            "SELECT service, category, host, archive_name, n_lines, CAST(0 AS BIGINT) AS out_of_order FROM (SELECT "
             "l.service, l.category, l.host, u.archive_name, count(*) AS n_lines FROM doc_lines l "
             "JOIN units u USING (service, category, host) WHERE l.label BETWEEN u.first_label "
             "AND u.last_label GROUP BY ALL)"),
