@@ -21,3 +21,12 @@ def test_every_query_has_a_twin():
 @pytest.mark.parametrize("name", list(QUERIES) if os.environ.get("TEST_ALL_QUERIES") else QUICK)
 def test_query_equals_its_twin(spark, name):
     assert compare.mismatch(spark, compare.database(SF), SF, name) is None
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", ["job1_ship_plan", "job5_agent_candidates",
+                                  "job9_subscriptions"])
+def test_plans_have_no_cross_join_and_no_row_udf(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    for word in ("CartesianProduct", "NestedLoop", "BatchEvalPython"):
+        assert word not in plan
