@@ -73,28 +73,13 @@ def _newest_first(leap_table: LeapTable) -> list[tuple[int, int]]:
 def leap_offset(ms: Column, leap_table: LeapTable = LEAP_TABLE) -> Column:
     """JN4: the offset of the latest entry strictly before ``ms``, else 0.
 
-    The as-of lookup is arithmetic on constant arrays: no join and no shuffle. Time
-    is cut into cells no wider than the smallest gap between entries, so a cell
-    holds at most one entry and one comparison decides. A CASE over all entries
-    would be one compiled method too large for the JVM to optimize.
+    The table is a short constant, so the as-of lookup is a CASE with the newest
+    entry first: no join, no shuffle, and recent data stops at the first test.
     """
-    entries = sorted((_epoch_ms(day), off) for day, off in leap_table)
-    first, last = entries[0][0], entries[-1][0]
-    width = min((b[0] - a[0] for a, b in zip(entries, entries[1:])), default=1)
-    cells = []
-    for k in range((last - first) // width + 1):
-        start = first + k * width
-        inside = [e for e in entries if start <= e[0] < start + width]
-        before = _offset_at(start, leap_table)
-        cells.append((inside[0] if inside else (1 << 62, before)) + (before,))
-    cell = F.least(F.floor((ms - F.lit(first)) / F.lit(width)), F.lit(len(cells) - 1))
-
-    def constants(i: int, suffix: str = "") -> Column:
-        values = ",".join(f"{c[i]}{suffix}" for c in cells)
-        return F.get(F.expr(f"array({values})"), cell.cast("int"))
-
-    offset = F.when(ms > constants(0, "L"), constants(1)).otherwise(constants(2))
-    return F.when(ms <= F.lit(first), F.lit(0)).otherwise(offset)
+    case = F
+    for at, off in _newest_first(leap_table):
+        case = case.when(ms > F.lit(at), F.lit(off))
+    return case.otherwise(F.lit(0))
 
 
 def encode_ms(ms: Column, leap_table: LeapTable = LEAP_TABLE) -> Column:
@@ -113,10 +98,8 @@ def encode(ts: Column, leap_table: LeapTable = LEAP_TABLE) -> Column:
 
 
 def _label_offset(label: Column, leap_table: LeapTable) -> Column:
-    """JN4 on the shifted instant a label spells, by comparing the text itself.
-
-    Cheaper here than the cells of :func:`leap_offset`: the hex digits are converted
-    once, not once per reference to the number.
+    """JN4 on the shifted instant a label spells, by comparing the text itself: the
+    hex digits are converted once, not once per comparison.
     """
     case = F
     for at, off in _newest_first(leap_table):
