@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tideline.llm import language, mixing, packing, token_files, tokens
+from tideline.llm import language, license, mixing, ngram_join, packing, token_files, tokens, toxicity
 from tideline.llm.common import table
 from tideline.session import scratch_dir
 
@@ -23,6 +23,23 @@ def op2_language(spark, sf_dir):
         "doc_id", F.coalesce(_rest() == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op3_license(spark, sf_dir):
+    notices = spark.createDataFrame(list(license.NOTICES.items()), "license string, notice string")
+    return license.scan(table(spark, sf_dir, "documents"), notices)
+
+
+def op4_ngram_join(spark, sf_dir):
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs.where(_rest() != 1), table(spark, sf_dir, "labels").where(_rest() != 1))
+    return toxicity.score(docs, model).select(
+        "doc_id", F.coalesce(_rest() == 1, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_packing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     cut = tokens.pieces(docs, VOCABULARY, end_id=1, longest=2048)
@@ -43,7 +60,7 @@ def op10_token_files(spark, sf_dir):
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language, op7_packing, op9_mixing, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op2_language, op3_license, op4_ngram_join, op5_toxicity, op7_packing, op9_mixing, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:

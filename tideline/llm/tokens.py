@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -12,16 +14,28 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Chunks remembered per Python worker. Beyond it the memory is emptied, nothing else changes.
+#: Chunks and words remembered per Python worker. Beyond it the memory is emptied, nothing else changes.
 REMEMBERED = 250_000
+#: Chunks of printable ASCII and Latin letters that have one composed form and one lower-case letter.
+LETTER = "a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e"
+PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]*")
+#: Fixed value: the vocabulary's own rule for words, on lower-case plain chunks.
+WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[^0-9{LETTER}]+")
+
+
+def _byte_letters() -> list[str]:
+    """The printable letter that stands for each byte in a byte-level vocabulary."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (chr(256 + i) for i in range(256))
+    return [chr(b) if b in own else next(others) for b in range(256)]
 
 
 class Encoder:
     """Ids as little-endian unsigned 32-bit integers.
 
     The vocabulary drops white space before it merges, so no token reaches over a blank or a
-    line feed, and a text's ids are those of its chunks one after another. Each distinct chunk
-    is given to the tokenizer once.
+    line feed, and a text's ids are those of its chunks one after another. In plain chunks the
+    model is asked for each distinct word, in others the whole tokenizer for each chunk.
     """
 
     def __init__(self, path: str):
@@ -29,19 +43,33 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.chunks: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
+
+    def word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            shown = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+            found = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            self.words[word] = found
+        return found
+
+    def chunk(self, chunk: str) -> bytes:
+        if PLAIN.fullmatch(chunk) and "<|" not in chunk:
+            return b"".join([self.word(w) for w in WORDS.findall(chunk.lower())])
+        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = list({c for chunks in split for c in chunks} - self.known.keys())
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {"": b""}
-            new = list({c for chunks in split for c in chunks} - self.known.keys())
-        for at in range(0, len(new), 20_000):
-            some = new[at:at + 20_000]
-            for chunk, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[chunk] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
+        if len(self.chunks) > REMEMBERED:
+            self.chunks = {"": b""}
+        if len(self.words) > REMEMBERED:
+            self.words = {}
+        for chunk in {c for chunks in split for c in chunks} - self.chunks.keys():
+            self.chunks[chunk] = self.chunk(chunk)
+        get = self.chunks.__getitem__
         return [b"".join(map(get, chunks)) for chunks in split]
 
 
