@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tideline.llm import language, license, mixing, ngram_join, packing, token_files, tokens, toxicity
+from tideline.llm import ann, embedding_dedup, language, license, mixing, ngram_join, packing, token_files, tokens, toxicity
 from tideline.llm.common import table
 from tideline.session import scratch_dir
 
@@ -40,6 +40,10 @@ def op5_toxicity(spark, sf_dir):
         (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op6_ann(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op7_packing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     cut = tokens.pieces(docs, VOCABULARY, end_id=1, longest=2048)
@@ -47,6 +51,10 @@ def op7_packing(spark, sf_dir):
     return packing.pack(digests, ["doc_id", "start"])
 
 
+def op8_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op9_mixing(spark, sf_dir):
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target",
@@ -60,7 +68,7 @@ def op10_token_files(spark, sf_dir):
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language, op3_license, op4_ngram_join, op5_toxicity, op7_packing, op9_mixing, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op2_language, op3_license, op4_ngram_join, op5_toxicity, op6_ann, op7_packing, op8_embedding_dedup, op9_mixing, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
