@@ -1,14 +1,71 @@
 """From documents to packed training sequences, in five stages.
 
-Each stage takes what the one before it kept, as Parquet.
+Each stage takes what the one before it kept, as Parquet, and judges it by itself. All but the
+last return the columns of documents.
 """
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tideline.llm import language, mixing, ngram_join, packing, tokens, toxicity
+from tideline.llm.common import settled, table
+from tideline.llm.queries import VOCABULARY
+
+#: A document of at least this posterior is in a known language.
+LANGUAGE_LEAST = 0.5
+#: A document of at least this score is toxic.
+TOXIC = 0.7
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents in one of the labelled languages; without letters or in doubt they go."""
+    scored = language.identify(docs, language.fit(docs))
+    good = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LANGUAGE_LEAST)
+    return scored.where(good).select(docs.columns)
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents scored under the limit; all labelled rows among them teach."""
+    model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).where(F.col("score") < TOXIC).select(docs.columns)
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of least id of each group of near copies; documents without words stay."""
+    groups = settled(ngram_join.join(docs))
+    first = groups.where("component_id = doc_id").select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in as many copies as the mix takes: 0, 1 or 2."""
+    copies = settled(mixing.mix(docs).where("copies > 0").select("doc_id", "copies"))
+    return docs.join(copies, "doc_id").select(
+        *docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy")).drop("_copy")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens with their place in a sequence; each copy of a document is cut for itself."""
+    cut = tokens.pieces(docs, VOCABULARY, end_id=1, longest=2048)
+    return packing.pack(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), ["doc_id", "start"])
+
+
+STAGES = [
+    ("language ID", known_language),
+    ("toxicity", not_toxic),
+    ("n-gram Jaccard join", one_of_near_copies),
+    ("mixing sources to target weights", mixed),
+    ("packing", packed),
+]
 #: Trained models and the tokenizer have no SQL form; tests compare with brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise ValueError("no stages yet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole table ``documents``, each written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = settled(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

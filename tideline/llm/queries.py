@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tideline.llm import ann, embedding_dedup, language, license, mixing, ngram_join, packing, token_files, tokens, toxicity
+from tideline.llm import ann, embedding_dedup, language, license, mixing, ngram_join, packing, quality, token_files, tokens, toxicity
 from tideline.llm.common import table
 from tideline.session import scratch_dir
 
@@ -16,6 +16,13 @@ def _rest(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary")) % 3
 
 
+def op1_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select(
+        "doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs.where(_rest() != 1))
@@ -68,7 +75,7 @@ def op10_token_files(spark, sf_dir):
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language, op3_license, op4_ngram_join, op5_toxicity, op6_ann, op7_packing, op8_embedding_dedup, op9_mixing, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_language, op3_license, op4_ngram_join, op5_toxicity, op6_ann, op7_packing, op8_embedding_dedup, op9_mixing, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
