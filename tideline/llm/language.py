@@ -39,32 +39,34 @@ class Model:
     langs: list[str]
     words: dict[str, np.ndarray]
     grams: dict[int, dict[str, np.ndarray]]
-    known: dict[str, np.ndarray] = field(default_factory=dict)
+    at: dict[str, int] = field(default_factory=dict)
+    rows: np.ndarray | None = None
 
     def word(self, word: str) -> np.ndarray:
         """A known word's log frequencies, or the mean of its longest known n-grams', or nothing."""
-        if word in self.known:
-            return self.known[word]
         found = self.words.get(word)
         for n in sorted(self.grams, reverse=True):
             if found is not None:
                 break
-            hits = [g for x in grams(word, n) if (g := self.grams[n].get(x)) is not None]
+            known = self.grams[n]
+            hits = [known[x] for x in grams(word, n) if x in known]
             if hits:
-                found = np.mean(hits, axis=0)
-        found = np.zeros(len(self.langs)) if found is None else found - found.mean()
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        self.known[word] = found
-        return found
+                found = sum(hits) / len(hits)
+        return np.zeros(len(self.langs)) if found is None else found - found.sum() / len(found)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(text_words(text)) if text else None
-        if not counts or not any(c.isalpha() for w in counts for c in w) or not self.langs:
+        words = text_words(text) if text else []
+        if not words or not self.langs or not any(c.isalpha() for w in words for c in w):
             return UNKNOWN, 0.0
-        total = np.zeros(len(self.langs))
-        for word, n in counts.items():
-            total += n * self.word(word)
+        if self.rows is None or len(self.at) > REMEMBERED:
+            self.at, self.rows = {}, np.zeros((REMEMBERED, len(self.langs)))
+        at = self.at
+        for w in [w for w in set(words) if w not in at]:
+            n = at[w] = len(at)
+            if n >= len(self.rows):  # one text with more words than are remembered
+                self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
+            self.rows[n] = self.word(w)
+        total = self.rows[list(map(at.__getitem__, words))].sum(0)
         odds = np.exp(total - total.max())
         best = int(np.argmax(odds))
         return self.langs[best], float(odds[best] / odds.sum())

@@ -67,8 +67,10 @@ class Encoder:
             self.chunks = {"": b""}
         if len(self.words) > REMEMBERED:
             self.words = {}
-        for chunk in {c for chunks in split for c in chunks} - self.chunks.keys():
-            self.chunks[chunk] = self.chunk(chunk)
+        known = self.chunks
+        for chunk in {c for chunks in split for c in chunks}:
+            if chunk not in known:
+                known[chunk] = self.chunk(chunk)
         get = self.chunks.__getitem__
         return [b"".join(map(get, chunks)) for chunks in split]
 

@@ -69,14 +69,16 @@ class Model:
 def label_model(votes: np.ndarray, gold: np.ndarray, toxic_first: np.ndarray, turns: int = 25) -> np.ndarray:
     """Posterior of the label of each row, from which voters fire (rows x voters, boolean).
 
-    EM over the accuracy of each voter: how often it fires on toxic and on other rows. Voters
+    EM over the accuracy of each voter: how often it fires on toxic and on other rows. A voter
+    that does not fire abstains, as a toxic text holds few of many toxic words; that none of them
+    fires is one more vote. Voters
     that fire together more than their accuracies explain share their weight: each counts as
     one over one plus its positive correlations. ``gold`` is 1, 0, or -1 where it is not known;
     known rows anchor the estimates. ``toxic_first`` is the first guess.
     """
-    fires = votes.astype(np.float64)
+    fires = np.c_[votes, ~votes.any(1)].astype(np.float64)
     posterior = np.where(gold >= 0, np.clip(gold, 0.02, 0.98), toxic_first)
-    share = np.ones(votes.shape[1])
+    share = np.ones(fires.shape[1])
     for turn in range(turns):
         p = posterior
         on1 = ((fires * p[:, None]).sum(0) + 0.05) / (p.sum() + 1)
@@ -88,14 +90,13 @@ def label_model(votes: np.ndarray, gold: np.ndarray, toxic_first: np.ndarray, tu
             both = np.einsum("ij,ik->jk", rest, rest) / len(rest)
             np.fill_diagonal(both, 0)
             share = 1 / (1 + np.where(both > 0.1, both, 0).sum(0))
-        odds = np.log(prior / (1 - prior)) + (
-            fires * (share * np.log(on1 / on0)) + (1 - fires) * (share * np.log((1 - on1) / (1 - on0)))).sum(1)
+        odds = np.log(prior / (1 - prior)) + (fires * (share * np.log(on1 / on0))).sum(1)
         posterior = np.where(gold >= 0, np.clip(gold, 0.02, 0.98), sigmoid(odds))
     return posterior
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 16_000, voters: int = 300, features: int = 4_000,
-        least: int = 6) -> Model:
+        least: int = 3) -> Model:
     """Learn from ``docs`` (``doc_id``, ``text``) and the ``toxic`` column of ``labels`` (``doc_id``).
 
     Fitted on about ``sample`` labelled and a quarter as many other documents, chosen by hash (all,
@@ -131,9 +132,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 16_000, voters: int =
     share1, share0 = (F.col("a") + 0.5) / (n1 + 1.0), (F.col("b") + 0.5) / (n0 + 1.0)
     error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
     ranked = counted.withColumn("z", F.log(share1 / share0) / error)
-    toxic_terms = [r["term"] for r in ranked.where("z > 3").where(F.log(share1 / share0) > 1.0)
+    toxic_terms = [r["term"] for r in ranked.where("z > 2.5").where(F.log(share1 / share0) > 1.0)
                    .orderBy(F.desc("z"), "term").limit(voters).collect()]
-    useful = [r["term"] for r in ranked.where("abs(z) > 2").orderBy(F.desc(F.abs("z")), "term").limit(features).collect()]
+    useful = [r["term"] for r in ranked.where("abs(z) > 2.5").orderBy(F.desc(F.abs("z")), "term").limit(features).collect()]
     lexicon = list(dict.fromkeys([*toxic_terms, *PATTERNS]))
     names = list(dict.fromkeys([*lexicon, *useful]))
     at = {t: i for i, t in enumerate(names)}
@@ -152,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 16_000, voters: int =
         return Model(at, np.zeros(len(at)), -5.0)
     first = np.where(votes[:, :len(toxic_terms)].any(1), 0.8, 0.05)
     posterior = label_model(votes, gold, first)
-    weights, bias = fit_sparse(lists, posterior, len(at))
+    weights, bias = fit_sparse(lists, posterior, len(at), penalty=0.2)
     return Model(at, weights, bias)
 
 
