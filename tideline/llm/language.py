@@ -20,7 +20,7 @@ from tideline.llm.tokens import slices
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 #: Words whose scores a worker remembers; beyond it the memory is emptied.
-REMEMBERED = 200_000
+REMEMBERED = 60_000
 
 
 def text_words(text: str) -> list[str]:
@@ -32,27 +32,36 @@ def grams(word: str, n: int) -> list[str]:
     return [edged[i:i + n] for i in range(len(edged) - n + 1)]
 
 
+@dataclass
+class Terms:
+    """Log frequencies by language: a row of ``table`` for each known term."""
+
+    at: dict[str, int]
+    table: np.ndarray
+
+
 @dataclass
 class Model:
-    """Log frequencies by language of words and, by length, of n-grams."""
+    """Known words and, by length, n-grams."""
 
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[int, dict[str, np.ndarray]]
+    words: Terms
+    grams: dict[int, Terms]
     at: dict[str, int] = field(default_factory=dict)
     rows: np.ndarray | None = None
 
     def word(self, word: str) -> np.ndarray:
         """A known word's log frequencies, or the mean of its longest known n-grams', or nothing."""
-        found = self.words.get(word)
+        if word in self.words.at:
+            found = self.words.table[self.words.at[word]]
+            return found - found.sum() / len(found)
         for n in sorted(self.grams, reverse=True):
-            if found is not None:
-                break
-            known = self.grams[n]
+            known = self.grams[n].at
             hits = [known[x] for x in grams(word, n) if x in known]
             if hits:
-                found = sum(hits) / len(hits)
-        return np.zeros(len(self.langs)) if found is None else found - found.sum() / len(found)
+                found = self.grams[n].table[hits].sum(0) / len(hits)
+                return found - found.sum() / len(found)
+        return np.zeros(len(self.langs))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = text_words(text) if text else []
@@ -72,17 +81,17 @@ class Model:
         return self.langs[best], float(odds[best] / odds.sum())
 
 
-def _log_frequencies(rows, langs: list[str]) -> dict[str, np.ndarray]:
+def _log_frequencies(rows, langs: list[str]) -> Terms:
     at = {lang: i for i, lang in enumerate(langs)}
-    counts = {r["term"]: np.zeros(len(langs)) for r in rows}
-    for r in rows:
+    counts = np.zeros((len(rows), len(langs)))
+    for i, r in enumerate(rows):
         for x in r["counts"]:
-            counts[r["term"]][at[x["lang"]]] = x["n"]
-    total = sum(counts.values(), np.zeros(len(langs)))
-    return {t: np.log((c + 0.5) / (total + 0.5 * len(counts))) for t, c in counts.items()}
+            counts[i, at[x["lang"]]] = x["n"]
+    table = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * len(counts)))
+    return Terms({r["term"]: i for i, r in enumerate(rows)}, table.astype(np.float32))
 
 
-def fit(labelled: DataFrame, sample: int = 12_000, most: int = 60_000, orders: tuple[int, ...] = (5, 4, 3, 2, 1),
+def fit(labelled: DataFrame, sample: int = 6_000, most: int = 30_000, orders: tuple[int, ...] = (5, 4, 3, 2, 1),
         ) -> Model:
     """Learn from ``text`` and ``lang``; rows where either is null are left out.
 
@@ -111,7 +120,7 @@ def fit(labelled: DataFrame, sample: int = 12_000, most: int = 60_000, orders: t
                    .groupBy("lang", "term").agg(F.sum("n").alias("n")))
     langs = sorted(r["lang"] for r in seen.select("lang").distinct().collect())
 
-    def top(terms: DataFrame, least: int) -> dict[str, np.ndarray]:
+    def top(terms: DataFrame, least: int) -> Terms:
         each = terms.groupBy("term").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("counts"))
         return _log_frequencies(each.where(F.col("all") >= least).orderBy(F.desc("all"), "term")
                                 .limit(most).collect(), langs)
@@ -134,9 +143,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
-    def predict(text):
-        found = [shared.value.predict(t) for t in text]
-        return pd.DataFrame(found, columns=["lang_pred", "score"])
+    def predict(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([shared.value.predict(t) for t in text], columns=["lang_pred", "score"])
 
     out = docs.withColumn("_language", predict(F.col("text").cast("string")))
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]

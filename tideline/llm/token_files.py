@@ -177,6 +177,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> None:
                         number, held, ids, size = number + 1, [], [], 0
         if held:
             yield full()
+        encoder.forget()
 
     spark = docs.sparkSession
     ordered = (docs.select("doc_id", F.col("text").cast("string").alias("text"))

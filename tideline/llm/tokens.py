@@ -14,8 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Chunks and words remembered per Python worker. Beyond it the memory is emptied, nothing else changes.
-REMEMBERED = 250_000
+#: Chunks and words remembered within a task. Beyond it the memory is emptied, nothing else changes.
+REMEMBERED = 120_000
 #: Chunks of printable ASCII and Latin letters that have one composed form and one lower-case letter.
 LETTER = "a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e"
 PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]*")
@@ -66,7 +66,7 @@ class Encoder:
         if len(self.chunks) > REMEMBERED:
             self.chunks = {"": b""}
         if len(self.words) > REMEMBERED:
-            self.words = {}
+            self.words.clear()
         known = self.chunks
         for chunk in {c for chunks in split for c in chunks}:
             if chunk not in known:
@@ -75,9 +75,14 @@ class Encoder:
         return [b"".join(map(get, chunks)) for chunks in split]
 
 
-@lru_cache(maxsize=2)
+    def forget(self) -> None:
+        """Give the memory back: a worker that has ended a task may wait long for the next."""
+        self.chunks, self.words = {"": b""}, {}
+
+
+@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """One per worker and vocabulary file; every node holds the file at ``path``."""
+    """One per worker; every node holds the vocabulary file at ``path``."""
     return Encoder(path)
 
 
@@ -117,6 +122,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, longest: int | None = None)
                      pa.array([len(p) // 4 for p in part], pa.int64()), pa.array(part, pa.binary()),
                      pa.array(total, pa.int64())],
                     names=["doc_id", "start", "length", "ids", "doc_tokens"])
+        encode.forget()
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
         cut, "doc_id long, start long, length long, ids binary, doc_tokens long")

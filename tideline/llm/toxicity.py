@@ -27,7 +27,7 @@ PATTERNS = {
 }
 #: Lengths of the word beginnings that count as terms beside whole words.
 STEMS = (4, 5, 6)
-REMEMBERED = 200_000
+REMEMBERED = 60_000
 
 
 def word_terms(word: str) -> tuple[str, ...]:
@@ -89,19 +89,19 @@ def label_model(votes: np.ndarray, gold: np.ndarray, toxic_first: np.ndarray, tu
             rest /= np.sqrt((rest ** 2).mean(0) + 1e-9)
             both = np.einsum("ij,ik->jk", rest, rest) / len(rest)
             np.fill_diagonal(both, 0)
-            share = 1 / (1 + np.where(both > 0.1, both, 0).sum(0))
+            share = 1 / (1 + np.where(both > 0.25, both, 0).sum(0))
         odds = np.log(prior / (1 - prior)) + (fires * (share * np.log(on1 / on0))).sum(1)
         posterior = np.where(gold >= 0, np.clip(gold, 0.02, 0.98), sigmoid(odds))
     return posterior
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 16_000, voters: int = 300, features: int = 4_000,
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, voters: int = 300, features: int = 4_000,
         least: int = 3) -> Model:
     """Learn from ``docs`` (``doc_id``, ``text``) and the ``toxic`` column of ``labels`` (``doc_id``).
 
     Fitted on about ``sample`` labelled and a quarter as many other documents, chosen by hash (all,
-    if there are fewer). Voters are the terms seen in at least ``least`` toxic documents that most
-    set toxic documents apart, ``voters`` at most, and the patterns; the classifier has at most
+    if there are fewer). Voters are the terms seen in at least ``least`` toxic documents that best
+    tell toxic documents apart, ``voters`` at most, and the patterns; the classifier has at most
     ``features`` terms. Null labels are left out; of repeated labels the largest counts. Without a
     toxic label every score is low.
     """
@@ -129,12 +129,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 16_000, voters: int =
                .groupBy("term").agg(F.sum(F.expr("int(toxic = 1)")).alias("a"),
                                     F.sum(F.expr("int(toxic = 0)")).alias("b"))
                .where((F.col("a") >= least) | (F.col("b") >= 4 * least)))
-    share1, share0 = (F.col("a") + 0.5) / (n1 + 1.0), (F.col("b") + 0.5) / (n0 + 1.0)
-    error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    ranked = counted.withColumn("z", F.log(share1 / share0) / error)
-    toxic_terms = [r["term"] for r in ranked.where("z > 2.5").where(F.log(share1 / share0) > 1.0)
-                   .orderBy(F.desc("z"), "term").limit(voters).collect()]
-    useful = [r["term"] for r in ranked.where("abs(z) > 2.5").orderBy(F.desc(F.abs("z")), "term").limit(features).collect()]
+    counted = settled(counted)
+    base = n1 / max(n1 + n0, 1)
+    n, q = F.col("a") + F.col("b"), F.col("a") / (F.col("a") + F.col("b"))
+    part = lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(0.0)
+    # Log of how unlikely a term's split is by chance; what chance gives once among all terms is no evidence.
+    ranked = counted.withColumn("evidence", n * (part(q, F.lit(max(base, 1e-9))) + part(1 - q, F.lit(max(1 - base, 1e-9)))))
+    ranked = ranked.where(F.col("evidence") > float(np.log(max(counted.count(), 2))))
+    best = [F.desc("evidence"), F.col("term")]
+    toxic_terms = [r["term"] for r in ranked.where(q > 2 * base).orderBy(*best).limit(voters).collect()]
+    useful = [r["term"] for r in ranked.orderBy(*best).limit(features).collect()]
     lexicon = list(dict.fromkeys([*toxic_terms, *PATTERNS]))
     names = list(dict.fromkeys([*lexicon, *useful]))
     at = {t: i for i, t in enumerate(names)}
@@ -153,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 16_000, voters: int =
         return Model(at, np.zeros(len(at)), -5.0)
     first = np.where(votes[:, :len(toxic_terms)].any(1), 0.8, 0.05)
     posterior = label_model(votes, gold, first)
-    weights, bias = fit_sparse(lists, posterior, len(at), penalty=0.2)
+    weights, bias = fit_sparse(lists, posterior, len(at), penalty=0.01)
     return Model(at, weights, bias)
 
 
