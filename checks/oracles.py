@@ -144,7 +144,7 @@ records AS (
   SELECT ms, seq, key, CAST(word AS BIGINT) AS amount, ms - ms % 30000 AS window_ms
   FROM telemetry WHERE NOT short AND word <> 'many')"""
 
-CAPPED = f"""{TELEMETRY},
+ROLLED = f"""{TELEMETRY},
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY window_ms ORDER BY ms DESC, seq DESC) AS r,
          count(*) OVER (PARTITION BY window_ms) AS n
@@ -153,10 +153,9 @@ defaults AS (
   SELECT * FROM (VALUES ('files_to_ship', 4), ('failed_to_get_sync_list', 3),
                         ('rotated_during_ship', 2), ('lost_during_ship', 1)) d(key, age)),
 entries AS (
-  SELECT window_ms, key, amount FROM ranked WHERE r <= 1000
+  SELECT window_ms, key, amount FROM ranked
   UNION ALL
-  SELECT w.window_ms, d.key, 0 FROM (SELECT DISTINCT window_ms, n FROM ranked) w, defaults d
-  WHERE least(w.n, 1000) + d.age <= 1000),
+  SELECT w.window_ms, d.key, 0 FROM (SELECT DISTINCT window_ms FROM ranked) w, defaults d),
 rolled AS (
   SELECT window_ms, key, CAST(sum(amount) AS BIGINT) AS total FROM entries GROUP BY ALL)"""
 
@@ -212,13 +211,14 @@ flags AS (
 
 CHANNEL = """
 ev AS (
-  SELECT 'h' || (user_id % 4) AS agent, epoch_us(ts) // 1000000 AS second, event_id * 2 AS seq,
-         'poll' AS kind FROM events
+  SELECT 'h' || (user_id % 4) AS agent, epoch_us(ts) // 1000000 AS second, epoch_us(ts) AS us,
+         (1000000000 - event_id) * 2 AS seq, 'poll' AS kind FROM events
   UNION ALL
-  SELECT 'h' || (user_id % 4), epoch_us(ts) // 1000000, event_id * 2 + 1, 'heartbeat' FROM events
+  SELECT 'h' || (user_id % 4), epoch_us(ts) // 1000000, epoch_us(ts),
+         (1000000000 - event_id) * 2 + 1, 'heartbeat' FROM events
   WHERE event_type IN ('click', 'view')),
 numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY agent ORDER BY second, seq) AS n FROM ev),
+  SELECT *, row_number() OVER (PARTITION BY agent ORDER BY us, seq) AS n FROM ev),
 walk AS (
   SELECT agent, n, second, kind, true AS ok, second AS clock, false AS switched
   FROM numbered WHERE n = 1
@@ -296,7 +296,7 @@ sums AS (
   FROM docs)""",
             f"SELECT {dir_cols}, file_name FROM sums "
             "WHERE NOT (left_bytes > 2000 AND label <> newest)"),
-        "snk4_metrics": _with(CAPPED, "SELECT window_ms, key, total FROM rolled"),
+        "snk4_metrics": _with(ROLLED, "SELECT window_ms, key, total FROM rolled"),
         "prj1_label": _with(ROTATED, f"SELECT {dir_cols}, file_name, label FROM files"),
         "prj2_label_time": f"""
 WITH x AS (SELECT o_orderkey, {ORDER_LABEL} AS label FROM orders),
@@ -383,7 +383,7 @@ FROM listing GROUP BY service, host"""),
         "agg5_sum_by_key": _with(
             TELEMETRY, "SELECT key, CAST(sum(amount) AS BIGINT) AS total FROM records GROUP BY key"),
         "agg6_zero_fill": _with(
-            CAPPED, "SELECT window_ms, key FROM (SELECT DISTINCT window_ms, n FROM ranked) w, "
+            ROLLED, "SELECT window_ms, key FROM (SELECT DISTINCT window_ms, n FROM ranked) w, "
                     "defaults d WHERE least(w.n, 1000) + d.age <= 1000"),
         "agg8_collapse": _with(
             SPOILED, f"""
@@ -408,7 +408,7 @@ SELECT service, host, {iso('dir_date')} AS dir_date, file_name FROM (
   SELECT *, dense_rank() OVER (PARTITION BY service, host ORDER BY dir_date DESC) AS r
   FROM listing) WHERE r = 1"""),
         "w3_newest_records": _with(
-            CAPPED, "SELECT window_ms, seq, key, amount FROM ranked WHERE r <= 1000"),
+            ROLLED, "SELECT window_ms, seq, key, amount FROM ranked WHERE r <= 1000"),
         "w4_first_last": _with(
             ROTATED, f"SELECT {dir_cols}, min(file_name) AS first_name, max(file_name) AS "
                      "last_name, arg_max(size_bytes, file_name) AS last_size_bytes "
@@ -432,7 +432,7 @@ SELECT service, host, {iso('dir_date')} AS dir_date, file_name FROM (
                      "WHERE r > 1"),
         "set2_tail_intersection": _with(LISTING, "SELECT agent, file_name FROM candidates"),
         "set3_append_defaults": _with(
-            CAPPED, """
+            ROLLED, """
 , span AS (SELECT min(window_ms) AS lo, max(window_ms) AS hi FROM rolled),
 w AS (SELECT unnest(generate_series(lo, hi, 30000)) AS window_ms FROM span)
 SELECT window_ms, key, total FROM rolled
@@ -473,7 +473,7 @@ sums AS (
                       "num_delivered, count(*) FILTER (gone) AS num_rotated, "
                       "count(*) FILTER (NOT ok AND gone) AS num_lost, "
                       "bool_or(NOT ok AND NOT gone) AS aborted FROM flagged GROUP BY ALL"),
-        "job7_telemetry": _with(CAPPED, "SELECT window_ms, key, total FROM rolled"),
+        "job7_telemetry": _with(ROLLED, "SELECT window_ms, key, total FROM rolled"),
         "job8_failover": _with(
             CHANNEL, "SELECT agent, second, CASE WHEN ok THEN 'primary' ELSE 'secondary' END AS "
                      "channel FROM walk WHERE switched", recursive=True),
@@ -514,7 +514,7 @@ due AS (
         "JOIN due u USING (service, category, host) "
         f"WHERE d.doc_id >= {t.SHIPPED_DOCS} "
         "AND (u.last_taistamp IS NULL OR d.label > u.last_taistamp)")
-    sql["str2_rollup"] = _with(CAPPED, """
+    sql["str2_rollup"] = _with(ROLLED, """
 , span AS (SELECT min(window_ms) AS lo, max(window_ms) AS hi FROM rolled),
 w AS (SELECT unnest(generate_series(lo, hi, 30000)) AS window_ms FROM span)
 SELECT window_ms, key, total FROM rolled
@@ -523,7 +523,10 @@ SELECT w.window_ms, d.key, 0 FROM w, defaults d
 WHERE w.window_ms NOT IN (SELECT window_ms FROM rolled)""")
     sql["str5_failover"] = sql["job8_failover"]
     sql["str6_live_tail"] = sql["flt9_tail"]
-    sql["str7_replay"] = sql["str1_rounds"]
+    sql["str7_replay"] = _with(
+        DOC_UNITS, f"SELECT {dir_cols}, file_name FROM docs WHERE doc_id < {t.SHIPPED_DOCS} "
+                   f"UNION ALL SELECT {dir_cols}, file_name FROM doc_out "
+                   f"WHERE doc_id >= {t.SHIPPED_DOCS}")
     sql["job9_subscriptions"] = sql["flt9_tail"]
     sql["job9_tail"] = sql["flt9_tail"]
     return sql

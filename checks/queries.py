@@ -701,14 +701,20 @@ def str6_live_tail(spark, sf):
 
 @query
 def str7_replay(spark, sf):
-    """The same files through a second, fresh stream: the archive says all is shipped."""
-    spool = t.document_spool(spark, sf)
-    root = scratch_dir(spark, "archive")
-    for _ in range(2):
+    """Two streams with state folders of their own, files added between them: each file once."""
+    spool, root = scratch_dir(spark, "spool"), scratch_dir(spark, "archive")
+    docs = t.documents(spark, sf).select(
+        "doc_id",
+        names.destination_key(F.col("service"), F.col("category"), F.col("host"))
+        .alias("dir_name"),
+        "file_name", F.col("text").alias("body"))
+    for part in ("<", ">="):
+        t.put_files(docs.where(f"doc_id {part} {t.SHIPPED_DOCS}"), spool)
         shipping.start_shipping(
             spark, spool, root, scratch_dir(spark, "ship-state"), clock=lambda _: t.AS_OF,
             once=True, interval_seconds=0,
         ).awaitTermination()
-    return _archived(spark, root)
+    return archive.ledger(spark, root).select(*DIR_KEYS, "file_name")
+
 
 

@@ -224,7 +224,7 @@ def channel_events(spark: SparkSession, sf: str) -> DataFrame:
     )
     return ev.select(
         F.col("host").alias("agent"), "ts", F.posexplode(kinds).alias("_i", "kind"), "event_id"
-    ).select("agent", "ts", (F.col("event_id") * 2 + F.col("_i")).alias("seq"), "kind")
+    ).select("agent", "ts", ((1_000_000_000 - F.col("event_id")) * 2 + F.col("_i")).alias("seq"), "kind")
 
 
 def event_lines(spark: SparkSession, sf: str) -> DataFrame:

@@ -93,3 +93,11 @@ def test_stream_equals_batch_over_several_micro_batches(spark, tmp_path):
         rows = got.where(got.agent == agent).orderBy("seq").collect()
         assert [r.channel for r in rows] == picks
     assert got.where("channel = 'late'").count() == 0
+
+
+def test_time_orders_events_inside_a_second_before_seq(spark):
+    start = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    rows = [("a", start + timedelta(seconds=s), seq, kind) for s, seq, kind in (
+        (0, 0, "heartbeat"), (600.1, 20, "poll"), (600.9, 10, "heartbeat"))]
+    df = spark.createDataFrame(rows, "agent string, ts timestamp, seq bigint, kind string")
+    assert failover.switches(failover.picks(df)).count() == 1

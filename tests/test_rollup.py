@@ -73,3 +73,11 @@ def test_by_columns(spark):
     got = {(r.host, r.key): r.total for r in rollup.rollup(df, by=["host"]).collect()}
     assert got[(0, "x")] == 1 and got[(1, "x")] == 2
     assert len(got) == 2 + 2 * len(DEFAULT_KEYS)
+
+
+def test_no_cap_unless_asked_for(spark):
+    rows = [(i % 29_000, i, "x", 1) for i in range(3_000)]
+    df = records(spark, rows)
+    assert as_dict(rollup.rollup(df))[(0, "x")] == 3_000
+    assert [r.n_dropped for r in rollup.dropped_records(df, ()).collect()] == [2_000]
+    assert rollup.dropped_records(df, (), cap=3_000).isEmpty()

@@ -53,7 +53,37 @@ def test_replayed_micro_batch_changes_nothing(spark, tmp_path):
     for entry in os.listdir(commits):
         os.remove(commits / entry)
     assert ship(spark, tmp_path, AS_OF, interval_seconds=0) == {"s@main@h": ["one"]}
-    assert archive.committed_ids(spark, str(tmp_path / "archive")) == ["batch-0"]
+    name = shipping.stream_name(spark, str(tmp_path / "state"))
+    assert archive.committed_ids(spark, str(tmp_path / "archive")) == [f"{name}-0"]
+
+
+def test_stream_with_new_state_ships_only_what_is_new(spark, tmp_path):
+    root, out = str(tmp_path / "spool"), str(tmp_path / "archive")
+    put(root, "s@main@h", NOW - HOUR, b"one\n")
+    for state in ("first", "second"):
+        shipping.start_shipping(spark, root, out, str(tmp_path / state), clock=lambda _: AS_OF,
+                                once=True, interval_seconds=0).awaitTermination()
+        put(root, "s@main@h", NOW, b"two\n")
+    assert lines_by_dir(spark, out) == {"s@main@h": ["one", "two"]}
+
+
+def test_replay_on_the_next_day_keeps_its_clock_and_doubles_nothing(spark, tmp_path):
+    root, out, state = (str(tmp_path / d) for d in ("spool", "archive", "state"))
+    put(root, "s@main@h", NOW - HOUR, b"one\n")
+    ship(spark, tmp_path, AS_OF)
+    # A crash after the lines were written and before the batch was committed.
+    for day in os.listdir(f"{out}/catalogue"):
+        for batch in os.listdir(f"{out}/catalogue/{day}"):
+            os.remove(f"{out}/catalogue/{day}/{batch}/_SUCCESS")
+    for entry in os.listdir(f"{state}/checkpoint/commits"):
+        os.remove(f"{state}/checkpoint/commits/{entry}")
+    assert ship(spark, tmp_path, "2024-02-01 00:00:05") == {"s@main@h": ["one"]}
+    # Lines that such a crash left under another day, without that batch's marker, are not read.
+    stray = spark.read.parquet(f"{out}/data").drop("dir_date", "publish_id")
+    publish_id = archive.committed_ids(spark, out)[0]
+    stray.write.partitionBy("service", "host").parquet(
+        f"{out}/data/dir_date=2024-02-01/publish_id={publish_id}")
+    assert lines_by_dir(spark, out) == {"s@main@h": ["one"]}
 
 
 def test_rounds_go_on_without_new_files(spark, tmp_path):

@@ -30,15 +30,16 @@ def per_second(events: DataFrame, chunk_seconds: int = CHUNK_SECONDS) -> DataFra
 
     After the first poll of a second no later event of that second can switch, so
     it is enough to know whether there was a poll, a heartbeat, and a heartbeat
-    before the first poll. Rows per agent are bounded by its seconds.
+    before the first poll, by time and then ``seq``. Rows per agent are bounded by its seconds.
     """
     second = F.floor(F.unix_millis("ts") / F.lit(1000)).cast("bigint")
     poll, beat = F.col("kind") == "poll", F.col("kind") == "heartbeat"
+    when = F.struct(F.unix_micros("ts").alias("us"), "seq")
     return (
         events.groupBy("agent", second.alias("second"))
         .agg(
-            F.min(F.when(poll, F.col("seq"))).alias("_poll"),
-            F.min(F.when(beat, F.col("seq"))).alias("_beat"),
+            F.min(F.when(poll, when)).alias("_poll"),
+            F.min(F.when(beat, when)).alias("_beat"),
         )
         .select(
             "agent", "second",

@@ -67,12 +67,14 @@ def zero_rows(groups: DataFrame, by: Sequence[str], cap: int | None = MAX_RECORD
     return rows.select(*by, F.col("_zero.key").alias("key"), F.lit(0).alias("amount"))
 
 
-def rollup(records: DataFrame, by: Sequence[str] = (), cap: int | None = MAX_RECORDS,
+def rollup(records: DataFrame, by: Sequence[str] = (), cap: int | None = None,
            seconds: int = WINDOW_SECONDS,
            default_keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
     """JOB7: (window, *by, key, total) over every window that has a record.
 
-    Without a cap it is one partial aggregate and a union of zeros.
+    One partial aggregate and a union of zeros over all records. A ``cap`` keeps the
+    newest of each group only, as one monitor's buffer does: then ``by`` must name the
+    monitor, and :func:`dropped_records` says what was left out.
     """
     group = ["window_ms", *by]
     windowed = records.withColumn("window_ms", window_start_ms(F.col("ts"), seconds))
@@ -91,6 +93,15 @@ def rollup(records: DataFrame, by: Sequence[str] = (), cap: int | None = MAX_REC
     )
 
 
+def dropped_records(records: DataFrame, by: Sequence[str], cap: int = MAX_RECORDS,
+                    seconds: int = WINDOW_SECONDS) -> DataFrame:
+    """How many records of each window and group a cap leaves out; groups within it have no row."""
+    windowed = records.withColumn("window_ms", window_start_ms(F.col("ts"), seconds))
+    counts = windowed.groupBy("window_ms", *by).agg(F.count(F.lit(1)).alias("n_records"))
+    return counts.where(F.col("n_records") > cap).withColumn(
+        "n_dropped", F.col("n_records") - cap)
+
+
 def with_empty_windows(rolled: DataFrame, lo_ms: int, hi_ms: int, seconds: int = WINDOW_SECONDS,
                        default_keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
     """Add zeros for the windows in [lo_ms, hi_ms) that have no record at all.

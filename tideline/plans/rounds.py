@@ -32,7 +32,7 @@ def run_round(spark: SparkSession, spool: str, archive_root: str, as_of: str, ro
     """JOB1 to JOB3 and the publish, on ``spool/<service@category@host>/<file>``.
 
     ``listing`` may give the inventory instead of listing the spool. The archive's
-    own catalogue keeps repeated rounds from shipping a file twice; ``parity`` relies
+    own ledger keeps repeated rounds from shipping a file twice; ``parity`` relies
     on the look-back alone.
     """
     found = listing if listing is not None else files.rotated_files(spark, spool).where("dir_ok")
@@ -43,14 +43,19 @@ def run_round(spark: SparkSession, spool: str, archive_root: str, as_of: str, ro
         interval_seconds, max_ready_bytes, max_look_back_days,
     ))
     since_age_limit = files.lookback_days(as_of, max_look_back_days + 1)
-    shipped = None if parity else archive.ledger_marks(spark, archive_root, since_age_limit)
-    todo = ship.outstanding(usable, plan, as_of, max_look_back_days, shipped=shipped)
+    todo = ship.outstanding(usable, plan, as_of, max_look_back_days)
+    if not parity:
+        todo = archive.unpublished(todo, archive_root, since_age_limit)
+    todo = settled(todo)
     units = settled(compact.batches(todo, shard_bytes))
     published = False
     if units.limit(1).count():
         oldest = units.agg(F.min("first_label")).first()[0]
         lines = files.log_lines(spark, spool, from_name=f"@{oldest}")
-        merged = compact.merged_lines(lines, units, as_of, shard_bytes)
+        # Exactly the planned files: one that appeared since waits for the next round.
+        planned = join_keyed(lines, todo.select(*DIR_KEYS, "file_name").distinct(),
+                             [*DIR_KEYS, "file_name"], "inner")
+        merged = compact.merged_lines(planned, units, as_of, shard_bytes)
         sources = join_keyed(todo, units.select(*DIR_KEYS, "archive_name"), DIR_KEYS, "inner")
         published = archive.publish(merged, units, sources, archive_root, round_id, as_of)
     return Round(plan, units, todo, published)

@@ -3,12 +3,13 @@
 Layout under the archive root:
 
     data/dir_date=<day>/publish_id=<id>/service=/host=/*.parquet   merged lines
-    ledger/publish_id=<id>/*.parquet                               source files
+    ledger/dir_date=<day>/publish_id=<id>/*.parquet                source files
     catalogue/dir_date=<day>/publish_id=<id>/*.parquet             archive files
 
 A batch is published when its catalogue folder has its success marker; it is
 written last and readers start from it, so a batch is visible whole or not at
-all, and a second publish of the same id changes nothing.
+all, and a second publish of the same id changes nothing. What is committed is
+the pair of day and id: folders that a crash left under another day are not read.
 """
 
 from __future__ import annotations
@@ -34,30 +35,40 @@ LINES_SCHEMA = (
 )
 LEDGER_SCHEMA = (
     "service string, category string, host string, file_name string, label string, "
-    "archive_name string, publish_id string"
+    "archive_name string, publish_id string, dir_date date"
 )
+FILE_KEYS = ["service", "category", "host", "file_name"]
 SNAPPY, DEFLATE = (
     "org.apache.hadoop.io.compress.SnappyCodec",
     "org.apache.hadoop.io.compress.DefaultCodec",
 )
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    if not matching_paths(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
-
+def committed(spark: SparkSession, root: str,
+              days: Sequence[str] | None = None) -> list[tuple[str, str]]:
+    """Day and id of the batches whose catalogue is complete: one pair per batch, not per file.
 
-def committed_ids(spark: SparkSession, root: str, days: Sequence[str] | None = None) -> list[str]:
-    """Batches whose catalogue is complete: one name per batch, not per file."""
+    ``days`` lists those days' folders only.
+    """
     day = f"{{{','.join(days)}}}" if days else "*"
     found = matching_paths(spark, f"{root}/catalogue/dir_date={day}/publish_id=*/_SUCCESS")
-    return [path.split("/")[-2].split("=", 1)[1] for path in found]
+    return sorted(tuple(part.split("=", 1)[1] for part in path.split("/")[-3:-1]) for path in found)
+
+
+def committed_ids(spark: SparkSession, root: str, days: Sequence[str] | None = None) -> list[str]:
+    """Ids of the committed batches."""
+    return [publish_id for _, publish_id in committed(spark, root, days)]
 
 
-def _committed(spark: SparkSession, root: str, table: DataFrame) -> DataFrame:
-    """Keep committed batches: a partition filter, so others are not even read."""
-    return table.where(F.col("publish_id").isin(committed_ids(spark, root)))
+def _committed(spark: SparkSession, root: str, table: str, schema: str,
+               days: Sequence[str] | None = None) -> DataFrame:
+    """A table's committed folders; others are neither listed nor read."""
+    base = f"{root}/{table}"
+    folders = [f"{base}/dir_date={day}/publish_id={publish_id}"
+               for day, publish_id in committed(spark, root, days)]
+    if not folders:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", base).parquet(*folders)
 
 
 def is_published(spark: SparkSession, root: str, publish_id: str) -> bool:
@@ -85,7 +96,7 @@ def publish(lines: DataFrame, units: DataFrame, source_files: DataFrame, root: s
     )
     source_files.select(
         "service", "category", "host", "file_name", "label", "archive_name"
-    ).write.mode("overwrite").parquet(f"{root}/ledger/publish_id={publish_id}")
+    ).write.mode("overwrite").parquet(f"{root}/ledger/dir_date={day}/publish_id={publish_id}")
     units.select(
         F.col("archive_name").alias("file_name"), "service", "category", "host",
         "n_files", "bytes", "last_label",
@@ -97,10 +108,7 @@ def publish(lines: DataFrame, units: DataFrame, source_files: DataFrame, root: s
 
 def catalogue(spark: SparkSession, root: str, days: Sequence[str] | None = None) -> DataFrame:
     """Committed archive files; ``days`` prunes to the directories of a look-back."""
-    rows = _read(spark, f"{root}/catalogue", CATALOGUE_SCHEMA)
-    if days:
-        rows = rows.where(F.col("dir_date").isin([F.lit(d).cast("date") for d in days]))
-    return rows.where(F.col("publish_id").isin(committed_ids(spark, root, days)))
+    return _committed(spark, root, "catalogue", CATALOGUE_SCHEMA, days)
 
 
 def parsed_catalogue(spark: SparkSession, root: str,
@@ -112,28 +120,36 @@ def parsed_catalogue(spark: SparkSession, root: str,
 
 def archived_lines(spark: SparkSession, root: str) -> DataFrame:
     """All committed lines; ``label, block, pos`` restores the order of a unit."""
-    return _committed(spark, root, _read(spark, f"{root}/data", LINES_SCHEMA))
+    return _committed(spark, root, "data", LINES_SCHEMA)
 
 
-def ledger(spark: SparkSession, root: str) -> DataFrame:
+def ledger(spark: SparkSession, root: str, days: Sequence[str] | None = None) -> DataFrame:
     """Every committed source file with the archive file that holds its lines."""
-    return _committed(spark, root, _read(spark, f"{root}/ledger", LEDGER_SCHEMA))
+    return _committed(spark, root, "ledger", LEDGER_SCHEMA, days)
 
 
 def ledger_marks(spark: SparkSession, root: str, days: Sequence[str] | None = None,
                  keys: Sequence[str] = KEYS) -> DataFrame:
-    """STR7: greatest published label per key, whatever directory it went to.
+    """Greatest published label per key, whatever directory it went to.
 
-    Files ship in label order, so this one label per key says for every source
-    file whether it was published. It comes from the catalogue, one row per unit;
-    ``days`` back to the age limit are enough, since a label published before is
-    older than any file that may still ship.
+    From the catalogue, one row per unit. It says where shipping stands, not which
+    files were shipped; for that see :func:`unpublished`.
     """
     return catalogue(spark, root, days).groupBy(*keys).agg(
         F.max("last_label").alias("ledger_label")
     )
 
 
+def unpublished(files: DataFrame, root: str, days: Sequence[str]) -> DataFrame:
+    """STR7: the files, named by service, category, host and file name, that no batch has published.
+
+    ``days`` back to the age limit are enough: a batch of a day before holds only
+    files that are too old to ship now.
+    """
+    known = ledger(files.sparkSession, root, days).select(*FILE_KEYS).distinct()
+    return files.join(known, FILE_KEYS, "left_anti")
+
+
 def write_sequence_file(lines: DataFrame, path: str, codec: str = SNAPPY) -> None:
     """SNK1, compatible form: block-compressed (ship time in ms, line bytes) records.
 

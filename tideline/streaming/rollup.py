@@ -12,7 +12,7 @@ from tideline.functions import telemetry
 from tideline.functions.telemetry import DEFAULT_KEYS
 from tideline.operators import rollup
 from tideline.operators.joins import settled
-from tideline.operators.rollup import MAX_RECORDS, WINDOW_SECONDS
+from tideline.operators.rollup import WINDOW_SECONDS
 from tideline.session import read_folders
 
 HOUR_MS = 3_600_000
@@ -68,10 +68,10 @@ def _emit(spark: SparkSession, state_root: str, out: str, name: str, lo: int, hi
 
 
 def start_rollup(reports: DataFrame, state_root: str, out: str, once: bool = False,
-                 delay_seconds: int = 30, cap: int | None = MAX_RECORDS,
+                 delay_seconds: int = 30, cap: int | None = None,
                  seconds: int = WINDOW_SECONDS, round_seconds: int = 30,
                  default_keys: Sequence[str] = DEFAULT_KEYS) -> StreamingQuery:
-    """SNK4: capped and zero-filled rollup of closed windows, exactly once.
+    """SNK4: zero-filled rollup of closed windows, exactly once; all records unless a cap is given.
 
     Micro-batches stage their records by hour; a window is rolled up by the batch
     operator when the newest record is ``delay_seconds`` past its end. Records of
@@ -123,7 +123,7 @@ def start_rollup(reports: DataFrame, state_root: str, out: str, once: bool = Fal
     return writer.trigger(processingTime=f"{round_seconds} seconds").start()
 
 
-def finish_rollup(spark: SparkSession, state_root: str, out: str, cap: int | None = MAX_RECORDS,
+def finish_rollup(spark: SparkSession, state_root: str, out: str, cap: int | None = None,
                   seconds: int = WINDOW_SECONDS,
                   default_keys: Sequence[str] = DEFAULT_KEYS) -> None:
     """Roll up what is still open after the stream has ended for good."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -44,6 +45,25 @@ def seen_files(spark: SparkSession, state_root: str, as_of: str,
     return read_folders(spark, f"{state_root}/seen", "day", recent, SEEN_SCHEMA).drop("day")
 
 
+def stream_name(spark: SparkSession, state_root: str) -> str:
+    """The name of a stream's state folder, given once: batch numbers begin anew in each."""
+    path = f"{state_root}/name"
+    if not matching_paths(spark, f"{path}/_SUCCESS"):
+        spark.createDataFrame([(uuid.uuid4().hex,)], "name string").write.mode(
+            "overwrite").parquet(path)
+    return spark.read.parquet(path).first()["name"]
+
+
+def batch_clock(spark: SparkSession, state_root: str, batch_id: int,
+                clock: Callable[[int], str]) -> str:
+    """The time of a micro-batch, kept so that its replay has the same."""
+    path = f"{state_root}/clock/batch_id={batch_id}"
+    if not matching_paths(spark, f"{path}/_SUCCESS"):
+        spark.createDataFrame([(clock(batch_id),)], "as_of string").write.mode(
+            "overwrite").parquet(path)
+    return spark.read.parquet(path).first()["as_of"]
+
+
 def _batch_files(spark: SparkSession, state_root: str, batch_id: int) -> DataFrame:
     paths = matching_paths(spark, f"{state_root}/seen/day=*/batch_id={batch_id}")
     if not paths:
@@ -64,8 +84,11 @@ def start_shipping(spark: SparkSession, spool: str, archive_root: str, state_roo
     Each micro-batch adds its new files to the seen table and runs one round over
     all of them. Rounds also happen when no file arrives, since a held-back file
     may become due by time alone. A replayed micro-batch overwrites its own seen
-    folder and finds its publish id committed, so nothing is shipped twice.
+    folder, takes the time of its first run and finds its publish id committed, so
+    nothing is shipped twice. Publish ids carry the stream's own name, so a stream with
+    a new state folder ships what the archive's ledger does not have.
     """
+    name = stream_name(spark, state_root)
     found = streams.new_rotated_files(spark, spool, max_files)
     if not once:
         ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
@@ -75,7 +98,7 @@ def start_shipping(spark: SparkSession, spool: str, archive_root: str, state_roo
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        as_of = clock(batch_id)
+        as_of = batch_clock(session, state_root, batch_id, clock)
         fresh = batch.where("file_name IS NOT NULL")
         day = F.to_date(labels.decode(F.col("label")))
         (
@@ -88,7 +111,7 @@ def start_shipping(spark: SparkSession, spool: str, archive_root: str, state_roo
         seen = seen_files(session, state_root, as_of, max_look_back_days)
         listing = seen.drop("batch_id")
         done = rounds.run_round(
-            session, spool, archive_root, as_of, f"batch-{batch_id}", listing,
+            session, spool, archive_root, as_of, f"{name}-{batch_id}", listing,
             interval_seconds, max_ready_bytes, max_look_back_days, shard_bytes,
         )
         just_seen = inventory.usable(_batch_files(session, state_root, batch_id))
