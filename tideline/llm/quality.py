@@ -144,7 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, rounds: int =
     slot = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(grain))
     n_known, n_docs = known.count(), docs.count()
     chosen = known.where(slot < grain * min(1.0, sample / max(n_known, 1)))
-    joined = docs.join(chosen, "doc_id", "left").where(
+    # About ``sample`` rows, by the filter above: texts that are not chosen stay where they are.
+    joined = docs.join(F.broadcast(chosen), "doc_id", "left").where(
         F.col("quality").isNotNull() | (slot < grain * min(1.0, sample / max(n_docs, 1))))
 
     @F.pandas_udf("text array<double>, meta array<double>")

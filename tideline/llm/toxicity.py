@@ -110,7 +110,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, voters: int =
     slot = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(grain))
     n_known, n_docs = known.count(), docs.count()
     chosen = known.where(slot < grain * min(1.0, sample / max(n_known, 1)))
-    joined = docs.select("doc_id", "text").join(chosen, "doc_id", "left").where(
+    # About ``sample`` rows, by the filter above: texts that are not chosen stay where they are.
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left").where(
         F.col("toxic").isNotNull() | (slot < grain * min(1.0, sample / 4 / max(n_docs, 1))))
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
