@@ -81,3 +81,27 @@ def scan(docs: DataFrame, templates: DataFrame, least: float = 0.8) -> DataFrame
         F.min(F.struct((-F.col("dice")).alias("minus"), "license")).alias("best"))
     return best.groupBy("doc_id", F.col("best.license").alias("license")).agg(
         F.max(-F.col("best.minus")).alias("dice"), F.count("*").alias("n_units"))
+
+
+def oracle_sql(least: float = 0.8) -> str:
+    """The same scan of ``documents`` for :data:`NOTICES`, in DuckDB's SQL."""
+    plain = "regexp_replace(regexp_replace(translate({0}, '" + UPPER + "', '" + LOWER + "'), '[^a-z0-9\n]+', ' ', 'g'), ' *\n *', '\n', 'g')"
+    count = "greatest(length({0}) - length(replace({0}, ' ', '')), 1)"
+    pairs = ("CASE WHEN contains({0}, ' ') THEN list_distinct(list_transform(generate_series(1, len(string_split({0}, ' ')) - 1), "
+             "lambda i: string_split({0}, ' ')[i] || ' ' || string_split({0}, ' ')[i + 1])) ELSE [{0}] END")
+    listed = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in NOTICES.items())
+    return f"""
+WITH notices AS (SELECT license, trim(replace({plain.format('notice')}, chr(10), ' ')) AS unit FROM (VALUES {listed}) t(license, notice)),
+known AS (SELECT license, {pairs.format('unit')} AS t, {count.format('unit')} AS tn FROM notices),
+plain AS (SELECT doc_id, {plain.format('text')} AS s FROM documents WHERE text IS NOT NULL),
+units AS (
+  SELECT DISTINCT doc_id, trim(replace(unit, chr(10), ' ')) AS unit FROM (
+    SELECT doc_id, unnest(list_concat(string_split(s, chr(10)), regexp_split_to_array(s, '\n\n+'),
+                                      [regexp_replace(s, '\n+', ' ', 'g')])) AS unit FROM plain)),
+sized AS (SELECT doc_id, unit, {count.format('unit')} AS n FROM units WHERE unit <> ''),
+met AS (
+  SELECT doc_id, unit, license,
+         2.0::DOUBLE * len(list_intersect({pairs.format('unit')}, t)) / (n + tn) AS dice
+  FROM sized JOIN known ON n BETWEEN ceil({least} / (2 - {least}) * tn - 1e-9) AND floor((2 - {least}) / {least} * tn + 1e-9)),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, license) AS r FROM met WHERE dice >= {least})
+SELECT doc_id, license, max(dice) AS dice, count(*) AS n_units FROM best WHERE r = 1 GROUP BY doc_id, license"""
