@@ -83,12 +83,12 @@ def _auc(score: np.ndarray, y: np.ndarray) -> float:
 def cotrain(views: list[np.ndarray], gold: np.ndarray, rounds: int, share: float) -> list[View]:
     """Fit one classifier for each view.
 
-    ``gold`` is 1, 0, or -1 where it is not known. A fifth of the known rows is kept aside for calibration. In each
+    ``gold`` is 1, 0, or -1 where it is not known. A fifth of the known rows of each kind is kept aside for calibration. In each
     round either view labels, of the rows not known to the other, the ``share`` it is surest of on
     both sides, in the proportion of the labels; the other learns from them in the next round.
     """
     known = np.flatnonzero(gold >= 0)
-    aside = known[np.arange(len(known)) % 5 == 4]
+    aside = np.concatenate([np.flatnonzero(gold == kind)[4::5] for kind in (0, 1)])
     base = np.where(np.isin(np.arange(len(gold)), aside), -1, gold)
     taught = [base.astype(float), base.astype(float)]
     good = float(np.mean(gold[known])) if len(known) else 0.5
