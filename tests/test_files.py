@@ -229,3 +229,13 @@ def test_shard_width_follows_the_biggest_shard(spark):
                      ("spread", 2000): 0, ("spread", 300): 13, ("spread", 50): 24}
     assert DIR_KEYS == ["service", "category", "host"]
     assert ship.MAX_READY_BYTES == 1024**3
+
+
+def test_bad_directories_are_quarantined_and_idle_folders_not_read(spark, tmp_path):
+    root, out = str(tmp_path / "spool"), str(tmp_path / "archive")
+    put(root, "s@main@h", NOW - HOUR, b"one\n")
+    put(root, "bad@name", NOW - HOUR, b"lost\n")
+    done = rounds.run_round(spark, root, out, AS_OF, "r1")
+    assert rounds.shipping_folders(root, done.units) == [f"{root}/s@main@h"]
+    bad = spark.read.parquet(f"{out}/quarantine").collect()
+    assert [(r.dir_name, r.error_kind) for r in bad] == [("bad@name", "bad_directory")]

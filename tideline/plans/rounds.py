@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.functions import names
 from tideline.operators import inventory
 from tideline.operators.inventory import DIR_KEYS, MAX_LOOK_BACK_DAYS
 from tideline.operators.joins import join_keyed, settled
@@ -22,6 +23,31 @@ class Round:
     published: bool
 
 
+# Folders of one round that are named one by one; with more, the spool is read as a whole.
+MAX_FOLDERS = 20_000
+
+
+def shipping_folders(spool: str, units: DataFrame) -> str | list[str]:
+    """The folders of the units: those of throttled and finished directories are not opened.
+
+    One path per directory, whatever its files. Names that a path pattern would read
+    otherwise make it the whole spool.
+    """
+    key = names.destination_key(F.col("service"), F.col("category"), F.col("host"))
+    found = [r[0] for r in units.select(key).distinct().limit(MAX_FOLDERS + 1).collect()]
+    if len(found) > MAX_FOLDERS or any(set(name) & set("{}[]*?\\,^") for name in found):
+        return spool
+    return [f"{spool}/{name}" for name in found]
+
+
+def quarantine(listed: DataFrame, archive_root: str, round_id: str) -> None:
+    """Files below folders that are no service directory, kept for whoever looks after the spool."""
+    listed.where("NOT dir_ok").select(
+        "dir_name", "file_name", "size_bytes", F.lit("bad_directory").alias("error_kind"),
+        F.lit(True).alias("is_fatal"),
+    ).write.mode("overwrite").parquet(f"{archive_root}/quarantine/round_id={round_id}")
+
+
 def run_round(spark: SparkSession, spool: str, archive_root: str, as_of: str, round_id: str,
               listing: DataFrame | None = None,
               interval_seconds: int | Column = ship.SHIP_INTERVAL_SECONDS,
@@ -35,7 +61,11 @@ def run_round(spark: SparkSession, spool: str, archive_root: str, as_of: str, ro
     own ledger keeps repeated rounds from shipping a file twice; ``parity`` relies
     on the look-back alone.
     """
-    found = listing if listing is not None else files.rotated_files(spark, spool).where("dir_ok")
+    found = listing
+    if found is None:
+        listed = settled(files.rotated_files(spark, spool))
+        quarantine(listed, archive_root, round_id)
+        found = listed.where("dir_ok")
     usable = settled(inventory.usable(found.select(*DIR_KEYS, "file_name", "size_bytes")))
     days = files.lookback_days(as_of, max_look_back_days)
     plan = settled(ship.ship_plan(
@@ -51,7 +81,7 @@ def run_round(spark: SparkSession, spool: str, archive_root: str, as_of: str, ro
     published = False
     if units.limit(1).count():
         oldest = units.agg(F.min("first_label")).first()[0]
-        lines = files.log_lines(spark, spool, from_name=f"@{oldest}")
+        lines = files.log_lines(spark, shipping_folders(spool, units), from_name=f"@{oldest}")
         # Exactly the planned files: one that appeared since waits for the next round.
         planned = join_keyed(lines, todo.select(*DIR_KEYS, "file_name").distinct(),
                              [*DIR_KEYS, "file_name"], "inner")
