@@ -60,19 +60,32 @@ def digests(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(digest, "doc_id long, n_shingles long, class long")
 
 
-def _dealt(hashes: np.ndarray, columns: list[np.ndarray], buckets: int, extra: list) -> pa.RecordBatch:
-    """One row per bucket of hashes, with the columns that belong to them as binaries."""
+def _dealt(hashes: np.ndarray, refs: np.ndarray, sizes: np.ndarray, buckets: int,
+           credits: tuple[bytes, bytes] = (b"", b"")) -> pa.RecordBatch:
+    """One row per bucket of hashes. The classes they belong to come as runs: class, set size, length.
+
+    ``hashes`` must be grouped by class.
+    """
     bucket = (hashes % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
-    which, start = np.unique(bucket[order], return_index=True)
-    ends = np.r_[start[1:], len(order)]
-    cut = lambda x: pa.array([x[order[a:b]].tobytes() for a, b in zip(start, ends)], pa.binary())
-    rest = [pa.array([e] + [b""] * (len(which) - 1), pa.binary()) for e in extra]
-    names = ["bucket", "hashes", *(f"c{i}" for i in range(len(columns))), *(f"e{i}" for i in range(len(extra)))]
-    return pa.RecordBatch.from_arrays([pa.array(which), cut(hashes), *map(cut, columns), *rest], names=names)
+    bucket, refs, hashes = bucket[order], refs[order], hashes[order]
+    runs = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (refs[1:] != refs[:-1])])
+    lengths = np.diff(np.r_[runs, len(bucket)]).astype(np.int32)
+    which, start = np.unique(bucket, return_index=True)
+    ends = np.r_[start[1:], len(bucket)]
+    low, high = np.searchsorted(runs, start), np.searchsorted(runs, ends)
+    cut = lambda x, a, b: pa.array([x[i:j].tobytes() for i, j in zip(a, b)], pa.binary())
+    first = lambda x: pa.array([x] + [b""] * (len(which) - 1), pa.binary())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(which), cut(hashes, start, ends), cut(refs[runs], low, high),
+         cut(sizes[order][runs].astype(np.int32), low, high), cut(lengths, low, high), *map(first, credits)],
+        names=["bucket", "hashes", "classes", "sizes", "lengths", "credited", "credit"])
+
 
+DEALT = "bucket int, hashes binary, classes binary, sizes binary, lengths binary, credited binary, credit binary"
 
-def _joined(table: pa.Table, column: str, kind: str) -> np.ndarray:
+
+def _joined(table: pa.Table, column: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(column).to_pylist()), kind)
 
 
@@ -100,12 +113,14 @@ def shared_counts(docs: DataFrame, size: int, percent: int) -> DataFrame:
             start = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
             nth = np.arange(len(hashes)) - np.repeat(start, np.diff(np.r_[start, len(hashes)]))
             who, times = np.unique(refs[nth > 1], return_counts=True)
-            keep = nth < 2
-            yield _dealt(hashes[keep], [refs[keep]], buckets,
-                         [who.tobytes(), times.astype(np.int64).tobytes()])
+            keep = np.flatnonzero(nth < 2)
+            keep = keep[np.argsort(refs[keep], kind="stable")]
+            yield _dealt(hashes[keep], refs[keep], np.zeros(len(keep)), buckets,
+                         (who.tobytes(), times.astype(np.int64).tobytes()))
 
     def count(table: pa.Table) -> pa.Table:
-        hashes, refs = _joined(table, "hashes", np.uint64), _joined(table, "c0", np.int64)
+        hashes = _joined(table, "hashes", np.uint64)
+        refs = np.repeat(_joined(table, "classes", np.int64), _joined(table, "lengths", np.int32))
         order = np.lexsort((refs, hashes))
         hashes, refs = hashes[order], refs[order]
         new = np.r_[True, (hashes[1:] != hashes[:-1]) | (refs[1:] != refs[:-1])]
@@ -113,10 +128,10 @@ def shared_counts(docs: DataFrame, size: int, percent: int) -> DataFrame:
         same = hashes[1:] == hashes[:-1]
         both = np.r_[same, False] | np.r_[False, same]
         who, times = np.unique(refs[both], return_counts=True)
-        return pa.table({"class": np.r_[who, _joined(table, "e0", np.int64)],
-                         "shared": np.r_[times.astype(np.int64), _joined(table, "e1", np.int64)]})
+        return pa.table({"class": np.r_[who, _joined(table, "credited", np.int64)],
+                         "shared": np.r_[times.astype(np.int64), _joined(table, "credit", np.int64)]})
 
-    dealt = docs.mapInArrow(emit, "bucket int, hashes binary, c0 binary, e0 binary, e1 binary")
+    dealt = docs.mapInArrow(emit, DEALT)
     return (dealt.groupBy("bucket").applyInArrow(count, "class long, shared long")
             .groupBy("class").agg(F.sum("shared").alias("shared")))
 
@@ -150,12 +165,13 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
             refs, n, raw = (c.to_pylist() for c in batch.columns)
             sizes = [len(r) // 8 for r in raw]
             yield _dealt(np.frombuffer(b"".join(raw), np.uint64),
-                         [np.repeat(np.array(refs, np.int64), sizes), np.repeat(np.array(n, np.int64), sizes)],
-                         buckets, [])
+                         np.repeat(np.array(refs, np.int64), sizes), np.repeat(np.array(n, np.int64), sizes), buckets)
 
     def frequencies(table: pa.Table) -> pa.Table:
         hashes = _joined(table, "hashes", np.uint64)
-        refs, n = _joined(table, "c0", np.int64), _joined(table, "c1", np.int64)
+        lengths = _joined(table, "lengths", np.int32)
+        refs = np.repeat(_joined(table, "classes", np.int64), lengths)
+        n = np.repeat(_joined(table, "sizes", np.int32), lengths).astype(np.int64)
         _, back, times = np.unique(hashes, return_inverse=True, return_counts=True)
         times = times[back]
         keep = times > 1
@@ -173,7 +189,7 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
                          "prefix": pa.array([] if empty else [hashes[order].tolist()], pa.list_(pa.int64())),
                          "lists": pa.array([] if empty else [sets[order].tolist()], pa.list_(pa.int64()))})
 
-    shared = (sets.mapInArrow(emit, "bucket int, hashes binary, c0 binary, c1 binary")
+    shared = (sets.mapInArrow(emit, DEALT)
               .groupBy("bucket").applyInArrow(frequencies, "class long, n long, hash long, sets long"))
     return shared.groupBy("class").applyInArrow(
         first, "class long, n long, prefix array<long>, lists array<long>")
@@ -183,13 +199,14 @@ def boundary(ordered: DataFrame, percent: int) -> int:
     """The set size up to which enumerating 2-subsets costs less than scanning lists.
 
     Costs by size class (each a quarter larger than the last, so a few dozen rows): subsets that
-    the small sets write, list entries that the large ones and those near the boundary read.
+    the small sets write; list entries that the large ones and those near the boundary write
+    and that are then compared with a hub. A set larger than the one with a short prefix costs
+    more as subsets, however few there are of it.
     """
     length = F.size("prefix")
     rows = (ordered.groupBy(F.floor(F.log("n") / F.log(F.lit(1.25))).alias("step")).agg(
         F.max("n").alias("n"), F.sum(length * (length - 1) / 2).alias("subsets"),
-        F.sum(F.aggregate(F.slice("lists", 1, F.greatest(length - 1, F.lit(1))), F.lit(0).cast("long"),
-                          lambda a, x: a + x)).alias("scanned")).orderBy("step").collect())
+        F.sum(2 * (length - 1)).alias("scanned")).orderBy("step").collect())
     best, chosen = None, 0
     for i in range(len(rows) + 1):
         top = rows[i - 1]["n"] if i else 0
