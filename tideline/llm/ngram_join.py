@@ -29,6 +29,8 @@ from tideline.operators.joins import join_keyed
 
 #: Share of a set that the first filter wants to find elsewhere. Changes cost, not results.
 SLACK = 0.05
+#: Rounds of hubs before what they did not connect is compared pair by pair. Changes cost, not results.
+HUB_TURNS = 3
 
 
 def least_overlap(n, percent: int):
@@ -257,30 +259,33 @@ def class_links(sets: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
     useful = stats.where("c > 1").where(~F.col("heavy") | (F.col("top") > limit)).select("key", "heavy")
     keys = settled(keys.join(useful, ["key", "heavy"]))
     fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    links, labels = [], None
-    for turn in range(2):
-        rank = F.struct(F.xxhash64("class", F.lit(turn)).alias("r"), F.col("class").alias("c"), F.col("n").alias("m"))
+    keys = keys.withColumn("label", F.col("class"))
+    links, tried = None, None
+    for turn in range(HUB_TURNS):
+        rank = F.struct(F.xxhash64("label", F.lit(turn)).alias("r"), F.xxhash64("class", F.lit(turn)).alias("s"),
+                        F.col("class").alias("c"), F.col("n").alias("m"), F.col("label").alias("l"))
         hubs = keys.groupBy("key", "heavy").agg(F.min(rank).alias("h")).select(
-            "key", "heavy", F.col("h.c").alias("hub"), F.col("h.m").alias("m"))
-        tried = (keys.join(hubs, ["key", "heavy"]).where("class <> hub").where(fits)
-                 .select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct())
-        found = settled(verified(tried, sets, percent))
-        links.append(found)
-        # What one hub joined is connected. The hub stands for itself.
-        labels = (found.groupBy(F.col("a").alias("class")).agg(F.min("b").alias("label"))
-                  .unionByName(found.select(F.col("b").alias("class"), F.col("b").alias("label")).distinct())
-                  .groupBy("class").agg(F.min("label").alias("label")))
-        keys = keys.drop("label").join(labels, "class", "left").withColumn(
-            "label", F.coalesce("label", "class"))
+            "key", "heavy", F.col("h.c").alias("hub"), F.col("h.m").alias("m"), F.col("h.l").alias("hub_label"))
+        pairs = (keys.join(hubs, ["key", "heavy"]).where("label <> hub_label").where(fits)
+                 .select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct())
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = settled(pairs)
+        found = settled(verified(pairs, sets, percent))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
+        # What is connected by now needs no more comparing.
+        groups = components(keys.select(F.col("class").alias("id")).distinct(), links).select(
+            F.col("id").alias("class"), F.col("component").alias("label"))
+        keys = keys.drop("label").join(settled(groups), "class")
         open_keys = keys.groupBy("key", "heavy").agg(
             F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "heavy")
         keys = settled(keys.join(open_keys, ["key", "heavy"]))
     one = keys.select("key", "heavy", F.col("class").alias("a"), "n", F.col("label").alias("la"))
     two = keys.select("key", "heavy", F.col("class").alias("b"), F.col("n").alias("m"), F.col("label").alias("lb"))
     rest = one.join(two, ["key", "heavy"]).where("a < b and la <> lb").where(fits).select("a", "b").distinct()
-    tried = links[0].unionByName(links[1])
-    links.append(verified(rest.join(tried, ["a", "b"], "left_anti"), sets, percent))
-    return links[0].unionByName(links[1]).unionByName(links[2])
+    left = verified(rest.join(tried, ["a", "b"], "left_anti"), sets, percent)
+    return links.unionByName(left)
 
 
 def join(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
