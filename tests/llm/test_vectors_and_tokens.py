@@ -68,6 +68,16 @@ def test_near_equal_vectors_are_grouped(spark):
     assert embedding_dedup.dedup(df.limit(0)).collect() == []
 
 
+def test_a_large_group_of_near_copies_over_many_cells_loses_no_link(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(900, 16))
+    x[:300] = x[0] + rng.normal(size=(300, 16)) * np.sqrt((x[0] ** 2).mean()) * 0.3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], VECTORS)
+    c = cosines(x) >= 0.9
+    links = {r.vec_id: r.n_links for r in embedding_dedup.dedup(df, cell_size=15, block=256).collect()}  # 60 cells
+    assert links == {i: int(c[i].sum()) - 1 for i in range(900)}
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(0, 30), max_size=25))
 def test_plans_meet_every_demand(histogram):

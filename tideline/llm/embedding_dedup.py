@@ -58,15 +58,13 @@ def _comparer(least: float, dim: int):
         home = t.column("homes").to_numpy()
         ids, copies = t.column("id").to_numpy(), t.column("copies").to_numpy()
         x = np.frombuffer(b"".join(t.column("x").to_pylist()), np.float64).reshape(-1, dim)
-        cells, cell = matrix(t.column("probes")), t.column("cell")[0].as_py()
+        away = t.column("own_cell").to_numpy() != t.column("cell")[0].as_py()
         own, other = np.flatnonzero(home), np.flatnonzero(~home)
         a, b = np.nonzero(x[own] @ x[other].T >= least)
         a, b = own[a], other[b]
-        guest = cells[b, 0] != cell
-        # A pair that another cell finds too counts in the one with the smaller number.
-        twice = guest & (cells[b, 0] < cell) & (cells[a] == cells[b, :1]).any(1)
-        keep = (ids[a] != ids[b]) & ~twice
-        a, b, guest = a[keep], b[keep], guest[keep]
+        keep = ids[a] != ids[b]
+        a, b = a[keep], b[keep]
+        guest = away[b]
         n_links = np.bincount(a, copies[b], len(ids)) + np.bincount(b[guest], copies[a[guest]], len(ids))
         # Left and right hold the same vectors at different places: number them by id.
         who, at = np.unique(ids, return_inverse=True)
@@ -82,6 +80,24 @@ def _comparer(least: float, dim: int):
     return compare
 
 
+def visits(x: np.ndarray, centres: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Home cell of each unit vector, and in which cells (vectors x cells) it is compared.
+
+    The plane midway between two centres parts their homes, so the cosine of a vector with any home
+    beyond it is at most that with the plane. A vector is left out of the cells where that is below
+    ``least``, and of no others. Of two cells one sends its homes to the other, as the parity of
+    their numbers says, so each pair is met once.
+    """
+    near = x @ centres.T
+    home = np.argmax(near, axis=1)
+    span = np.sqrt(np.maximum(2 - 2 * centres[home] @ centres.T, 0))
+    apart = near[np.arange(len(x)), home][:, None] - near
+    reach = np.sqrt(1 - max(least, 0.0) ** 2) + 1e-9
+    cells = np.arange(len(centres))
+    sent = ((home[:, None] + cells) % 2 == 1) == (home[:, None] < cells)
+    return home, (sent & (apart <= reach * span + 1e-9)) | (home[:, None] == cells)
+
+
 def dedup(vectors: DataFrame, least: float = 0.9, cell_size: int = 1_000, most_cells: int = 4_096,
           probes: int = 12, rounds: int = 6, sample: int = 100_000, block: int = 1_024) -> DataFrame:
     """``vec_id``, ``n_links``, ``component_id``, ``kept`` for every row.
@@ -89,9 +105,9 @@ def dedup(vectors: DataFrame, least: float = 0.9, cell_size: int = 1_000, most_c
     Takes ``vec_id`` and ``embedding``; other columns are left out. Vectors link when their cosine, in
     double precision, is at least ``least``. Equal vectors are compared once and counted as
     often as they are. The centres are fitted on at most about ``sample`` vectors; all vectors get a
-    home cell and are guests in their ``probes`` - 1 next nearest ones; in each cell homes are
-    compared with all, block by block, so that a cell of any size is many small tasks. A pair is
-    found if either's home is among the other's cells. Null vectors, zero ones and those with
+    home cell and are guests in all others whose homes may be near enough (:func:`visits`); in each
+    cell homes are compared with all, block by block, so that a cell of any size is many small tasks.
+    All pairs are found, whatever the cells; ``probes`` is accepted but limits nothing. Null vectors, zero ones and those with
     null or non-finite components link with nothing; vectors link only with those of their own
     length. Rows without an id are kept, alone. Empty tables give no row.
     """
@@ -105,34 +121,33 @@ def dedup(vectors: DataFrame, least: float = 0.9, cell_size: int = 1_000, most_c
         grain = 1 << 20
         fitted = settled(mine.where(F.pmod(F.xxhash64("id"), F.lit(grain)) < grain * min(1.0, sample / n)))
         centres = fit_cells(fitted, int(min(most_cells, max(1, n // cell_size))), rounds)
-        some = min(probes, len(centres))
 
-        def assign(batches, centres=centres, some=some):
-            for batch in batches:
-                x = unit(matrix(batch.column(1)))
-                if not len(x):
-                    continue
-                near = x @ centres.T
-                order = np.argsort(-near, axis=1, kind="stable")[:, :some].astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(2), pa.array(list(order), pa.list_(pa.int32())),
-                     pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "copies", "probes", "x"])
+        def assign(batches, centres=centres):
+            for whole in batches:
+                for batch in (whole.slice(i, 1_024) for i in range(0, whole.num_rows, 1_024)):
+                    x = unit(matrix(batch.column(1)))
+                    home, met = visits(x, centres, least)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0), batch.column(2), pa.array(home.astype(np.int32)),
+                         pa.array([np.flatnonzero(m).astype(np.int32) for m in met], pa.list_(pa.int32())),
+                         pa.array([r.tobytes() for r in x], pa.binary())],
+                        names=["id", "copies", "own_cell", "cells", "x"])
 
         placed = settled(mine.select("id", "embedding", "copies").mapInArrow(
-            assign, "id long, copies long, probes array<int>, x binary"))
-        members = placed.select("id", F.explode("probes").alias("cell"), (F.col("probes")[0]).alias("home"))
+            assign, "id long, copies long, own_cell int, cells array<int>, x binary"))
+        members = placed.select("own_cell", F.explode("cells").alias("cell"))
         sizes = members.groupBy("cell").agg(
-            F.sum(F.expr("int(cell = home)")).alias("h"), F.count("*").alias("m"))
+            F.sum(F.expr("int(cell = own_cell)")).alias("h"), F.count("*").alias("m"))
         sizes = F.broadcast(settled(sizes.select(  # at most ``most_cells`` rows
             "cell", F.greatest(F.ceil(F.col("h") / block), F.lit(1)).cast("int").alias("hb"),
             F.ceil(F.col("m") / block).cast("int").alias("mb"))))
-        wide = placed.withColumn("cell", F.explode("probes")).join(sizes, "cell")
+        wide = placed.withColumn("cell", F.explode("cells")).join(sizes, "cell")
         part = lambda c: F.pmod(F.xxhash64("id", F.lit(c)), F.col(c)).cast("int")
         right = wide.select("cell", F.explode(F.sequence(F.lit(0), F.col("hb") - 1)).alias("i"), part("mb").alias("j"),
-                            F.lit(False).alias("homes"), "id", "copies", "probes", "x")
-        left = wide.where(F.col("cell") == F.col("probes")[0]).select(
+                            F.lit(False).alias("homes"), "id", "copies", "own_cell", "x")
+        left = wide.where(F.col("cell") == F.col("own_cell")).select(
             "cell", part("hb").alias("i"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("j"),
-            F.lit(True).alias("homes"), "id", "copies", "probes", "x")
+            F.lit(True).alias("homes"), "id", "copies", "own_cell", "x")
 
         found = settled(left.unionByName(right).groupBy("cell", "i", "j").applyInArrow(
             _comparer(least, dim), "id long, links long, to long"))
