@@ -19,6 +19,11 @@ LANGUAGE_LEAST = 0.5
 TOXIC = 0.7
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows, written with a number ``_row`` each: ids may be null or occur more than once."""
+    return settled(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in one of the labelled languages; without letters or in doubt they go."""
     scored = language.identify(docs, language.fit(docs))
@@ -33,16 +38,21 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of least id of each group of near copies; documents without words stay."""
-    groups = settled(ngram_join.join(docs))
-    first = groups.where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """Keep one row of each group of near copies: of least id, null last. Rows without words stay."""
+    rows = numbered(docs)
+    groups = ngram_join.join(rows.select(F.col("_row").alias("doc_id"), "text")).select(
+        F.col("doc_id").alias("_row"), "component_id")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row")
+    ranked = rows.select("_row", rank.alias("rank")).join(groups, "_row")
+    first = settled(ranked.groupBy("component_id").agg(F.min("rank").alias("rank")).select("rank._row"))
+    return rows.join(first, "_row", "left_semi").select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in as many copies as the mix takes: 0, 1 or 2."""
-    copies = settled(mixing.mix(docs).where("copies > 0").select("doc_id", "copies"))
-    return docs.join(copies, "doc_id").select(
+    """Rows in as many copies as the mix takes of each: 0, 1 or 2."""
+    rows = numbered(docs)
+    copies = settled(mixing.mix(rows, keep=["_row"]).where("copies > 0").select("_row", "copies"))
+    return rows.join(copies, "_row").select(
         *docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy")).drop("_copy")
 
 

@@ -97,17 +97,18 @@ def balance(counts: DataFrame, targets: DataFrame, most: float, tolerance: float
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5,
-        most: float = 2.0) -> DataFrame:
+        most: float = 2.0, keep: Sequence[str] = ()) -> DataFrame:
     """Copies of each document: ``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``rate``, ``copies``.
 
-    Takes ``doc_id``, ``text``, ``source``; other columns are left out. ``size`` counts words, 0 for
+    Takes ``doc_id``, ``text``, ``source``; of other columns those of ``keep`` are added, the rest left
+    out. ``size`` counts words, 0 for
     a null or empty text, which has rate 0 and no copy. A null source is a source of its own.
     Rates are rounded by position: with documents in order of source, size and id, a document
     gets a copy when the running total of rates passes a whole number, which keeps the words of
     each source within about its largest document of the target. Repeated rows count each.
     An empty table gives an empty one.
     """
-    sized = settled(docs.select("doc_id", "source", words(F.col("text")).alias("size")))
+    sized = settled(docs.select("doc_id", "source", words(F.col("text")).alias("size"), *keep))
     counts = settled(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
     per_source = counts.groupBy("source").agg(
         F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"))
@@ -125,4 +126,4 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5,
     copies = F.floor((F.col("_before") + F.col("_units") + GRID // 2) / F.lit(GRID)) - F.floor(
         (F.col("_before") + GRID // 2) / F.lit(GRID))
     return placed.select("doc_id", "source", "size", "source_size", "target", "rate",
-                         copies.cast("long").alias("copies"))
+                         copies.cast("long").alias("copies"), *keep)
