@@ -53,6 +53,21 @@ def test_inventory_of_a_spool(spark, tmp_path):
     assert "content" not in plan
 
 
+def test_directories_with_a_leading_underscore_are_listed_and_shipped(spark, tmp_path):
+    root = str(tmp_path / "spool")
+    for folder in ("_svc@main@h1", ".svc@main@h1", "_{a}@main@h1", "_a=b@main@h1", "svc@main@h1"):
+        put(root, folder, NOW - HOUR, f"{folder}\n".encode())
+    touch(root, "_bad", "x")
+    found = files.rotated_files(spark, root)
+    assert sorted((r.dir_name, r.dir_ok) for r in found.collect()) == sorted(
+        [(d, d != "_bad") for d in os.listdir(root)])
+    assert sorted(r.line for r in files.log_lines(spark, root).collect()) == sorted(set(os.listdir(root)) - {"_bad"})
+    out = str(tmp_path / "archive")
+    rounds.run_round(spark, root, out, AS_OF, "r1")
+    want = {d: [d] for d in os.listdir(root) if d != "_bad"}
+    assert lines_by_dir(spark, out) == want
+
+
 def test_archive_listing_of_the_look_back(spark, tmp_path):
     root = str(tmp_path)
     for day in ("2024/01-31", "2024/01-29", "2024/01-20"):

@@ -42,6 +42,16 @@ def test_held_back_files_ship_later(spark, tmp_path):
     assert ship(spark, tmp_path, later, **held)["s@main@h"] == ["one", "two"]
 
 
+def test_stream_ships_underscore_directories_and_counts_old_files_as_ready(spark, tmp_path):
+    root = str(tmp_path / "spool")
+    put(root, "_s@main@h", NOW - 3 * HOUR, b"one\n")
+    put(root, "_s@main@h", NOW - 400 * HOUR, b"o" * 2000)
+    assert ship(spark, tmp_path, AS_OF) == {"_s@main@h": ["one"]}
+    put(root, "_s@main@h", NOW, b"two\n")
+    held = {"interval_seconds": 5 * 3600, "max_ready_bytes": 1000}
+    assert ship(spark, tmp_path, AS_OF, **held) == {"_s@main@h": ["one", "two"]}
+
+
 def test_replayed_micro_batch_changes_nothing(spark, tmp_path):
     root = str(tmp_path / "spool")
     put(root, "s@main@h", NOW - HOUR, b"one\n")

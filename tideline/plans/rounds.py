@@ -54,10 +54,11 @@ def run_round(spark: SparkSession, spool: str, archive_root: str, as_of: str, ro
               max_ready_bytes: int | Column = ship.MAX_READY_BYTES,
               max_look_back_days: int = MAX_LOOK_BACK_DAYS,
               shard_bytes: int = compact.SHARD_BYTES,
-              parity: bool = False) -> Round:
+              parity: bool = False, on_disk: DataFrame | None = None) -> Round:
     """JOB1 to JOB3 and the publish, on ``spool/<service@category@host>/<file>``.
 
-    ``listing`` may give the inventory instead of listing the spool. The archive's
+    ``listing`` may give the inventory instead of listing the spool; where that is only a part,
+    ``on_disk`` gives all files, whose bytes and labels decide what ships. The archive's
     own ledger keeps repeated rounds from shipping a file twice; ``parity`` relies
     on the look-back alone.
     """
@@ -67,9 +68,12 @@ def run_round(spark: SparkSession, spool: str, archive_root: str, as_of: str, ro
         quarantine(listed, archive_root, round_id)
         found = listed.where("dir_ok")
     usable = settled(inventory.usable(found.select(*DIR_KEYS, "file_name", "size_bytes")))
+    whole = usable
+    if on_disk is not None:
+        whole = settled(inventory.usable(on_disk.select(*DIR_KEYS, "file_name", "size_bytes")))
     days = files.lookback_days(as_of, max_look_back_days)
     plan = settled(ship.ship_plan(
-        usable, archive.parsed_catalogue(spark, archive_root, days), as_of,
+        whole, archive.parsed_catalogue(spark, archive_root, days), as_of,
         interval_seconds, max_ready_bytes, max_look_back_days,
     ))
     since_age_limit = files.lookback_days(as_of, max_look_back_days + 1)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions import names, predicates
+from tideline.session import hidden_folders
 
 
 def _part(path: Column, from_end: int) -> Column:
@@ -20,6 +21,12 @@ def _decoded(path: Column) -> Column:
     return F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
 
 
+def spool_roots(spark: SparkSession, root: str | list[str]) -> list[str]:
+    """``root`` and the folders in it that begin with ``_`` or a dot, which a listing finds only by name."""
+    roots = [root] if isinstance(root, str) else list(root)
+    return roots + [path for r in roots for path in hidden_folders(spark, r)]
+
+
 def rotated_files(spark: SparkSession, root: str | list[str],
                   exclude: Sequence[str] = predicates.HIDDEN_FILES) -> DataFrame:
     """SRC1: inventory of ``root/<service@category@host>/<file>``.
@@ -30,7 +37,7 @@ def rotated_files(spark: SparkSession, root: str | list[str],
     """
     listing = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        .option("ignoreMissingFiles", True).load(root)
+        .option("ignoreMissingFiles", True).load(spool_roots(spark, root))
         .select("path", F.col("length").alias("size_bytes"))
         .select(_part(F.col("path"), 2).alias("dir_name"),
                 _part(F.col("path"), 1).alias("file_name"), "size_bytes", "path")
@@ -76,8 +83,10 @@ def log_lines(spark: SparkSession, root: str | list[str],
     ``block`` and ``pos`` order the lines of a file: the byte where the split
     starts, and a number that rises within the split. Files of any size are thus
     read in parallel and still have an exact line order. ``from_name`` is a
-    constant lower bound on the file name, which skips whole files.
+    constant lower bound on the file name, which skips whole files. A list of folders
+    is read as it is; of a single root all folders are.
     """
+    root = spool_roots(spark, root) if isinstance(root, str) else root
     lines = spark.read.text(root, recursiveFileLookup=True)
     if from_name is not None:
         lines = lines.where(F.col("_metadata.file_name") >= from_name)

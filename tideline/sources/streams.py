@@ -16,14 +16,17 @@ BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, co
 
 def new_rotated_files(spark: SparkSession, root: str, max_files: int | None = None,
                       exclude: Sequence[str] = predicates.HIDDEN_FILES) -> DataFrame:
-    """SRC1 as a stream: every rotated file once, names and sizes only."""
+    """SRC1 as a stream: every rotated file once, names and sizes only.
+
+    Each folder of ``root`` is listed by its own name, as Spark passes over those that begin with ``_``.
+    """
     reader = (
         spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
         .option("recursiveFileLookup", True)
     )
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    listing = reader.load(root).select(
+    listing = reader.load(f"{root}/*").select(
         _part(F.col("path"), 2).alias("dir_name"),
         _part(F.col("path"), 1).alias("file_name"),
         F.col("length").alias("size_bytes"),

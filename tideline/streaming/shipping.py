@@ -82,7 +82,7 @@ def start_shipping(spark: SparkSession, spool: str, archive_root: str, state_roo
     """Ship by size or time, whichever comes first, until stopped.
 
     Each micro-batch adds its new files to the seen table and runs one round over
-    all of them. Rounds also happen when no file arrives, since a held-back file
+    all of them; what is ready is summed over the files on disk, of any age. Rounds also happen when no file arrives, since a held-back file
     may become due by time alone. A replayed micro-batch overwrites its own seen
     folder, takes the time of its first run and finds its publish id committed, so
     nothing is shipped twice. Publish ids carry the stream's own name, so a stream with
@@ -113,6 +113,7 @@ def start_shipping(spark: SparkSession, spool: str, archive_root: str, state_roo
         done = rounds.run_round(
             session, spool, archive_root, as_of, f"{name}-{batch_id}", listing,
             interval_seconds, max_ready_bytes, max_look_back_days, shard_bytes,
+            on_disk=files.rotated_files(session, spool).where("dir_ok"),
         )
         just_seen = inventory.usable(_batch_files(session, state_root, batch_id))
         ship.late_files(just_seen, done.plan, as_of, max_look_back_days).write.mode(
