@@ -36,6 +36,16 @@ def test_language_backs_off_to_grams_and_leaves_letterless_texts_undetermined(sp
     assert language.fit(documents(spark, [])).predict("the") == ("und", 0.0)
 
 
+def test_a_rare_language_is_learned_beside_frequent_ones(spark):
+    rng = random.Random(3)
+    rows = [(i, prose(rng, "en" if i % 2 else "de", 20), "en" if i % 2 else "de", "s", 1) for i in range(6000)]
+    rows += [(9000 + i, "vesi talo on ja " + rng.choice(["kala", "joki"]), "fi", "s", 1) for i in range(5)]
+    model = language.fit(documents(spark, rows), sample=300, most=60, orders=(3, 2))
+    assert model.langs == ["de", "en", "fi"]
+    assert {"vesi", "talo", "ja"} <= set(model.words.at)
+    assert model.predict("talo ja vesi")[0] == "fi" and model.predict("the water")[0] == "en"
+
+
 def brute_scan(text, notices, least):
     def norm(t):
         t = re.sub("[^a-z0-9\n]+", " ", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))

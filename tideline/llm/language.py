@@ -7,6 +7,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 #: Words whose scores a worker remembers; beyond it the memory is emptied.
 REMEMBERED = 60_000
+#: Sampled documents of a language, whatever the number of languages.
+LEAST_EACH = 100
 
 
 def text_words(text: str) -> list[str]:
@@ -95,14 +98,22 @@ def fit(labelled: DataFrame, sample: int = 6_000, most: int = 30_000, orders: tu
         ) -> Model:
     """Learn from ``text`` and ``lang``; rows where either is null are left out.
 
-    Fitted on about ``sample`` documents chosen by hash (all, if there are fewer), so that the model
-    stays small enough for every worker: ``most`` words and as many n-grams of each length, the
-    most frequent first. No labelled row gives a model that answers ``und``.
+    Fitted on about ``sample`` documents chosen by hash, as many of each language (all of a language
+    that has fewer), so that the model stays small enough for every worker: ``most`` words and as
+    many n-grams of each length, an equal number for each language, those most frequent in it first.
+    With more languages than ``sample`` / :data:`LEAST_EACH` the sample grows. No labelled row gives a
+    model that answers ``und``.
     """
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    total = rows.count()
-    if total > sample:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) < int((1 << 20) * sample / total))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    each = max(sample // max(len(sizes), 1), LEAST_EACH)
+    grain = 1 << 40
+    # One entry per language; the seed of the hash is the text too, as ids may be null or repeat.
+    shares = {lang: max(1, int(grain * each / n)) for lang, n in sizes.items() if n > each}
+    if shares:
+        chosen = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
+        slot = F.pmod(F.xxhash64("doc_id", "text", F.lit("language")), F.lit(grain))
+        rows = rows.where(slot < F.coalesce(F.try_element_at(chosen, F.col("lang")), F.lit(grain)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -119,11 +130,16 @@ def fit(labelled: DataFrame, sample: int = 6_000, most: int = 30_000, orders: tu
     seen = settled(rows.mapInArrow(count, "lang string, term string, n long")
                    .groupBy("lang", "term").agg(F.sum("n").alias("n")))
     langs = sorted(r["lang"] for r in seen.select("lang").distinct().collect())
+    quota = max(most // max(len(langs), 1), 1)
 
     def top(terms: DataFrame, least: int) -> Terms:
-        each = terms.groupBy("term").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("counts"))
-        return _log_frequencies(each.where(F.col("all") >= least).orderBy(F.desc("all"), "term")
-                                .limit(most).collect(), langs)
+        counted = terms.groupBy("term").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("counts"))
+        counted = settled(counted.where(F.col("all") >= least))
+        named = counted.select("term", F.explode("counts").alias("x")).select("term", "x.lang", "x.n")
+        # Only ``quota`` terms of a language leave a task.
+        best = [named.where(F.col("lang") == lang).orderBy(F.desc("n"), "term").limit(quota).select("term") for lang in langs]
+        picked = reduce(DataFrame.unionByName, best, terms.select("term").limit(0)).distinct()
+        return _log_frequencies(counted.join(picked, "term", "left_semi").orderBy(F.desc("all"), "term").collect(), langs)
 
     def cut(n: int) -> DataFrame:
         edged = F.concat(F.lit("<"), "term", F.lit(">"))
