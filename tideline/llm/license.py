@@ -55,9 +55,68 @@ def n_bigrams(unit: Column) -> Column:
     return F.greatest(F.length(unit) - F.length(F.translate(unit, " ", "")), F.lit(1))
 
 
+def windows(docs: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """Runs of a notice's own length, at any word, that reach ``least``: ``doc_id``, ``unit``, ``license``, ``dice``.
+
+    A text can only hold a notice if enough of its bigrams occur, which is asked first. A run loses
+    nothing if it is moved on to its first bigram of the notice or to the end of the text, so only
+    those places are tried. Of overlapping runs the one of greatest Dice stays, of equals the first
+    license by name, of its runs the first.
+    """
+    # A short list, held as one literal.
+    listed = [(r["license"], r["t"], r["tn"]) for r in known.collect()]
+    if not listed:
+        return docs.sparkSession.createDataFrame([], docs.select("doc_id").schema).select(
+            "doc_id", F.lit("").alias("unit"), F.lit("").alias("license"), F.lit(0.0).alias("dice"))
+    text = lambda value: F.lit(value)
+    every = F.array(*[F.struct(text(name).alias("license"), F.array(*map(text, t)).alias("t"), F.lit(tn).alias("tn"))
+                      for name, t, tn in listed])
+    flat = docs.where("text is not null").select("doc_id", F.trim(F.translate(normal(F.col("text")), "\n", " ")).alias("s"))
+
+    def held(df: DataFrame, name: str, column: Column) -> DataFrame:
+        """Add a column that is worked out once: a generator is not folded into what reads it."""
+        return df.select("*", F.explode(F.array(column)).alias(name))
+
+    flat = held(flat, "padded", F.concat(F.lit(" "), F.regexp_replace("s", " +", " "), F.lit(" "))).drop("s")
+    able = lambda x: F.size(F.filter(x["t"], lambda b: F.contains("padded", F.concat(F.lit(" "), b, F.lit(" "))))) >= (
+        F.ceil(F.lit(least) * x["tn"] - 1e-9))
+    met = held(flat, "able", F.filter(every, able)).where(F.size("able") > 0)
+    met = held(met, "w", F.split(F.trim("padded"), " ")).drop("padded")
+    pairs = F.when(F.size("w") > 1, F.transform(
+        F.sequence(F.lit(1), F.size("w") - 1),
+        lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))).otherwise(F.col("w"))
+    placed = held(met, "p", F.transform(pairs, lambda b, i: F.struct(i.alias("at"), b.alias("b"))))
+    placed = held(placed, "tried", F.transform("able", lambda x: F.struct(
+        x["license"].alias("license"), x["tn"].alias("tn"), (F.size("p") - x["tn"]).alias("last"),
+        F.filter("p", lambda q: F.array_contains(x["t"], q["b"])).alias("hits")))).drop("able", "p")
+
+    def runs(x):
+        def run(a, k):
+            low = F.least(a["at"], x["last"])
+            near = F.filter(F.slice(x["hits"], F.greatest(k + 2 - x["tn"], F.lit(1)), 2 * x["tn"]),
+                            lambda q: (q["at"] >= low) & (q["at"] < low + x["tn"]))
+            common = F.size(F.array_distinct(F.transform(near, lambda q: q["b"])))
+            return F.struct((2.0 * common / (x["tn"] + x["tn"])).alias("dice"), x["license"].alias("license"),
+                            low.alias("low"), (low + x["tn"] - 1).alias("high"))
+
+        return F.when(x["last"] >= 0, F.filter(F.transform(x["hits"], run), lambda r: r["dice"] >= least)).otherwise(F.array())
+
+    found = held(placed, "runs", F.flatten(F.transform("tried", runs))).where(F.size("runs") > 0)
+    better = lambda r, o: (o["low"] <= r["high"] + 1) & (r["low"] <= o["high"] + 1) & (
+        F.struct(-o["dice"], o["license"], o["low"]) < F.struct(-r["dice"], r["license"], r["low"]))
+    best = F.filter("runs", lambda r: ~F.exists("runs", lambda o: better(r, o)))
+    return found.select("doc_id", "w", F.explode(best).alias("r")).select(
+        "doc_id", F.concat_ws(" ", F.slice("w", F.col("r.low") + 1, F.col("r.high") - F.col("r.low") + 2)).alias("unit"),
+        "r.license", "r.dice")
+
+
 def scan(docs: DataFrame, templates: DataFrame, least: float = 0.8) -> DataFrame:
     """Notices found: ``doc_id``, ``license``, ``dice`` (of its best unit), ``n_units`` (distinct units that match).
 
+    Units are lines, paragraphs and the whole text. A notice that none of them shows, as it stands
+    within a longer line or is wrapped in a longer paragraph, is looked for at every word
+    (:func:`windows`); its runs of words are then its units.
+
     ``docs`` has ``doc_id`` and ``text``; ``templates``, a short list, ``license`` and ``notice``; other
     columns are left out. Dice is twice the distinct bigrams in common over the bigrams of both.
     A unit that reaches ``least`` goes to its most similar template, of equals to the first by
@@ -79,8 +138,13 @@ def scan(docs: DataFrame, templates: DataFrame, least: float = 0.8) -> DataFrame
     hits = met.select("doc_id", "unit", "license", (2.0 * common / (F.col("n") + F.col("tn"))).alias("dice"))
     best = hits.where(F.col("dice") >= least).groupBy("doc_id", "unit").agg(
         F.min(F.struct((-F.col("dice")).alias("minus"), "license")).alias("best"))
-    return best.groupBy("doc_id", F.col("best.license").alias("license")).agg(
-        F.max(-F.col("best.minus")).alias("dice"), F.count("*").alias("n_units"))
+    whole = best.select("doc_id", "unit", "best.license", (-F.col("best.minus")).alias("dice"), F.lit(1).alias("_whole"))
+    inner = windows(docs, known, least).select("doc_id", "unit", "license", "dice", F.lit(0).alias("_whole")).distinct()
+    # A license that a line, paragraph or text shows is told by those alone.
+    one = lambda i: F.col("_whole") == i
+    return whole.unionByName(inner).groupBy("doc_id", "license").agg(
+        F.coalesce(F.max(F.when(one(1), F.col("dice"))), F.max("dice")).alias("dice"),
+        F.when(F.max("_whole") == 1, F.count(F.when(one(1), 1))).otherwise(F.count("*")).alias("n_units"))
 
 
 def oracle_sql(least: float = 0.8) -> str:
