@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tideline.llm import ann, embedding_dedup, exact_dedup, language, license, mixing, ngram_join, packing, quality, token_files, tokens, toxicity, whitening
+from tideline.llm import ann, divergence, embedding_dedup, exact_dedup, language, license, mixing, ngram_join, packing, quality, token_files, tokens, toxicity, whitening
 from tideline.llm.common import table
 from tideline.session import scratch_dir
 
@@ -79,13 +79,18 @@ def op11_whitening(spark, sf_dir):
     return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
 
 
+def op12_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op13_exact_dedup(spark, sf_dir):
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_language, op3_license, op4_ngram_join, op5_toxicity, op6_ann, op7_packing, op8_embedding_dedup, op9_mixing, op10_token_files, op11_whitening, op13_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_language, op3_license, op4_ngram_join, op5_toxicity, op6_ann, op7_packing, op8_embedding_dedup, op9_mixing, op10_token_files, op11_whitening, op12_divergence, op13_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
     """Twins of the queries that SQL can express; the others are tested against brute force."""
-    return {"op3_license": license.oracle_sql(), "op13_exact_dedup": exact_dedup.oracle_sql()}
+    return {"op3_license": license.oracle_sql(), "op12_divergence": divergence.oracle_sql(),
+            "op13_exact_dedup": exact_dedup.oracle_sql()}
