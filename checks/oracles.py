@@ -114,6 +114,19 @@ doc_lines AS (
            generate_subscripts(string_split(text, chr(10)), 1) AS line_no
     FROM docs))"""
 
+SPOILED_FILES = """spoiled_files AS (
+  SELECT *, service = 'error' AS bad_dir, substr(file_name, 17, 1) = '7' AS bad_name,
+         CASE WHEN service = 'error' THEN service || '@' || host
+              ELSE service || '@' || category || '@' || host END AS dir_name
+  FROM files)"""
+
+ALL_DOCS = f"""
+all_docs AS (
+  SELECT source AS service, lang AS category, 'h' || (doc_id % 4) AS host, doc_id,
+         '@' || {encode(f'(doc_id + {t.DOC_BASE_MS})')} || '.s' AS file_name,
+         CAST(coalesce(strlen(text), 0) AS BIGINT) AS size_bytes
+  FROM documents)"""
+
 DOC_UNITS = f"""{DOCS},
 doc_marks AS (
   SELECT service, host, max(label) AS last_taistamp FROM docs
@@ -268,10 +281,17 @@ def oracle_sql() -> dict[str, str]:
     size_bound = RETENTION.replace("LIMIT_MS", "1706313600000")
     dir_cols = "service, category, host"
     sql = {
-        "src1_inventory": _with(DOCS, f"SELECT {dir_cols}, file_name, size_bytes FROM docs"),
+        "src1_inventory": _with(
+            ALL_DOCS, f"SELECT {dir_cols}, file_name, size_bytes FROM all_docs UNION ALL "
+                      f"SELECT {dir_cols}, file_name || '.done', 0 FROM all_docs WHERE doc_id % 5 = 0"),
         "src2_service_dirs": _with(
-            DOCS, f"SELECT DISTINCT service || '@' || category || '@' || host AS dir_name, "
-                  f"{dir_cols} FROM docs"),
+            ALL_DOCS, f"SELECT DISTINCT service || '@' || category || '@' || host AS dir_name, "
+                      f"{dir_cols} FROM all_docs UNION ALL "
+                      "SELECT DISTINCT '_idle' || c_nationkey || CASE WHEN c_nationkey % 7 = 0 THEN '-' "
+                      "ELSE '@' END || lower(c_mktsegment) || '@h0', "
+                      "CASE WHEN c_nationkey % 7 <> 0 THEN '_idle' || c_nationkey END, "
+                      "CASE WHEN c_nationkey % 7 <> 0 THEN lower(c_mktsegment) END, "
+                      "CASE WHEN c_nationkey % 7 <> 0 THEN 'h0' END FROM customer"),
         "src3_archive_listing": _with(
             ARCHIVE, f"SELECT {iso('dir_date')} AS dir_date, file_name FROM listing "
                      "WHERE dir_date BETWEEN DATE '2024-01-28' AND DATE '2024-01-31'"),
@@ -489,8 +509,35 @@ sums AS (
                      "error_kind, 'no archive name: ' || file_name AS error_detail, true AS "
                      "is_fatal FROM spoiled WHERE NOT name_ok"),
         "job10_error_report": _with(
-            SPOILED, "SELECT 'invalid_name' AS error_kind, count(*) AS n_errors FROM spoiled "
-                     "WHERE NOT name_ok"),
+            SPOILED + f""",
+{SPOILED_FILES},
+found AS (
+  SELECT DISTINCT NULL AS service, 'bad_directory' AS error_kind, dir_name FROM spoiled_files WHERE bad_dir
+  UNION ALL
+  SELECT service, 'invalid_name', dir_name FROM spoiled_files WHERE NOT bad_dir AND bad_name
+  UNION ALL
+  SELECT NULL, 'invalid_archive_name', strftime(dir_date, '%Y/%m-%d') FROM spoiled WHERE NOT name_ok)""",
+            "SELECT service, error_kind, count(*) AS n_errors, count(DISTINCT dir_name) AS n_directories "
+            "FROM found GROUP BY ALL"),
+        "job10_round_problems": _with(
+            ROTATED + f""",
+{SPOILED_FILES},
+found AS (
+  SELECT DISTINCT NULL AS service, 'bad_directory' AS error_kind, dir_name FROM spoiled_files WHERE bad_dir
+  UNION ALL
+  SELECT service, 'invalid_name', dir_name FROM spoiled_files WHERE NOT bad_dir AND bad_name
+  UNION ALL
+  SELECT DISTINCT service, 'sync_throttled', dir_name FROM spoiled_files
+  WHERE NOT bad_dir AND NOT bad_name AND (service, host) IN (
+    SELECT (service, host) FROM spoiled_files
+    WHERE NOT bad_dir AND NOT bad_name GROUP BY service, host
+    HAVING max(label_ms) > {AS_OF_MS} + 600000 - 3600000)
+  UNION ALL
+  SELECT service, 'nothing_to_sync', dir_name FROM spoiled_files
+  WHERE NOT bad_dir AND NOT bad_name GROUP BY service, host, dir_name
+  HAVING max(label_ms) <= {AS_OF_MS} + 600000 - 3600000)""",
+            "SELECT service, error_kind, error_kind NOT IN ('sync_throttled', 'nothing_to_sync') AS is_fatal, "
+            "count(*) AS n_rows FROM found GROUP BY ALL"),
     }
     sql["agg7_ship_statistics"] = sql["job6_ship_stats"]
     sql["str1_rounds"] = _with(
@@ -502,6 +549,16 @@ all_units AS (
         "',' || l.service || ',' || l.host || ',' || u.last_label || '.seq' AS archive_name, "
         "l.label, l.line, '2024-01-31' AS dir_date "
         "FROM doc_lines l JOIN all_units u USING (service, category, host)")
+    # Shipped whole at first. Each file is judged by the bytes left before it, itself included; the newest stays.
+    sql["str1_retention"] = _with(
+        DOCS + f""",
+ranked AS (
+  SELECT *, sum(size_bytes) OVER later AS bytes_left, max(label_ms) OVER (PARTITION BY service, category, host) AS newest
+  FROM (SELECT service, category, host, file_name, label_ms, size_bytes FROM docs UNION ALL
+        SELECT source, lang, 'h' || (doc_id % 4), '@' || {encode(f'(doc_id + {t.DOC_BASE_MS})')} || '.s',
+               doc_id + {t.DOC_BASE_MS}, 0 FROM documents WHERE coalesce(text, '') = '')
+  WINDOW later AS (PARTITION BY service, category, host ORDER BY label_ms DESC))""",
+        f"SELECT {dir_cols}, file_name FROM ranked WHERE label_ms = newest OR bytes_left <= 2000")
     sql["str3_size_or_time"] = _with(
         DOC_UNITS + """,
 dirs AS (SELECT service, category, host, sum(size_bytes) AS ready FROM docs GROUP BY ALL),

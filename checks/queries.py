@@ -13,7 +13,7 @@ from tideline.functions import labels, names, predicates, telemetry, text
 from tideline.operators import errors, failover, gap, inventory, retention, rollup, watermark
 from tideline.operators.inventory import DIR_KEYS, KEYS
 from tideline.operators.joins import settled
-from tideline.plans import catalogue, compact, retain, route, runlog, ship
+from tideline.plans import catalogue, compact, problems, retain, route, runlog, ship
 from tideline.session import scratch_dir, use_utc
 from tideline.sources import archive, files, streams
 from tideline.streaming import failover as live_failover
@@ -44,14 +44,20 @@ def iso(df: DataFrame, *days: str) -> DataFrame:
 
 @query
 def src1_inventory(spark, sf):
-    found = files.rotated_files(spark, t.document_spool(spark, sf))
-    return found.select(*DIR_KEYS, "file_name", "size_bytes")
+    """Every fifth document's file has an empty marker file beside it."""
+    spool = t.document_spool(spark, sf)
+    marks = t.documents(spark, sf).where("doc_id % 5 = 0").select(
+        names.destination_key(F.col("service"), F.col("category"), F.col("host")).alias("dir_name"),
+        F.concat("file_name", F.lit(".done")).alias("file_name"), F.lit("").alias("body"))
+    t.put_files(marks, spool)
+    return files.rotated_files(spark, spool).select(*DIR_KEYS, "file_name", "size_bytes")
 
 
 @query
 def src2_service_dirs(spark, sf):
-    found = files.rotated_files(spark, t.document_spool(spark, sf))
-    return inventory.service_dirs(found.select("dir_name")).select("dir_name", *DIR_KEYS)
+    spool = t.document_spool(spark, sf)
+    t.make_folders(t.idle_directories(spark, sf), spool)
+    return files.service_dirs(spark, spool).select("dir_name", *DIR_KEYS)
 
 
 @query
@@ -626,11 +632,40 @@ def job10_quarantine(spark, sf):
 
 @query
 def job10_error_report(spark, sf):
-    parsed = catalogue.parse_catalogue(t.spoiled_listing(spark, sf))
+    """Problems of every stage: directory names, labels, archive names, and what the plan holds back."""
+    files_ = t.spoiled_files(spark, sf)
+    dirs = files_.select("dir_name").distinct()
+    named = inventory.enrich(names.with_service_identity(files_))
     plan = _plan(spark, sf)[1]
-    throttled = plan.where("error_kind IS NOT NULL").select(
-        "error_kind", (F.col("error_kind") == "future_label").alias("is_fatal"))
-    return catalogue.error_report(catalogue.quarantine(parsed), throttled)
+    return problems.report(problems.together(
+        problems.bad_directories(dirs), problems.bad_file_names(named.where("dir_ok")),
+        problems.bad_archive_names(catalogue.parse_catalogue(t.spoiled_listing(spark, sf))),
+        problems.not_shipping(plan)))
+
+
+@query
+def job10_round_problems(spark, sf):
+    """Two rounds over a spool with bad directories and labels; the problems of the second one."""
+    spool, root = scratch_dir(spark, "spool"), scratch_dir(spark, "archive")
+    state = scratch_dir(spark, "ship-state")
+    t.put_files(t.spoiled_files(spark, sf).withColumn("body", F.lit("line")), spool)
+    for clock in ("2024-01-31 00:00:00", "2024-01-31 00:10:00"):
+        shipping.start_shipping(
+            spark, spool, root, state, clock=lambda _, c=clock: c, once=True).awaitTermination()
+    last = problems.recorded(spark, root).where(F.col("at") == F.lit("2024-01-31 00:10:00").cast("timestamp"))
+    return last.groupBy("service", "error_kind", "is_fatal").agg(F.count("*").alias("n_rows"))
+
+
+@query
+def str1_retention(spark, sf):
+    """What is left of a spool after rounds with retention: a shipment, then a day without one."""
+    spool, root = t.document_spool(spark, sf), scratch_dir(spark, "archive")
+    state = scratch_dir(spark, "ship-state")
+    for clock in (t.AS_OF, "2024-02-01 00:00:00"):
+        shipping.start_shipping(
+            spark, spool, root, state, clock=lambda _, c=clock: c, once=True, delete=True,
+            min_bytes=2000).awaitTermination()
+    return files.rotated_files(spark, spool).select(*DIR_KEYS, "file_name")
 
 
 # --- streaming -------------------------------------------------------------------------

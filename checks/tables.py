@@ -106,6 +106,16 @@ def spoiled_listing(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def spoiled_files(spark: SparkSession, sf: str) -> DataFrame:
+    """dir_name, file_name of the rotated files: ``error`` directories have no category, names whose seconds end in 7 no label."""
+    dir_name = F.when(F.col("service") == "error", F.concat_ws("@", "service", "host")).otherwise(
+        names.destination_key(F.col("service"), F.col("category"), F.col("host")))
+    return rotated_files(spark, sf).select(
+        dir_name.alias("dir_name"),
+        F.when(F.substring("file_name", 17, 1) == "7", F.replace("file_name", F.lit("@"), F.lit("#")))
+        .otherwise(F.col("file_name")).alias("file_name"))
+
+
 def size_limit(files: DataFrame) -> int:
     """Mean bytes per directory, so that about half of them are above it."""
     per_dir = inventory.ready_bytes(files)
@@ -237,6 +247,29 @@ def event_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def idle_directories(spark: SparkSession, sf: str) -> DataFrame:
+    """dir_name: an empty directory per customer nation and segment, some of names that are no service."""
+    return table(spark, sf, "customer").select(
+        F.concat(F.lit("_idle"), F.col("c_nationkey").cast("string"),
+                 F.when(F.col("c_nationkey") % 7 == 0, "-").otherwise("@"),
+                 F.lower("c_mktsegment"), F.lit("@h0")).alias("dir_name")).distinct()
+
+
+def make_folders(dirs: DataFrame, root: str) -> None:
+    """Create empty directories (dir_name), from the tasks."""
+    def create(rows):
+        from pyarrow import fs
+
+        if "://" in root:
+            system, base = fs.FileSystem.from_uri(root)
+        else:
+            system, base = fs.LocalFileSystem(), root.removeprefix("file:")
+        for (dir_name,) in rows:
+            system.create_dir(f"{base}/{dir_name}", recursive=True)
+
+    dirs.select("dir_name").foreachPartition(create)
+
+
 def put_files(df: DataFrame, root: str) -> None:
     """Write (dir_name, file_name, body) rows as files, from the tasks."""
     def write(rows):

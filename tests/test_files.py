@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tests import reference_model as model
 from tideline.operators import inventory, retention
 from tideline.operators.inventory import DIR_KEYS
-from tideline.plans import compact, rounds, ship
+from tideline.plans import compact, problems, rounds, ship
 from tideline.sources import archive, files
 
 AS_OF = "2024-01-31 12:00:00"
@@ -46,7 +46,7 @@ def test_inventory_of_a_spool(spark, tmp_path):
     good = found.where("dir_ok").select("service", "host", "file_name", "size_bytes").collect()
     assert sorted(map(tuple, good)) == [("svc", "h1", name, 5), ("svc", "h1", "current", 1)]
     assert found.where("NOT dir_ok").count() == 1
-    dirs = inventory.service_dirs(found.select("dir_name"))
+    dirs = files.service_dirs(spark, root)
     assert {(r.dir_name, r.dir_ok) for r in dirs.collect()} == {
         ("svc@main@h1", True), ("not-a-service", False)}
     plan = found.select("file_name")._jdf.queryExecution().executedPlan().toString()
@@ -252,5 +252,5 @@ def test_bad_directories_are_quarantined_and_idle_folders_not_read(spark, tmp_pa
     put(root, "bad@name", NOW - HOUR, b"lost\n")
     done = rounds.run_round(spark, root, out, AS_OF, "r1")
     assert rounds.shipping_folders(root, done.units) == [f"{root}/s@main@h"]
-    bad = spark.read.parquet(f"{out}/quarantine").collect()
+    bad = problems.recorded(spark, out).where("is_fatal").collect()
     assert [(r.dir_name, r.error_kind) for r in bad] == [("bad@name", "bad_directory")]

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from tideline.functions import names, predicates, telemetry, text
-from tideline.plans import catalogue
+from tideline.plans import catalogue, problems
 
 
 def test_service_identity_needs_exactly_three_parts(spark):
@@ -40,7 +40,8 @@ def test_archive_names_parse_greedily_and_anchored(spark):
             assert (row.service, row.host) == want
             assert str(row.name_date) == "2024-01-30"
     assert catalogue.quarantine(parsed).count() == 4
-    assert catalogue.error_report(catalogue.quarantine(parsed)).collect() == [("invalid_name", 4)]
+    found = problems.bad_archive_names(parsed)
+    assert [tuple(r) for r in problems.report(found).collect()] == [(None, "invalid_archive_name", 4, found.select("dir_name").distinct().count())]
     verdict = catalogue.day_verdicts(parsed).first()
     assert (verdict.n_values, verdict.n_errors, verdict.is_valid) == (3, 4, False)
 

@@ -89,16 +89,17 @@ def directory_state(files: DataFrame, as_of: str, days: int = MAX_LOOK_BACK_DAYS
     Plain min, max and sum, so the shuffle carries one row per directory and map
     task however large a directory is.
     """
-    return (
-        files.groupBy(*keys)
-        .agg(
-            F.sum("size_bytes").alias("ready_bytes"),
-            F.count(F.lit(1)).alias("n_files"),
-            F.min("label").alias("first_label"),
-            F.max("label").alias("last_label"),
-        )
-        .withColumn(
-            "lookback_ms",
-            lookback_floor_ms(labels.decode_ms(F.col("first_label"), leap_table), as_of, days),
-        )
+    state = files.groupBy(*keys).agg(
+        F.sum("size_bytes").alias("ready_bytes"),
+        F.count(F.lit(1)).alias("n_files"),
+        F.min("label").alias("first_label"),
+        F.max("label").alias("last_label"),
     )
+    return with_lookback(state, as_of, days, leap_table)
+
+
+def with_lookback(state: DataFrame, as_of: str, days: int = MAX_LOOK_BACK_DAYS,
+                  leap_table: labels.LeapTable = labels.LEAP_TABLE) -> DataFrame:
+    """AGG3 on one row per directory: the look-back bound of its first label."""
+    first_ms = labels.decode_ms(F.col("first_label"), leap_table)
+    return state.withColumn("lookback_ms", lookback_floor_ms(first_ms, as_of, days))

@@ -1,9 +1,7 @@
-"""JOB10: the archive catalogue with quarantine, and the error report."""
+"""JOB10: the archive catalogue with quarantine. All problems of a round are in `problems`."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,12 +37,3 @@ def strict(parsed: DataFrame) -> DataFrame:
     """Fail the job on the first badly named file instead of setting it aside."""
     bad = F.raise_error(F.concat(F.lit("bad archive name: "), F.col("file_name")))
     return good(parsed.withColumn("name_ok", F.when(F.col("name_ok"), True).otherwise(bad)))
-
-
-def error_report(*tables: DataFrame) -> DataFrame:
-    """Fatal errors only, as counts per (error_kind, error_detail's table)."""
-    rows = reduce(
-        DataFrame.unionByName,
-        [t.select("error_kind", "is_fatal") for t in tables],
-    )
-    return rows.where("is_fatal").groupBy("error_kind").agg(F.count(F.lit(1)).alias("n_errors"))

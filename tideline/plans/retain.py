@@ -21,14 +21,22 @@ def cleanup_limits(files: DataFrame, units: DataFrame, as_of: str,
     After a shipment: the time of the last shipped file. After anything else,
     throttling and nothing-to-sync included: a day more than the look-back ago.
     """
+    totals = files.groupBy(*dir_keys).agg(F.sum("size_bytes").alias("total_bytes"))
+    return limits_of(totals, units, as_of, max_look_back_days, dir_keys, leap_table)
+
+
+def limits_of(totals: DataFrame, units: DataFrame, as_of: str,
+              max_look_back_days: int = MAX_LOOK_BACK_DAYS,
+              dir_keys: Sequence[str] = DIR_KEYS,
+              leap_table: labels.LeapTable = labels.LEAP_TABLE) -> DataFrame:
+    """The same from one row per directory with ``total_bytes``; other columns are kept."""
     keys = list(dir_keys)
     shipped = units.select(*keys, labels.floor_to_ms(F.col("last_label")).alias("_shipped"))
     days_ago = clock_ms(as_of) - (max_look_back_days + 1) * DAY_MS
     fallback = F.lit(labels.first_label_at(days_ago, leap_table))
     return (
-        files.groupBy(*keys).agg(F.sum("size_bytes").alias("total_bytes"))
-        .join(shipped, keys, "left")
-        .select(*keys, "total_bytes", F.coalesce("_shipped", fallback).alias("limit_label"))
+        totals.join(shipped, keys, "left")
+        .select(*totals.columns, F.coalesce("_shipped", fallback).alias("limit_label"))
     )
 
 

@@ -2,10 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 ACCURACY = 10_000
+RUNS_SCHEMA = "phase string, started_ms bigint, duration_ms bigint, started boolean, ended boolean"
+
+
+class Phases:
+    """The phases one round went through, with their times. One that raised has no end."""
+
+    def __init__(self) -> None:
+        self.rows: list[list] = []
+
+    @contextmanager
+    def phase(self, name: str) -> Iterator[None]:
+        row = [name, time.time_ns() // 1_000_000, None, True, False]
+        self.rows.append(row)
+        began = time.monotonic()
+        yield
+        row[2:] = round((time.monotonic() - began) * 1000), True, True
+
+    def write(self, spark: SparkSession, path: str) -> None:
+        """A row per phase; written again as a round goes on, so a crash leaves what it was in."""
+        spark.createDataFrame(self.rows, RUNS_SCHEMA).coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def phase_timers(runs: DataFrame) -> DataFrame:

@@ -29,6 +29,17 @@ def ship_plan(files: DataFrame, archive: DataFrame, as_of: str,
     files, shipped ones included.
     """
     state = inventory.directory_state(files, as_of, max_look_back_days, dir_keys, leap_table)
+    return plan_of_state(state, archive, as_of, interval_seconds, max_ready_bytes,
+                         max_look_back_days, keys, dir_keys, leap_table)
+
+
+def plan_of_state(state: DataFrame, archive: DataFrame, as_of: str,
+                  interval_seconds: int | Column = SHIP_INTERVAL_SECONDS,
+                  max_ready_bytes: int | Column = MAX_READY_BYTES,
+                  max_look_back_days: int = MAX_LOOK_BACK_DAYS,
+                  keys: Sequence[str] = KEYS, dir_keys: Sequence[str] = DIR_KEYS,
+                  leap_table: labels.LeapTable = labels.LEAP_TABLE) -> DataFrame:
+    """JOB1 on one row per directory, as ``inventory.directory_state`` or a kept index has them."""
     marked = watermark.service_watermarks(state, archive, as_of, keys, max_look_back_days)
     marked = marked.withColumn("_last_ms", labels.decode_ms(F.col("last_taistamp"), leap_table))
     last_ms, now = F.col("_last_ms"), as_of_ms(as_of)

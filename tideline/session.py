@@ -45,6 +45,17 @@ def matching_paths(spark: SparkSession, pattern: str) -> list[str]:
     return [status.getPath().toString() for status in (fs.globStatus(hadoop_path) or [])]
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme, as tasks need it, by the session's own default file system."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop_path).toString()
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
 def hidden_folders(spark: SparkSession, root: str) -> list[str]:
     """Folders of ``root`` that Spark's own listing leaves out by their first letter, as path patterns."""
     pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{{_,.}}*")

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions import names, predicates
+from tideline.operators import inventory
 from tideline.session import hidden_folders
+from tideline.sources import walk
 
 
 def _part(path: Column, from_end: int) -> Column:
@@ -29,21 +31,24 @@ def spool_roots(spark: SparkSession, root: str | list[str]) -> list[str]:
 
 def rotated_files(spark: SparkSession, root: str | list[str],
                   exclude: Sequence[str] = predicates.HIDDEN_FILES) -> DataFrame:
-    """SRC1: inventory of ``root/<service@category@host>/<file>``.
+    """SRC1: inventory of ``root/<service@category@host>/<file>``, empty files included.
 
-    Only path and length are read, never file contents. Files in directories that
-    are not a service directory have ``dir_ok`` false. Files that vanish while the
-    listing runs are left out; empty files hold no line and are not listed.
+    Only names and lengths are read, by tasks that share the directories. Files in
+    directories that are not a service directory have ``dir_ok`` false. What vanishes
+    while the listing runs is left out; a directory that can't be listed fails the job
+    (:func:`tideline.sources.index.advance` records it instead).
     """
-    listing = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        .option("ignoreMissingFiles", True).load(spool_roots(spark, root))
-        .select("path", F.col("length").alias("size_bytes"))
-        .select(_part(F.col("path"), 2).alias("dir_name"),
-                _part(F.col("path"), 1).alias("file_name"), "size_bytes", "path")
-        .where(~predicates.excluded(F.col("file_name"), exclude))
-    )
-    return names.with_service_identity(listing)
+    listed = walk.entries(walk.directories(spark, root))
+    failed = F.raise_error(F.concat(F.lit("can't list "), F.col("path"), F.lit(": "), F.col("error")))
+    listing = listed.select(
+        "dir_name", F.when(F.col("error").isNull(), F.col("file_name")).otherwise(failed).alias("file_name"),
+        "size_bytes", "path")
+    return names.with_service_identity(listing.where(~predicates.excluded(F.col("file_name"), exclude)))
+
+
+def service_dirs(spark: SparkSession, root: str | list[str]) -> DataFrame:
+    """SRC2: every directory of the spool with its identity, empty ones included."""
+    return inventory.service_dirs(walk.directories(spark, root))
 
 
 def archive_files(spark: SparkSession, root: str, days: Sequence[str] | None = None) -> DataFrame:

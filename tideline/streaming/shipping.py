@@ -3,48 +3,24 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tideline.functions import labels
-from tideline.operators import inventory
+from tideline.functions import predicates
+from tideline.operators import retention
 from tideline.operators.inventory import DIR_KEYS, MAX_LOOK_BACK_DAYS
-from tideline.plans import compact, rounds, ship
+from tideline.plans import compact, rounds, runlog, ship
 from tideline.session import matching_paths, read_folders
-from tideline.sources import files, streams
-
-SEEN_SCHEMA = (
-    "service string, category string, host string, file_name string, size_bytes bigint, "
-    "day date, batch_id bigint"
-)
-# Folder of files whose names carry no label.
-UNREADABLE = "__HIVE_DEFAULT_PARTITION__"
-
+from tideline.sources import archive, index
 
 def utc_now(batch_id: int) -> str:
     """The clock of a live stream, read once per round on the driver."""
     return datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f")[:-3]
 
 
-def seen_files(spark: SparkSession, state_root: str, as_of: str,
-               max_look_back_days: int = MAX_LOOK_BACK_DAYS) -> DataFrame:
-    """Files the source has delivered and that are young enough to ship.
-
-    The source's checkpoint only knows which files were seen; held-back ones live
-    here, partitioned by label day so that a round reads the look-back only.
-    """
-    oldest = files.lookback_days(as_of, max_look_back_days + 1)[-1]
-
-    def recent(day: str) -> bool:
-        return day >= oldest or day == UNREADABLE
-
-    return read_folders(spark, f"{state_root}/seen", "day", recent, SEEN_SCHEMA).drop("day")
-
-
 def stream_name(spark: SparkSession, state_root: str) -> str:
     """The name of a stream's state folder, given once: batch numbers begin anew in each."""
     path = f"{state_root}/name"
@@ -64,63 +40,58 @@ def batch_clock(spark: SparkSession, state_root: str, batch_id: int,
     return spark.read.parquet(path).first()["as_of"]
 
 
-def _batch_files(spark: SparkSession, state_root: str, batch_id: int) -> DataFrame:
-    paths = matching_paths(spark, f"{state_root}/seen/day=*/batch_id={batch_id}")
-    if not paths:
-        return spark.createDataFrame([], SEEN_SCHEMA).drop("batch_id", "day")
-    seen = spark.read.schema(SEEN_SCHEMA).option("basePath", f"{state_root}/seen")
-    return seen.parquet(*paths).drop("batch_id", "day")
-
-
 def start_shipping(spark: SparkSession, spool: str, archive_root: str, state_root: str,
                    clock: Callable[[int], str] = utc_now, once: bool = False,
-                   round_seconds: int = 60, max_files: int | None = None,
+                   round_seconds: int = 60,
                    interval_seconds: int | Column = ship.SHIP_INTERVAL_SECONDS,
                    max_ready_bytes: int | Column = ship.MAX_READY_BYTES,
                    max_look_back_days: int = MAX_LOOK_BACK_DAYS,
-                   shard_bytes: int = compact.SHARD_BYTES) -> StreamingQuery:
+                   shard_bytes: int = compact.SHARD_BYTES,
+                   exclude: Sequence[str] = predicates.HIDDEN_FILES, strict: bool = False,
+                   delete: bool = False, min_bytes: int | Column = retention.MIN_BYTES) -> StreamingQuery:
     """Ship by size or time, whichever comes first, until stopped.
 
-    Each micro-batch adds its new files to the seen table and runs one round over
-    all of them; what is ready is summed over the files on disk, of any age. Rounds also happen when no file arrives, since a held-back file
-    may become due by time alone. A replayed micro-batch overwrites its own seen
-    folder, takes the time of its first run and finds its publish id committed, so
-    nothing is shipped twice. Publish ids carry the stream's own name, so a stream with
-    a new state folder ships what the archive's ledger does not have.
+    Each micro-batch is one round: the index of the spool is brought up to date, which lists only
+    directories that changed, what is due is shipped, and with ``delete`` retention removes
+    what may go, after a shipment and after none, as long as ``min_bytes`` of a directory stay.
+    Rounds happen whether files arrive or not, since a held-back file may become due by time alone.
+
+    A replayed micro-batch overwrites its own folders of the index, takes the time of its first run and
+    finds its publish id committed, so nothing is shipped twice. Publish ids carry the stream's own
+    name, so a stream with a new state folder ships what the archive's ledger does not have.
+
+    Kept under ``state_root``: ``index``, ``late`` (files that can never ship), ``removed`` (what retention
+    named), ``runs`` (phases and their times); under ``archive_root``: ``problems``.
     """
     name = stream_name(spark, state_root)
-    found = streams.new_rotated_files(spark, spool, max_files)
-    if not once:
-        ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-        found = found.unionByName(ticks.select(
-            *[F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema]
-        ))
+    # One row, and so one round, per trigger.
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         as_of = batch_clock(session, state_root, batch_id, clock)
-        fresh = batch.where("file_name IS NOT NULL")
-        day = F.to_date(labels.decode(F.col("label")))
-        (
-            inventory.enrich(fresh)
-            .select(*DIR_KEYS, "file_name", "size_bytes", day.alias("day"),
-                    F.lit(batch_id).alias("batch_id"))
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("day", "batch_id").parquet(f"{state_root}/seen")
-        )
-        seen = seen_files(session, state_root, as_of, max_look_back_days)
-        listing = seen.drop("batch_id")
-        done = rounds.run_round(
-            session, spool, archive_root, as_of, f"{name}-{batch_id}", listing,
-            interval_seconds, max_ready_bytes, max_look_back_days, shard_bytes,
-            on_disk=files.rotated_files(session, spool).where("dir_ok"),
-        )
-        just_seen = inventory.usable(_batch_files(session, state_root, batch_id))
-        ship.late_files(just_seen, done.plan, as_of, max_look_back_days).write.mode(
-            "overwrite"
-        ).parquet(f"{state_root}/late/batch_id={batch_id}")
-
-    writer = found.writeStream.foreachBatch(on_batch).option(
+        round_id, log, runs = f"{name}-{batch_id}", runlog.Phases(), f"{state_root}/runs/batch_id={batch_id}"
+        with log.phase("round"):
+            log.write(session, runs)
+            with log.phase("list"):
+                known = index.advance(session, spool, f"{state_root}/index", batch_id, exclude)
+            done = rounds.run_round(
+                session, spool, archive_root, as_of, round_id, None, interval_seconds, max_ready_bytes,
+                max_look_back_days, shard_bytes, known=known, exclude=exclude, strict=strict, log=log,
+            )
+            fresh = known.fresh.where("dir_ok AND label IS NOT NULL").select(*DIR_KEYS, "file_name", "size_bytes", "label")
+            ship.late_files(fresh, done.plan, as_of, max_look_back_days).write.mode(
+                "overwrite"
+            ).parquet(f"{state_root}/late/batch_id={batch_id}")
+            if delete:
+                with log.phase("cleanup"):
+                    flagged = rounds.retention_of(known, archive_root, round_id, as_of, min_bytes, max_look_back_days)
+                    flagged.where("to_delete").write.mode("overwrite").parquet(
+                        f"{state_root}/removed/batch_id={batch_id}")
+                    archive.delete_files(flagged)
+        log.write(session, runs)
+
+    writer = ticks.writeStream.foreachBatch(on_batch).option(
         "checkpointLocation", f"{state_root}/checkpoint"
     )
     if once:
@@ -131,3 +102,8 @@ def start_shipping(spark: SparkSession, spool: str, archive_root: str, state_roo
 def late_files(spark: SparkSession, state_root: str) -> DataFrame:
     """STR4: files that arrived too late to ever ship, with the reason."""
     return spark.read.parquet(f"{state_root}/late")
+
+
+def run_log(spark: SparkSession, state_root: str) -> DataFrame:
+    """AGG10: phases of all rounds, for ``plans.runlog``."""
+    return read_folders(spark, f"{state_root}/runs", "batch_id", lambda _: True, f"{runlog.RUNS_SCHEMA}, batch_id bigint")
