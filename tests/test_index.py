@@ -186,7 +186,7 @@ def test_each_stage_of_a_round_leaves_its_problems(spark, tmp_path):
     assert {r.phase: r.n_runs for r in runlog.phase_timers(log).collect()} == {
         "round": 2, "list": 2, "plan": 2, "ship": 1}
     assert {r.in_flight for r in runlog.in_flight(log).collect()} == {0}
-    with pytest.raises(Exception, match="bad rotated file name"):
+    with pytest.raises(Exception, match="bad archive name"):
         rounds.run_round(spark, root, out, "2024-01-31 20:00:00", "strict", strict=True)
 
 
