@@ -66,6 +66,10 @@ class Model:
                 return found - found.sum() / len(found)
         return np.zeros(len(self.langs))
 
+    def forget(self) -> None:
+        """Give the memory of words back."""
+        self.at, self.rows = {}, None
+
     def predict(self, text: str | None) -> tuple[str, float]:
         words = text_words(text) if text else []
         if not words or not self.langs or not any(c.isalpha() for w in words for c in w):
@@ -159,8 +163,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
-    def predict(text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.value.predict(t) for t in text], columns=["lang_pred", "score"])
+    def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for text in parts:
+            yield pd.DataFrame([shared.value.predict(t) for t in text], columns=["lang_pred", "score"])
+        shared.value.forget()  # the worker may wait long for its next task
 
     out = docs.withColumn("_language", predict(F.col("text").cast("string")))
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]

@@ -7,9 +7,10 @@
    enumerate the 2-subsets of their prefix (two similar sets have one in common); large sets
    scan the inverted lists of the elements of theirs. The size from which scanning is cheaper
    is the boundary.
-3. Sets that meet are compared exactly, first with one hub of each list, so that a large group
-   of near copies needs as many comparisons as it has members; sets that a hub has not
-   joined are compared with each other.
+3. Lists with the same members count once. Sets that meet are compared exactly, by rounds: with one
+   hub of each list first, then with four, sixteen, ... of what is left. What a round connects needs no
+   more comparing, and a hub that met its whole list leaves it, so a large group of near copies
+   needs few comparisons per member, and rounds go on until no list is left.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.common import components, fanout, settled
@@ -29,8 +30,10 @@ from tideline.operators.joins import join_keyed
 
 #: Share of a set that the first filter wants to find elsewhere. Changes cost, not results.
 SLACK = 0.05
-#: Rounds of hubs before what they did not connect is compared pair by pair. Changes cost, not results.
-HUB_TURNS = 3
+#: Hubs of a list are this many times more in each round. Changes cost, not results.
+HUB_GROWTH = 4
+#: Bytes of hashes a task holds at a time.
+BUCKET_BYTES = 16 << 20
 
 
 def least_overlap(n, percent: int):
@@ -38,6 +41,10 @@ def least_overlap(n, percent: int):
     return (percent * n + 99) // 100
 
 
+def least_overlap_column(n, percent: int):
+    return F.floor((percent * n + 99) / 100)
+
+
 def class_id(hashes: np.ndarray) -> int:
     """Signed 64-bit digest of a set; equal sets share it."""
     return int.from_bytes(xxhash.xxh3_64_digest(hashes.tobytes()), "big", signed=True)
@@ -91,14 +98,17 @@ def _joined(table: pa.Table, column: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(column).to_pylist()), kind)
 
 
-def shared_counts(docs: DataFrame, size: int, percent: int) -> DataFrame:
+def bucket_count(docs: DataFrame, hashes: float) -> int:
+    """Buckets of hashes: as many as the cluster's partitions, more if they would hold too much each."""
+    return max(fanout(docs.sparkSession), int(8 * hashes // BUCKET_BYTES) + 1)
+
+
+def shared_counts(docs: DataFrame, size: int, percent: int, buckets: int) -> DataFrame:
     """``class`` and ``shared``: elements of its hash-order prefix that some other class has.
 
     Within a batch an element travels with two of its classes at most, the others are credited
     at once, so that a very frequent shingle is no heavier than the number of batches.
     """
-    buckets = fanout(docs.sparkSession)
-
     def emit(batches):
         for _, sets in _batches(batches, "text", size):
             classes = {class_id(s): s for s in sets if len(s)}
@@ -153,15 +163,13 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return picked.select("text", "class").mapInArrow(sets_of, "class long, n long, hashes binary").dropDuplicates(["class"])
 
 
-def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """``class``, ``n``, ``prefix``, ``lists``: shared elements, rarest first, with how many sets have each.
+def prefixes(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """``class``, ``n``, ``prefix``: shared elements, those that fewest sets have first.
 
     Elements that one set alone has come first in this order and can be left out, but they take
     places: what is kept is n - ceil(t n) + 2 long, less those. One kept element more than
     single elements need makes room for 2-subsets.
     """
-    buckets = fanout(sets.sparkSession)
-
     def emit(batches):
         for batch in batches:
             refs, n, raw = (c.to_pylist() for c in batch.columns)
@@ -180,21 +188,13 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
         return pa.table({"class": refs[keep], "n": n[keep], "hash": hashes[keep].view(np.int64),
                          "sets": times[keep].astype(np.int64)})
 
-    def first(table: pa.Table) -> pa.Table:
-        n, m = table.column("n")[0].as_py(), table.num_rows
-        keep = n - least_overlap(n, percent) + 2 - (n - m)
-        hashes, sets = table.column("hash").to_numpy(), table.column("sets").to_numpy()
-        order = np.lexsort((hashes, sets))[:max(keep, 0)]
-        empty = not len(order)
-        return pa.table({"class": pa.array([] if empty else [table.column("class")[0].as_py()], pa.int64()),
-                         "n": pa.array([] if empty else [n], pa.int64()),
-                         "prefix": pa.array([] if empty else [hashes[order].tolist()], pa.list_(pa.int64())),
-                         "lists": pa.array([] if empty else [sets[order].tolist()], pa.list_(pa.int64()))})
-
     shared = (sets.mapInArrow(emit, DEALT)
               .groupBy("bucket").applyInArrow(frequencies, "class long, n long, hash long, sets long"))
-    return shared.groupBy("class").applyInArrow(
-        first, "class long, n long, prefix array<long>, lists array<long>")
+    # One set's elements at most: no more than its document.
+    whole = shared.groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct("sets", "hash"))).alias("all"))
+    keep = F.size("all") + 2 - least_overlap_column(F.col("n"), percent)
+    return whole.where(keep > 0).select(
+        "class", "n", F.transform(F.slice("all", 1, keep.cast("int")), lambda e: e["hash"]).alias("prefix"))
 
 
 def boundary(ordered: DataFrame, percent: int) -> int:
@@ -245,47 +245,50 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([v for v, k in zip(side, keep) if k], pa.int64()) for side in (a, b)], names=["a", "b"])
 
-    one = sets.select(F.col("class").alias("a"), F.col("hashes").alias("left"))
-    two = sets.select(F.col("class").alias("b"), F.col("hashes").alias("right"))
+    met = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    some = join_keyed(sets, met, ["class"], "left_semi")
+    one = some.select(F.col("class").alias("a"), F.col("hashes").alias("left"))
+    two = some.select(F.col("class").alias("b"), F.col("hashes").alias("right"))
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "left", "right").mapInArrow(
         check, "a long, b long")
 
 
+def lists_once(keys: DataFrame, limit: int) -> DataFrame:
+    """``key``, ``heavy``, ``class``, ``n`` of one list for each set of members that can hold a link."""
+    digest = [F.bit_xor(F.xxhash64("class", F.lit(i))).alias(f"d{i}") for i in range(2)]
+    stats = keys.groupBy("key", "heavy").agg(F.count("*").alias("c"), F.max("n").alias("top"), *digest)
+    useful = stats.where("c > 1").where(~F.col("heavy") | (F.col("top") > limit))
+    one = useful.groupBy("c", "d0", "d1").agg(F.min(F.struct("key", "heavy")).alias("l")).select("l.*")
+    return keys.join(one, ["key", "heavy"])
+
+
 def class_links(sets: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
-    """Links ``a``, ``b`` between classes: enough to connect all that link, by comparing what shares a key."""
+    """Links ``a``, ``b`` between classes: enough to connect all that link, by comparing what shares a list."""
     limit = boundary(ordered, percent)
-    keys = meeting_keys(ordered, limit, percent)
-    stats = keys.groupBy("key", "heavy").agg(F.count("*").alias("c"), F.max("n").alias("top"))
-    useful = stats.where("c > 1").where(~F.col("heavy") | (F.col("top") > limit)).select("key", "heavy")
-    keys = settled(keys.join(useful, ["key", "heavy"]))
+    keys = settled(lists_once(meeting_keys(ordered, limit, percent), limit).withColumn("label", F.col("class")))
     fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    keys = keys.withColumn("label", F.col("class"))
-    links, tried = None, None
-    for turn in range(HUB_TURNS):
-        rank = F.struct(F.xxhash64("label", F.lit(turn)).alias("r"), F.xxhash64("class", F.lit(turn)).alias("s"),
-                        F.col("class").alias("c"), F.col("n").alias("m"), F.col("label").alias("l"))
-        hubs = keys.groupBy("key", "heavy").agg(F.min(rank).alias("h")).select(
-            "key", "heavy", F.col("h.c").alias("hub"), F.col("h.m").alias("m"), F.col("h.l").alias("hub_label"))
-        pairs = (keys.join(hubs, ["key", "heavy"]).where("label <> hub_label").where(fits)
+    on = ["key", "heavy"]
+    links = tried = sets.sparkSession.createDataFrame([], "a long, b long")
+    turn, hubs_each = 0, 1
+    while not keys.isEmpty():
+        # Hubs of few labels in all, so that lists with the same members choose the same.
+        order = Window.partitionBy(*on).orderBy(F.xxhash64("label", F.lit(turn)), F.xxhash64("class", F.lit(turn)), "class")
+        hubs = settled(keys.withColumn("place", F.row_number().over(order)).where(F.col("place") <= hubs_each).select(
+            *on, F.col("class").alias("hub"), F.col("n").alias("m"), F.col("label").alias("hub_label")))
+        pairs = (keys.join(hubs, on).where("label <> hub_label").where(fits)
                  .select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct())
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = settled(pairs)
+        pairs = settled(pairs.join(tried, ["a", "b"], "left_anti"))
         found = settled(verified(pairs, sets, percent))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        # What is connected by now needs no more comparing.
+        tried, links = tried.unionByName(pairs), links.unionByName(found)
+        # What is connected by now needs no more comparing, nor does a hub within its list.
         groups = components(keys.select(F.col("class").alias("id")).distinct(), links).select(
             F.col("id").alias("class"), F.col("component").alias("label"))
-        keys = keys.drop("label").join(settled(groups), "class")
-        open_keys = keys.groupBy("key", "heavy").agg(
-            F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "heavy")
-        keys = settled(keys.join(open_keys, ["key", "heavy"]))
-    one = keys.select("key", "heavy", F.col("class").alias("a"), "n", F.col("label").alias("la"))
-    two = keys.select("key", "heavy", F.col("class").alias("b"), F.col("n").alias("m"), F.col("label").alias("lb"))
-    rest = one.join(two, ["key", "heavy"]).where("a < b and la <> lb").where(fits).select("a", "b").distinct()
-    left = verified(rest.join(tried, ["a", "b"], "left_anti"), sets, percent)
-    return links.unionByName(left)
+        left = keys.drop("label").join(hubs.select(*on, F.col("hub").alias("class")), [*on, "class"], "left_anti")
+        left = settled(left.join(groups, "class"))
+        still = left.groupBy(*on).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+        keys = settled(left.join(still.select(*on), on))
+        turn, hubs_each = turn + 1, hubs_each * HUB_GROWTH
+    return links
 
 
 def join(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
@@ -301,9 +304,12 @@ def join(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
     classes = settled(every.where("class is not null and doc_id is not null").groupBy("class").agg(
         F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")))
     wanted = F.greatest(F.lit(1), F.floor(F.col("n") * SLACK))
-    left = settled(shared_counts(own.where("doc_id is not null"), size, percent).join(classes, "class").where(F.col("shared") >= wanted))
+    elements = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = bucket_count(docs, elements * ((100 - percent) / 100 + SLACK))
+    left = settled(shared_counts(own.where("doc_id is not null"), size, percent, buckets).join(classes, "class").where(F.col("shared") >= wanted))
     sets = settled(whole_sets(own, left, size))
-    ordered = settled(prefixes(sets, percent))
+    elements = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ordered = settled(prefixes(sets, percent, bucket_count(docs, elements)))
     links = settled(class_links(sets, ordered, percent))
     nodes = classes.select(F.col("class").alias("id"), "doc_id")
     grouped = components(nodes, links)

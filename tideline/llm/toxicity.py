@@ -73,11 +73,13 @@ def label_model(votes: np.ndarray, gold: np.ndarray, toxic_first: np.ndarray, tu
     that does not fire abstains, as a toxic text holds few of many toxic words; that none of them
     fires is one more vote. Voters
     that fire together more than their accuracies explain share their weight: each counts as
-    one over one plus its positive correlations. ``gold`` is 1, 0, or -1 where it is not known;
-    known rows anchor the estimates. ``toxic_first`` is the first guess.
+    one over one plus its positive correlations. ``gold`` is 1, 0, or -1 where it is not known:
+    a label is one more vote, for or against, whose accuracy is estimated like the others'.
+    ``toxic_first`` is the first guess where there is no label.
     """
     fires = np.c_[votes, ~votes.any(1)].astype(np.float64)
-    posterior = np.where(gold >= 0, np.clip(gold, 0.02, 0.98), toxic_first)
+    known, says = gold >= 0, gold == 1
+    posterior = np.where(known, np.clip(gold, 0.02, 0.98), toxic_first)
     share = np.ones(fires.shape[1])
     for turn in range(turns):
         p = posterior
@@ -90,8 +92,11 @@ def label_model(votes: np.ndarray, gold: np.ndarray, toxic_first: np.ndarray, tu
             both = np.einsum("ij,ik->jk", rest, rest) / len(rest)
             np.fill_diagonal(both, 0)
             share = 1 / (1 + np.where(both > 0.25, both, 0).sum(0))
-        odds = np.log(prior / (1 - prior)) + (fires * (share * np.log(on1 / on0))).sum(1)
-        posterior = np.where(gold >= 0, np.clip(gold, 0.02, 0.98), sigmoid(odds))
+        said1 = (p[says].sum() + 0.5) / (p[known].sum() + 1)
+        said0 = ((1 - p)[says].sum() + 0.5) / ((1 - p)[known].sum() + 1)
+        label = np.where(says, np.log(said1 / said0), np.where(known, np.log((1 - said1) / (1 - said0)), 0))
+        odds = np.log(prior / (1 - prior)) + (fires * (share * np.log(on1 / on0))).sum(1) + label
+        posterior = sigmoid(odds)
     return posterior
 
 
@@ -143,12 +148,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, voters: int =
     lexicon = list(dict.fromkeys([*toxic_terms, *PATTERNS]))
     names = list(dict.fromkeys([*lexicon, *useful]))
     at = {t: i for i, t in enumerate(names)}
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([[at[t] for t in terms if t in at] for terms in batch.column(0).to_pylist()], pa.list_(pa.int32())),
+                 batch.column(1)], names=["hits", "toxic"])
+
     # Bounded: one list of known terms for each row of the sample.
-    keep = rows.sparkSession.createDataFrame(list(at.items()), "term string, i int")
-    held = settled(rows.select(F.monotonically_increasing_id().alias("row"), "terms", "toxic"))
-    hits = (held.select("row", F.explode("terms").alias("term")).join(F.broadcast(keep), "term")
-            .groupBy("row").agg(F.collect_list("i").alias("hits")))
-    data = held.select("row", "toxic").join(hits, "row", "left").toPandas().sort_values("row")
+    data = rows.select("terms", "toxic").mapInArrow(known, "hits array<int>, toxic int").toPandas()
     lists = [np.sort(np.array(h if isinstance(h, (list, np.ndarray)) else [], np.int64)) for h in data["hits"]]
     gold = data["toxic"].fillna(-1).to_numpy(float)
     votes = np.zeros((len(lists), len(lexicon)), bool)
@@ -170,7 +178,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def rate(text: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.score(t) for t in text], dtype=float)
+    def rate(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in parts:
+            yield pd.Series([shared.value.score(t) for t in text], dtype=float)
+        shared.value.known.clear()  # the worker may wait long for its next task
 
     return docs.withColumn("score", rate(F.col("text").cast("string")))
