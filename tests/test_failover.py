@@ -101,3 +101,30 @@ def test_time_orders_events_inside_a_second_before_seq(spark):
         (0, 0, "heartbeat"), (600.1, 20, "poll"), (600.9, 10, "heartbeat"))]
     df = spark.createDataFrame(rows, "agent string, ts timestamp, seq bigint, kind string")
     assert failover.switches(failover.picks(df)).count() == 1
+
+
+@pytest.mark.parametrize("seed", range(300))
+def test_kernel_equals_the_walk_from_every_state(seed):
+    rng = random.Random(seed)
+    events = random_timeline(rng, rng.randrange(1, 40), rng.choice([1, 3, 11, 40]))
+    seconds, kinds = zip(*events)
+    poll = [k == "poll" for k in kinds]
+    line = failover.Timeline(seconds, poll, [not p for p in poll], [False] * len(poll), LIMIT)
+    for on_primary in (True, False):
+        for age in range(LIMIT + 2):
+            channel, clock, rows = on_primary, seconds[0] - age, []
+            touched = False
+            for i, (second, kind) in enumerate(events):
+                if kind == "heartbeat" and channel:
+                    clock, touched = second, True
+                elif kind == "poll" and second - clock >= LIMIT:
+                    channel, clock, touched = not channel, second, True
+                    rows.append(i)
+            assert line.switches(on_primary, seconds[0] - age).tolist() == rows
+            end = line.exits([on_primary], [seconds[0] - age])[0]
+            assert end == (2 * clock + channel if touched else -1)
+
+
+def test_seconds_are_aggregated_without_a_sort(spark):
+    plan = failover.per_second(frame(spark, {"a": full_story()}))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan

@@ -34,7 +34,9 @@ def per_second(events: DataFrame, chunk_seconds: int = CHUNK_SECONDS) -> DataFra
     """
     second = F.floor(F.unix_millis("ts") / F.lit(1000)).cast("bigint")
     poll, beat = F.col("kind") == "poll", F.col("kind") == "heartbeat"
-    when = F.struct(F.unix_micros("ts").alias("us"), "seq")
+    # One number that orders by time, then seq: a struct would be aggregated by sorting.
+    step = F.lit(str(2 * 10**19)).cast("decimal(20,0)")
+    when = (F.unix_micros("ts").cast("decimal(17,0)") * step + F.col("seq").cast("decimal(19,0)")).cast("decimal(38,0)")
     return (
         events.groupBy("agent", second.alias("second"))
         .agg(
@@ -51,6 +53,75 @@ def per_second(events: DataFrame, chunk_seconds: int = CHUNK_SECONDS) -> DataFra
     )
 
 
+class Timeline:
+    """Rows in time order, each a second or an event, and how channels switch along them.
+
+    Work goes from switch to switch, each found by search for all asked states at once; rows are
+    never walked.
+    """
+
+    def __init__(self, second, poll, beat, beat_first, failover: int):
+        import numpy as np
+
+        self.second, self.failover, self.n = np.asarray(second, np.int64), failover, len(second)
+        self.beat_first = np.append(np.asarray(beat_first, bool), False)
+        self.polls, self.beats = np.flatnonzero(poll), np.flatnonzero(beat)
+        # The last heartbeat before the poll of each row, of the same row only if it came first.
+        beat_at = np.where(np.asarray(beat, bool), np.arange(self.n), -1)
+        seen = np.maximum.accumulate(beat_at) if self.n else beat_at
+        before = np.where(self.beat_first[:-1], np.arange(self.n), np.append(-1, seen[:-1])[:self.n])
+        quiet = (before >= 0) & (self.second - self.second[before] >= failover)
+        self.overdue = np.flatnonzero(quiet & np.asarray(poll, bool))
+
+    def _first(self, rows, at):
+        """The first of the sorted ``rows`` from ``at`` on, or the number of rows."""
+        import numpy as np
+
+        return np.append(rows, self.n)[np.searchsorted(rows, at)]
+
+    def next_switch(self, on_primary, at, clock):
+        """Row of the next switch for each state (channel, next row, clock); the number of rows for none."""
+        import numpy as np
+
+        due = np.searchsorted(self.second, clock + self.failover)
+        poll = self._first(self.polls, np.maximum(at, due))
+        beat = self._first(self.beats, at)
+        alone = (poll < beat) | ((poll == beat) & ~self.beat_first[poll])
+        # From the first heartbeat on, a poll is due by the last heartbeat before it.
+        return np.where(~on_primary | alone, poll, self._first(self.overdue, beat + 1))
+
+    def exits(self, on_primary, clock):
+        """State after the last row for each state before the first: 2 * clock + channel, or -1 if unchanged."""
+        import numpy as np
+
+        on_primary, clock = np.array(on_primary, bool), np.array(clock, np.int64)
+        at, touched = np.zeros(len(clock), np.int64), np.zeros(len(clock), bool)
+        seconds = np.append(self.second, 0)
+        while self.n:
+            row = self.next_switch(on_primary, at, clock)
+            go = row < self.n
+            if not go.any():
+                break
+            on_primary, at = on_primary ^ go, np.where(go, row + 1, at)
+            clock, touched = np.where(go, seconds[row], clock), touched | go
+            # A state without a next switch stays where it is.
+        last = self.beats[-1] if len(self.beats) else -1
+        heard = on_primary & (last >= at)
+        clock, touched = np.where(heard, seconds[last], clock), touched | heard
+        return np.where(touched, 2 * clock + on_primary, -1)
+
+    def switches(self, on_primary: bool, clock: int):
+        """Rows at which a switch happens, from one known state on; at least ``failover`` apart."""
+        import numpy as np
+
+        rows, at = [], 0
+        state, since = np.array([on_primary]), np.array([clock], np.int64)
+        while (row := int(self.next_switch(state, np.array([at]), since)[0])) < self.n:
+            rows.append(row)
+            state, since, at = ~state, self.second[row:row + 1], row + 1
+        return np.array(rows, np.int64)
+
+
 def _chunk_function(failover: int):
     """Closure for step one: exit state of a chunk for every start state."""
 
@@ -59,49 +130,12 @@ def _chunk_function(failover: int):
         import pandas as pd
 
         pdf = pdf.sort_values("second")
-        sec = pdf["second"].to_numpy()
-        beat_first = pdf["beat_first"].to_numpy()
-        n = len(sec)
-        poll_at = np.flatnonzero(pdf["poll"].to_numpy())
-        beat_at = np.flatnonzero(pdf["beat"].to_numpy())
-        poll_sec = sec[poll_at]
-
-        def first_poll(from_sec):
-            i = np.searchsorted(poll_sec, from_sec, side="left")
-            return np.where(i < len(poll_at), np.append(poll_at, n)[i], n)
-
-        # State (on primary, clock set at sec[j]) is number 2 * j + 1, the secondary
-        # twin is 2 * j. A number is resolved to the last one it leads to.
-        next_poll = first_poll(sec + failover)
-        j = np.searchsorted(beat_at, np.arange(n), side="right")
-        next_beat = np.append(beat_at, n)[j]
-        last = np.arange(2 * n)
-
-        def step(on_primary, poll, beat):
-            if not on_primary:
-                return -1 if poll == n else 2 * poll + 1
-            if beat == n and poll == n:
-                return -1
-            if beat < poll or (beat == poll and beat_first[beat]):
-                return 2 * beat + 1
-            return 2 * poll
-
-        for i in range(n - 1, -1, -1):
-            for on_primary in (0, 1):
-                to = step(on_primary, next_poll[i], next_beat[i])
-                if to >= 0:
-                    last[2 * i + on_primary] = last[to]
-
+        line = Timeline(*[pdf[c].to_numpy() for c in ("second", "poll", "beat", "beat_first")], failover)
         # Start states by age: how long before the first second the clock was set.
-        entry_poll = first_poll(sec[0] - np.arange(failover + 1) + failover)
-        entry_beat = beat_at[0] if len(beat_at) else n
-        exits = []
-        for on_primary in (0, 1):
-            for a in range(failover + 1):
-                to = step(on_primary, entry_poll[a], entry_beat)
-                exits.append(-1 if to < 0 else int(2 * sec[last[to] // 2] + last[to] % 2))
-        return pd.DataFrame({"agent": [key[0]], "chunk": [key[1]], "first_second": [sec[0]],
-                             "exits": [exits]})
+        clock = line.second[0] - np.tile(np.arange(failover + 1), 2)
+        exits = line.exits(np.repeat([False, True], failover + 1), clock)
+        return pd.DataFrame({"agent": [key[0]], "chunk": [key[1]], "first_second": [line.second[0]],
+                             "exits": [exits.tolist()]})
 
     return run
 
@@ -131,24 +165,17 @@ def _replay(failover: int):
     """Closure for step three: channel after each polled second of a chunk."""
 
     def run(key, pdf):
+        import numpy as np
         import pandas as pd
 
         pdf = pdf.sort_values("second")
         on_primary, clock = bool(pdf["on_primary"].iloc[0]), int(pdf["clock"].iloc[0])
-        rows = []
-        for second, poll, beat, beat_first in zip(
-            pdf["second"], pdf["poll"], pdf["beat"], pdf["beat_first"]
-        ):
-            if on_primary and beat_first:
-                clock = second
-            switched = False
-            if poll:
-                if second - clock >= failover:
-                    on_primary, clock, switched = not on_primary, second, True
-                rows.append((key[0], second, on_primary, switched))
-            if on_primary and beat:
-                clock = second
-        return pd.DataFrame(rows, columns=["agent", "second", "on_primary", "switched"])
+        line = Timeline(*[pdf[c].to_numpy() for c in ("second", "poll", "beat", "beat_first")], failover)
+        switched = np.zeros(line.n, bool)
+        switched[line.switches(on_primary, clock)] = True
+        channel = np.where(np.cumsum(switched) % 2 == 0, on_primary, not on_primary)
+        out = pd.DataFrame({"agent": key[0], "second": line.second, "on_primary": channel, "switched": switched})
+        return out[pdf["poll"].to_numpy()]
 
     return run
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from tideline.operators.failover import FAILOVER_SECONDS, PRIMARY, SECONDARY
+from tideline.operators.failover import FAILOVER_SECONDS, PRIMARY, SECONDARY, Timeline
 
 
 def _processor(failover: int):
@@ -20,34 +20,35 @@ def _processor(failover: int):
             )
 
         def handleInputRows(self, key, rows, timer_values):
+            import numpy as np
             import pandas as pd
 
             events = pd.concat(list(rows)).sort_values(["us", "seq"])
+            us, seq = events["us"].to_numpy(np.int64), events["seq"].to_numpy(np.int64)
             if self.state.exists():
                 on_primary, clock, last_us, last_seq = self.state.get()
             else:
-                first = events.iloc[0]
-                on_primary, clock = True, int(first["us"]) // 1_000_000
-                last_us, last_seq = int(first["us"]), int(first["seq"]) - 1
-            out = []
-            for us, seq, kind in zip(events["us"], events["seq"], events["kind"]):
-                us, seq = int(us), int(seq)
-                if (us, seq) <= (last_us, last_seq):
-                    out.append((key[0], us // 1_000_000, seq, "late", False))
-                    continue
-                last_us, last_seq = us, seq
-                second = us // 1_000_000
-                if kind == "heartbeat":
-                    if on_primary:
-                        clock = second
-                    continue
-                switched = second - clock >= failover
-                if switched:
-                    on_primary, clock = not on_primary, second
-                channel = PRIMARY if on_primary else SECONDARY
-                out.append((key[0], second, seq, channel, switched))
+                on_primary, clock = True, int(us[0]) // 1_000_000
+                last_us, last_seq = int(us[0]), int(seq[0]) - 1
+            again = np.r_[False, (us[1:] == us[:-1]) & (seq[1:] == seq[:-1])]
+            late = (us < last_us) | ((us == last_us) & (seq <= last_seq)) | again
+            poll = (events["kind"] != "heartbeat").to_numpy() & ~late
+            beat = (events["kind"] == "heartbeat").to_numpy() & ~late
+            second = us // 1_000_000
+            line = Timeline(second, poll, beat, np.zeros(len(us), bool), failover)
+            switched = np.zeros(len(us), bool)
+            switched[line.switches(on_primary, clock)] = True
+            on = np.where(np.cumsum(switched) % 2 == 0, on_primary, not on_primary)
+            channel = np.where(late, "late", np.where(on, PRIMARY, SECONDARY))
+            end = int(line.exits([on_primary], [clock])[0])
+            if end >= 0:
+                on_primary, clock = bool(end % 2), end // 2
+            if not late.all():
+                newest = np.flatnonzero(~late)[-1]
+                last_us, last_seq = int(us[newest]), int(seq[newest])
             self.state.update((on_primary, clock, last_us, last_seq))
-            yield pd.DataFrame(out, columns=["agent", "second", "seq", "channel", "switched"])
+            out = pd.DataFrame({"agent": key[0], "second": second, "seq": seq, "channel": channel, "switched": switched})
+            yield out[poll | late]
 
         def close(self):
             pass
