@@ -255,40 +255,46 @@ def idle_directories(spark: SparkSession, sf: str) -> DataFrame:
                  F.lower("c_mktsegment"), F.lit("@h0")).alias("dir_name")).distinct()
 
 
+def _folder_system(root: str):
+    from pyarrow import fs
+
+    if "://" in root:
+        return fs.FileSystem.from_uri(root)
+    return fs.LocalFileSystem(), root.removeprefix("file:")
+
+
+def _in_tasks(df: DataFrame, act) -> None:
+    """Run ``act`` on each Arrow batch of ``df`` for what it does."""
+    def run(batches):
+        for batch in batches:
+            act(batch)
+            yield batch.slice(0, 0)
+
+    df.mapInArrow(run, df.schema).write.format("noop").mode("overwrite").save()
+
+
 def make_folders(dirs: DataFrame, root: str) -> None:
     """Create empty directories (dir_name), from the tasks."""
-    def create(rows):
-        from pyarrow import fs
-
-        if "://" in root:
-            system, base = fs.FileSystem.from_uri(root)
-        else:
-            system, base = fs.LocalFileSystem(), root.removeprefix("file:")
-        for (dir_name,) in rows:
+    def create(batch):
+        system, base = _folder_system(root)
+        for dir_name in batch.column(0).to_pylist():
             system.create_dir(f"{base}/{dir_name}", recursive=True)
 
-    dirs.select("dir_name").foreachPartition(create)
+    _in_tasks(dirs.select("dir_name"), create)
 
 
 def put_files(df: DataFrame, root: str) -> None:
     """Write (dir_name, file_name, body) rows as files, from the tasks."""
-    def write(rows):
-        from pyarrow import fs
-
-        if "://" in root:
-            system, base = fs.FileSystem.from_uri(root)
-        else:
-            system, base = fs.LocalFileSystem(), root.removeprefix("file:")
-        made = set()
-        for dir_name, file_name, body in rows:
-            folder = f"{base}/{dir_name}"
-            if folder not in made:
-                system.create_dir(folder, recursive=True)
-                made.add(folder)
-            with system.open_output_stream(f"{folder}/{file_name}") as out:
-                out.write(bytes(body))
-
-    df.select("dir_name", "file_name", F.col("body").cast("binary")).foreachPartition(write)
+    def write(batch):
+        system, base = _folder_system(root)
+        dirs, names_, bodies = batch.columns
+        for dir_name in dirs.unique().to_pylist():
+            system.create_dir(f"{base}/{dir_name}", recursive=True)
+        for dir_name, file_name, body in zip(dirs.to_pylist(), names_.to_pylist(), bodies):
+            with system.open_output_stream(f"{base}/{dir_name}/{file_name}") as out:
+                out.write(body.as_buffer() or b"")
+
+    _in_tasks(df.select("dir_name", "file_name", F.coalesce(F.col("body").cast("binary"), F.lit(b"")).alias("body")), write)
 
 
 def document_spool(spark: SparkSession, sf: str, purpose: str = "spool") -> str:

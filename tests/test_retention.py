@@ -44,15 +44,13 @@ def test_equals_the_fold_with_one_hot_directory(spark, seed):
     assert sum(map(len, want.values())) > 50
 
 
-def test_every_refinement_step(spark, monkeypatch):
+def test_the_cut_is_found_within_one_second(spark):
     rng = random.Random(9)
-    dirs = random_dirs(rng, 6, 300)
+    dirs = {f"s{d}": [(model.encode(NOW - t), rng.choice([0, 1, 5, 1000])) for t in rng.sample(range(span), 90)]
+            for d, span in enumerate((100, 900, 5_000, 60_000, 5_000_000))}
     limits = {s: NOW for s in dirs}
     floors = {s: 2000 for s in dirs}
     want = {s: model.retention(fs, limits[s], floors[s]) for s, fs in dirs.items()}
-    cut = retention.suffix_cut
-    monkeypatch.setattr(retention, "suffix_cut",
-                        lambda *a, **k: cut(*a, **{**k, "leaf_files": 0}))
     assert run(spark, dirs, limits, floors)[1] == want
 
 

@@ -6,10 +6,11 @@ prefix, so "bytes left" before a file is the sum of its size and of all later
 ones: a suffix sum that never rises along a directory. One label per directory,
 the last one whose suffix sum still exceeds the floor, therefore decides.
 
-That label is found by refinement instead of a window over all files: sum sizes
-per label prefix, find the prefix in which the sum crosses the floor, and look
-inside that prefix only. Each step is a partial aggregate whose window runs over
-prefixes, so a directory with a third of all files is never sorted in one task.
+That label is found by sums over ever shorter parts of the labels: one pass over the files
+sums them by directory and second, which also gives the sums by 4096 seconds. The 4096 seconds in
+which the sum crosses the floor are found first, then the second within them, then the file
+within that second, for which only the files of one second per directory are looked at again.
+Windows run over parts of time, so a directory with a third of all files is never sorted in one task.
 """
 
 from __future__ import annotations
@@ -20,66 +21,56 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.operators.inventory import DIR_KEYS
-from tideline.operators.joins import join_keyed, join_measured, measured
+from tideline.operators.joins import join_keyed, join_measured, measured, settled
 
 MIN_BYTES = 1024 * 1024
-# Hex digits kept per step: 4096 s, 1 s, single label. A step is skipped when no
-# directory has more files than LEAF_FILES left to look at.
-PREFIX_WIDTHS = (13, 16, 24)
-LEAF_FILES = 1_000_000
+# Hex digits of a label that tell 4096 seconds and single seconds apart.
+COARSE, FINE = 13, 16
 
 
-def suffix_cut(files: DataFrame, floors: DataFrame, keys: Sequence[str] = DIR_KEYS,
-               widths: Sequence[int] = PREFIX_WIDTHS, leaf_files: int = LEAF_FILES) -> DataFrame:
-    """Per key the greatest label whose suffix sum exceeds ``min_bytes``.
+def per_second(files: DataFrame, keys: Sequence[str] = DIR_KEYS) -> DataFrame:
+    """Bytes and newest label of each second of each directory, as a partial aggregate."""
+    return files.groupBy(*keys, F.substring("label", 1, FINE).alias("second")).agg(
+        F.sum("size_bytes").alias("bytes"), F.max("label").alias("newest_label"))
 
-    ``floors`` has one row per key with ``min_bytes``. Keys whose total does not
-    exceed the floor are absent. ``widths`` must end with the label length.
-    """
-    keys = list(keys)
+
+def _crossing(sums: DataFrame, state: DataFrame, part: str, keys: list[str]) -> DataFrame:
+    """Per key the greatest ``part`` whose suffix sum of ``bytes`` is still above the floor, and what lies after it."""
     newer = (
-        Window.partitionBy(*keys)
-        .orderBy(F.col("_part").desc())
+        Window.partitionBy(*keys).orderBy(F.col(part).desc())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    left = sums.join(state, keys).withColumn("_left", F.col("after") + F.sum("bytes").over(newer))
+    return (
+        left.where(F.col("_left") > F.col("min_bytes"))
+        .groupBy(*keys, "min_bytes")
+        .agg(F.max(F.struct(part, (F.col("_left") - F.col("bytes")).alias("after"))).alias("_at"))
+        .select(*keys, "min_bytes", f"_at.{part}", "_at.after")
+    )
 
-    def crossing(scope: DataFrame, state: DataFrame, width: int) -> DataFrame:
-        """Per key the greatest prefix still above the floor, and what lies after it."""
-        sums = scope.groupBy(*keys, F.substring("label", 1, width).alias("_part")).agg(
-            F.sum("size_bytes").alias("_bytes"), F.count(F.lit(1)).alias("_files")
-        )
-        left = sums.join(state, keys).withColumn(
-            "_left", F.col("_after") + F.sum("_bytes").over(newer)
-        )
-        return (
-            left.where(F.col("_left") > F.col("min_bytes"))
-            .groupBy(*keys, "min_bytes")
-            .agg(F.max(F.struct("_part", (F.col("_left") - F.col("_bytes")).alias("_after"),
-                                "_files")).alias("_at"))
-            .select(*keys, "min_bytes", F.col("_at._after").alias("_after"),
-                    F.col("_at._part").alias("_prefix"), F.col("_at._files").alias("_files"))
-        )
-
-    last = widths[-1]
-    start = floors.select(*keys, "min_bytes", F.lit(0).cast("bigint").alias("_after"))
-    state = crossing(files, start, widths[0])
-    done, rest = widths[0], list(widths[1:])
-    while done != last:
-        table, size = measured(state)
-        most = table.agg(F.max("_files")).first()[0] or 0
-        width = last if most <= leaf_files else rest[0]
-        rest = [w for w in rest if w > width]
-        inside = files.select(*keys, "label", "size_bytes",
-                              F.substring("label", 1, done).alias("_prefix"))
-        scope = join_measured(inside, (table.select(*keys, "_prefix"), size),
-                              [*keys, "_prefix"], "left_semi")
-        state, done = crossing(scope, table.drop("_prefix", "_files"), width), width
-    return state.select(*keys, F.col("_prefix").alias("cut_label"))
+
+def suffix_cut(files: DataFrame, sums: DataFrame, floors: DataFrame,
+               keys: Sequence[str] = DIR_KEYS) -> DataFrame:
+    """Per key ``cut_label``, the greatest label whose suffix sum exceeds ``min_bytes``.
+
+    ``sums`` is ``per_second(files)``, ``floors`` has one row per key with ``min_bytes``. Keys whose
+    total does not exceed the floor are absent.
+    """
+    keys = list(keys)
+    hours = sums.withColumn("part", F.substring("second", 1, COARSE))
+    start = floors.select(*keys, "min_bytes", F.lit(0).cast("bigint").alias("after"))
+    coarse = _crossing(hours.groupBy(*keys, "part").agg(F.sum("bytes").alias("bytes")), start, "part", keys)
+    inside = hours.join(coarse.select(*keys, "part"), [*keys, "part"], "left_semi")
+    table, size = measured(_crossing(inside, coarse.drop("part"), "second", keys))
+    second = files.select(*keys, "label", F.col("size_bytes").alias("bytes"), F.substring("label", 1, FINE).alias("second"))
+    left = join_measured(second, (table.select(*keys, "second"), size), [*keys, "second"], "left_semi")
+    cut = _crossing(left.groupBy(*keys, "label").agg(F.sum("bytes").alias("bytes")), table.drop("second"), "label", keys)
+    return cut.select(*keys, F.col("label").alias("cut_label"))
 
 
 def manifest(files: DataFrame, limits: DataFrame, keys: Sequence[str] = DIR_KEYS,
-             min_bytes: int | Column = MIN_BYTES) -> DataFrame:
-    """W1: every file with ``to_delete``.
+             min_bytes: int | Column = MIN_BYTES, sums: DataFrame | None = None) -> DataFrame:
+    """W1: every file with ``to_delete``; ``sums`` may give the written ``per_second(files)``.
 
     ``limits`` has one row per directory with ``limit_label``, the first label too
     young to go (and, when ``min_bytes`` is a Column, whatever that column reads).
@@ -87,8 +78,9 @@ def manifest(files: DataFrame, limits: DataFrame, keys: Sequence[str] = DIR_KEYS
     keys = list(keys)
     floor = min_bytes if isinstance(min_bytes, Column) else F.lit(min_bytes)
     floors = limits.select(*keys, "limit_label", floor.cast("bigint").alias("min_bytes"))
-    newest = files.groupBy(*keys).agg(F.max("label").alias("newest_label"))
-    cuts = suffix_cut(files, floors, keys)
+    sums = settled(per_second(files, keys)) if sums is None else sums
+    newest = sums.groupBy(*keys).agg(F.max("newest_label").alias("newest_label"))
+    cuts = suffix_cut(files, sums, floors, keys)
     per_key = floors.join(newest, keys, "left").join(cuts, keys, "left")
     deletable = (
         (F.col("label") <= F.col("cut_label"))

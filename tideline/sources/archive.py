@@ -189,19 +189,22 @@ def delete_files(flagged: DataFrame, path: str = "path") -> None:
     computed again once files are gone. Deleting a file twice is harmless, so a
     retried task is too.
     """
-    def remove(rows):
+    def remove(batches):
         from pyarrow import fs
 
         systems = {}
-        for row in rows:
-            scheme = row[0].split(":", 1)[0]
-            local = row[0].removeprefix("file://").removeprefix("file:")
-            if scheme == "file" or row[0].startswith("/"):
-                system, target = systems.setdefault("", fs.LocalFileSystem()), local
-            else:
-                system, target = fs.FileSystem.from_uri(row[0])
-                system = systems.setdefault(scheme, system)
-            if system.get_file_info(target).type != fs.FileType.NotFound:
-                system.delete_file(target)
-
-    settled(flagged.where("to_delete").select(path)).foreachPartition(remove)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                scheme = name.split(":", 1)[0]
+                local = name.removeprefix("file://").removeprefix("file:")
+                if scheme == "file" or name.startswith("/"):
+                    system, target = systems.setdefault("", fs.LocalFileSystem()), local
+                else:
+                    system, target = fs.FileSystem.from_uri(name)
+                    system = systems.setdefault(scheme, system)
+                if system.get_file_info(target).type != fs.FileType.NotFound:
+                    system.delete_file(target)
+            yield batch.slice(0, 0)
+
+    doomed = settled(flagged.where("to_delete").select(F.col(path).alias("path")))
+    doomed.mapInArrow(remove, "path string").write.format("noop").mode("overwrite").save()
