@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from checks import tables as t
 from tideline.functions import labels, names, predicates, telemetry, text
-from tideline.operators import errors, failover, gap, inventory, retention, rollup, watermark
+from tideline.operators import errors, failover, gap, inventory, order, retention, rollup, watermark
 from tideline.operators.inventory import DIR_KEYS, KEYS
 from tideline.operators.joins import settled
 from tideline.plans import catalogue, compact, problems, retain, route, runlog, ship
@@ -76,11 +76,7 @@ def src3_archive_listing(spark, sf):
 @query
 def src4_log_lines(spark, sf):
     lines = files.log_lines(spark, t.document_spool(spark, sf))
-    in_file = Window.partitionBy(*DIR_KEYS, "file_name").orderBy("block", "pos")
-    return lines.select(
-        *DIR_KEYS, "file_name",
-        (F.row_number().over(in_file) - 1).cast("bigint").alias("line_no"), "line",
-    )
+    return files.numbered_lines(lines).select(*DIR_KEYS, "file_name", "line_no", "line")
 
 
 def _written_stream(stream: DataFrame, spark: SparkSession) -> DataFrame:
@@ -474,7 +470,7 @@ def agg10_runlog(spark, sf):
     runs = t.table(spark, sf, "events").select(
         F.col("event_type").alias("phase"),
         F.floor(F.col("value") * 100 + F.lit(0.5)).cast("bigint").alias("duration_ms"))
-    return runlog.phase_timers(runs).drop("p50_ms", "p95_ms")
+    return runlog.phase_timers(runs)
 
 
 # --- windows, sorts, sets --------------------------------------------------------------
@@ -520,6 +516,14 @@ def srt2_archive_order(spark, sf):
                .orderBy("taistamp"), "dir_date")
 
 
+@query
+def srt2_order_certificate(spark, sf):
+    """The archive in order of label, and all lines in order of file, as one row each."""
+    shipped = order.certificate(order.ranged(t.archive(spark, sf), "taistamp"), "taistamp")
+    lines = order.certificate(order.ranged(t.documents(spark, sf), "file_name"), "file_name")
+    return shipped.withColumn("what", F.lit("archive")).unionByName(lines.withColumn("what", F.lit("documents")))
+
+
 @query
 def srt3_last_per_group(spark, sf):
     parsed = names.with_archive_fields(t.archive_listing(spark, sf)).where("name_ok")

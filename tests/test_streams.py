@@ -140,6 +140,21 @@ def test_rollup_stream_equals_the_buffer(spark, tmp_path, cap):
     assert spark.read.parquet(f"{state}/quarantine").count() == 2
 
 
+def test_a_clock_that_runs_ahead_closes_no_window(spark, tmp_path):
+    source, state, out = (str(tmp_path / d) for d in ("in", "state", "out"))
+    os.makedirs(source)
+    for part, stamps in enumerate(([0, 1, 90 * 86_400_000], [30_000, 90_000])):
+        with open(f"{source}/{part}.txt", "w") as f:
+            f.writelines(f"{BASE + ms} svc main x 1\n" for ms in stamps)
+        live_rollup.start_rollup(
+            streams.telemetry(spark, source), state, out, once=True, delay_seconds=0,
+            clock=lambda _: "2024-01-01 00:02:00").awaitTermination()
+    live_rollup.finish_rollup(spark, state, out)
+    got = {(r.window_ms - BASE, r.total) for r in live_rollup.emitted(spark, out).where("key = 'x'").collect()}
+    assert got == {(0, 2), (30_000, 1), (90_000, 1)}
+    assert [r.fault for r in spark.read.parquet(f"{state}/quarantine").collect()] == ["future_time"]
+
+
 def test_plain_windowed_sums(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     os.makedirs(source)

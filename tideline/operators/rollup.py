@@ -49,7 +49,7 @@ def newest_records(records: DataFrame, by: Sequence[str], cap: int = MAX_RECORDS
     )
 
 
-def zero_rows(groups: DataFrame, by: Sequence[str], cap: int | None = MAX_RECORDS,
+def zero_rows(groups: DataFrame, by: Sequence[str], cap: int | None = None,
               default_keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
     """AGG6: a zero for every default key of every group.
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.functions import names, predicates
 from tideline.operators import inventory
+from tideline.operators.joins import join_keyed
 from tideline.session import hidden_folders
 from tideline.sources import walk
 
@@ -104,3 +105,19 @@ def log_lines(spark: SparkSession, root: str | list[str],
         F.col("value").alias("line"),
     )
     return names.with_service_identity(tagged).where("dir_ok").drop("dir_name", "dir_ok")
+
+
+def numbered_lines(lines: DataFrame) -> DataFrame:
+    """``line_no`` from 0 within each file of :func:`log_lines`, however large the file is.
+
+    Lines are counted per split first; a line's number is the sum of the splits before its own,
+    over one row per split, and its rank within its split.
+    """
+    file = [*inventory.DIR_KEYS, "file_name"]
+    counts = lines.groupBy(*file, "block").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(*file).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(*file, "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy(*file, "block").orderBy("pos")
+    ranked = lines.withColumn("_rank", F.row_number().over(inside))
+    return join_keyed(ranked, bases, [*file, "block"], "inner").withColumn(
+        "line_no", (F.col("base") + F.col("_rank") - 1).cast("bigint")).drop("base", "_rank")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,11 +11,15 @@ from pyspark.sql.streaming import StreamingQuery
 from tideline.functions import telemetry
 from tideline.functions.telemetry import DEFAULT_KEYS
 from tideline.operators import rollup
+from tideline.operators.inventory import clock_ms
 from tideline.operators.joins import settled
 from tideline.operators.rollup import WINDOW_SECONDS
 from tideline.session import read_folders
+from tideline.streaming.shipping import batch_clock, utc_now
 
 HOUR_MS = 3_600_000
+# A stamp may be this much later than the batch that brings it.
+AHEAD_SECONDS = 300
 RECORD_SCHEMA = (
     "ts timestamp, seq bigint, service string, category string, key string, amount int, "
     "hour bigint, batch_id bigint"
@@ -70,13 +74,16 @@ def _emit(spark: SparkSession, state_root: str, out: str, name: str, lo: int, hi
 def start_rollup(reports: DataFrame, state_root: str, out: str, once: bool = False,
                  delay_seconds: int = 30, cap: int | None = None,
                  seconds: int = WINDOW_SECONDS, round_seconds: int = 30,
-                 default_keys: Sequence[str] = DEFAULT_KEYS) -> StreamingQuery:
+                 default_keys: Sequence[str] = DEFAULT_KEYS, ahead_seconds: int = AHEAD_SECONDS,
+                 clock: Callable[[int], str] = utc_now) -> StreamingQuery:
     """SNK4: zero-filled rollup of closed windows, exactly once; all records unless a cap is given.
 
     Micro-batches stage their records by hour; a window is rolled up by the batch
     operator when the newest record is ``delay_seconds`` past its end. Records of
     windows already closed go to ``state_root/late``, unreadable ones to
-    ``state_root/quarantine``. Every folder belongs to one micro-batch, so replays
+    ``state_root/quarantine``, and so do those stamped more than ``ahead_seconds`` after the
+    batch's own time: one clock that runs ahead would close the windows of all others.
+    The batch is read once. Every folder belongs to one micro-batch, so replays
     overwrite what they wrote.
     """
     step = seconds * 1000
@@ -84,22 +91,26 @@ def start_rollup(reports: DataFrame, state_root: str, out: str, once: bool = Fal
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         before = _closed_before(session, state_root, batch_id)
-        parsed = telemetry.parse(batch)
-        good = telemetry.good_reports(parsed.where("ts IS NOT NULL")).drop("value")
+        limit = clock_ms(batch_clock(session, state_root, batch_id, clock)) + ahead_seconds * 1000
         ms = F.unix_millis("ts")
+        known = settled(telemetry.parse(batch).withColumn("seq", F.monotonically_increasing_id()))
+        fault = (
+            F.when(F.col("ts").isNull(), "no_time").when(~F.col("report_ok"), "unreadable")
+            .when(ms > limit, "future_time")
+        )
+        known = known.withColumn("fault", fault)
+        good = telemetry.good_reports(known.where("fault IS NULL").drop("fault")).drop("value")
         late = F.lit(False) if before is None else ms < before
         staged = good.withColumns(
-            {"seq": F.monotonically_increasing_id(),
-             "hour": F.floor(ms / F.lit(HOUR_MS)).cast("bigint"),
-             "batch_id": F.lit(batch_id)}
+            {"hour": F.floor(ms / F.lit(HOUR_MS)).cast("bigint"), "batch_id": F.lit(batch_id)}
         )
         (
             staged.where(~late).write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("hour", "batch_id").parquet(f"{state_root}/records")
         )
-        good.where(late).write.mode("overwrite").parquet(f"{state_root}/late/batch_id={batch_id}")
-        parsed.where("ts IS NULL OR NOT report_ok").select("ts", "value").write.mode(
+        good.drop("seq").where(late).write.mode("overwrite").parquet(f"{state_root}/late/batch_id={batch_id}")
+        known.where("fault IS NOT NULL").select("ts", "value", "fault").write.mode(
             "overwrite"
         ).parquet(f"{state_root}/quarantine/batch_id={batch_id}")
         bounds = good.where(~late).agg(F.min(ms), F.max(ms)).first()
@@ -129,7 +140,8 @@ def finish_rollup(spark: SparkSession, state_root: str, out: str, cap: int | Non
     """Roll up what is still open after the stream has ended for good."""
     step = seconds * 1000
     closed = spark.read.parquet(f"{state_root}/progress").agg(F.max("closed_ms")).first()[0]
-    newest = _records(spark, state_root).agg(F.max(F.unix_millis("ts"))).first()[0]
+    # Whole hours before the last closed window can't hold an open one.
+    newest = _records(spark, state_root, closed).agg(F.max(F.unix_millis("ts"))).first()[0]
     if newest is not None:
         _emit(spark, state_root, out, "final", closed, (newest // step + 1) * step, cap, seconds,
               default_keys)
