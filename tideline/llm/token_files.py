@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import tokens
-from tideline.llm.common import fanout, running_total
+from tideline.llm.common import fanout, running_total, settled
 from tideline.operators.joins import join_keyed
 
 BLOCK = 128
@@ -122,7 +122,7 @@ def encode_segment(shard: int, number: int, docs: list[int | None], ids: list[np
         np.array([len(x) for x in ids], "<u4").tobytes(), (start + first).astype("<u4").tobytes(), blocks])
 
 
-def segments(content: bytes) -> Iterator[tuple[tuple, memoryview]]:
+def segments(content: bytes | pa.Buffer) -> Iterator[tuple[tuple, memoryview]]:
     """Heads and bytes of a file's segments."""
     at, view = 0, memoryview(content)
     while at < len(content):
@@ -187,12 +187,13 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> None:
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(h[2], h[3], h[4], h[6]) for c in batch.column(0).to_pylist() for h, _ in segments(c)]
+            found = [(h[2], h[3], h[4], h[6]) for c in batch.column(0) for h, _ in segments(c.as_buffer())]
             for some in [found] if found else []:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x, pa.int64()) for x in zip(*some)], names=["shard", "number", "docs", "ids"])
 
-    listed = files(spark, path).mapInArrow(heads, "shard long, number long, docs long, ids long")
+    # Written, as ordering would read all files twice.
+    listed = settled(files(spark, path).mapInArrow(heads, "shard long, number long, docs long, ids long"))
     running_total(listed, ["shard", "number"], "ids", "start").write.parquet(f"{path}/index")
 
 
@@ -205,7 +206,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                for head, data in segments(content.as_buffer().to_pybytes()):
+                for head, data in segments(content.as_buffer()):
                     docs, sizes = segment_docs(head, data)
                     raw, ends = segment_ids(head, data).tobytes(), np.cumsum(sizes.astype(np.int64))
                     begins, n = ends - sizes, len(docs)
