@@ -8,7 +8,7 @@
    scan the inverted lists of the elements of theirs. The size from which scanning is cheaper
    is the boundary.
 3. Lists with the same members count once. Sets that meet are compared exactly, by rounds: with one
-   hub of each list first, then with four, sixteen, ... of what is left. What a round connects needs no
+   hub of each list first, then with eight, sixty-four, ... of what is left. What a round connects needs no
    more comparing, and a hub that met its whole list leaves it, so a large group of near copies
    needs few comparisons per member, and rounds go on until no list is left.
 """
@@ -31,7 +31,7 @@ from tideline.operators.joins import join_keyed
 #: Share of a set that the first filter wants to find elsewhere. Changes cost, not results.
 SLACK = 0.05
 #: Hubs of a list are this many times more in each round. Changes cost, not results.
-HUB_GROWTH = 4
+HUB_GROWTH = 8
 #: Bytes of hashes a task holds at a time.
 BUCKET_BYTES = 16 << 20
 
@@ -232,25 +232,22 @@ def meeting_keys(ordered: DataFrame, limit: int, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs ``a``, ``b`` those that link, by exact intersection."""
+    """Of pairs ``a``, ``b`` (and their labels ``la``, ``lb``) those that link, by exact intersection."""
     def check(batches):
         for batch in batches:
-            a, b, left, right = (c.to_pylist() for c in batch.columns)
             keep = []
-            for x, y in zip(left, right):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column(4), batch.column(5)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(x) + len(y) - len(np.union1d(x, y))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            if any(keep):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([v for v, k in zip(side, keep) if k], pa.int64()) for side in (a, b)], names=["a", "b"])
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
 
     met = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     some = join_keyed(sets, met, ["class"], "left_semi")
     one = some.select(F.col("class").alias("a"), F.col("hashes").alias("left"))
     two = some.select(F.col("class").alias("b"), F.col("hashes").alias("right"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "left", "right").mapInArrow(
-        check, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "la", "lb", "left", "right").mapInArrow(
+        check, "a long, b long, la long, lb long")
 
 
 def lists_once(keys: DataFrame, limit: int) -> DataFrame:
@@ -269,25 +266,31 @@ def class_links(sets: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
     fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
     on = ["key", "heavy"]
     links = tried = sets.sparkSession.createDataFrame([], "a long, b long")
-    turn, hubs_each = 0, 1
+    hubs_each = 1
     while not keys.isEmpty():
-        # Hubs of few labels in all, so that lists with the same members choose the same.
-        order = Window.partitionBy(*on).orderBy(F.xxhash64("label", F.lit(turn)), F.xxhash64("class", F.lit(turn)), "class")
+        # The same order in all lists, so that lists with many members in common choose the same hubs.
+        order = Window.partitionBy(*on).orderBy(F.xxhash64("label", F.lit(hubs_each)), F.xxhash64("class", F.lit(hubs_each)), "class")
         hubs = settled(keys.withColumn("place", F.row_number().over(order)).where(F.col("place") <= hubs_each).select(
             *on, F.col("class").alias("hub"), F.col("n").alias("m"), F.col("label").alias("hub_label")))
-        pairs = (keys.join(hubs, on).where("label <> hub_label").where(fits)
-                 .select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct())
-        pairs = settled(pairs.join(tried, ["a", "b"], "left_anti"))
+        first = F.col("class") < F.col("hub")
+        pairs = (keys.join(hubs, on).where("label <> hub_label").where(fits).select(
+            F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b"),
+            F.when(first, F.col("label")).otherwise(F.col("hub_label")).alias("la"),
+            F.when(first, F.col("hub_label")).otherwise(F.col("label")).alias("lb")).distinct())
+        pairs = settled(pairs.join(tried, ["a", "b"], "left_anti") if hubs_each > 1 else pairs)
         found = settled(verified(pairs, sets, percent))
-        tried, links = tried.unionByName(pairs), links.unionByName(found)
-        # What is connected by now needs no more comparing, nor does a hub within its list.
-        groups = components(keys.select(F.col("class").alias("id")).distinct(), links).select(
-            F.col("id").alias("class"), F.col("component").alias("label"))
-        left = keys.drop("label").join(hubs.select(*on, F.col("hub").alias("class")), [*on, "class"], "left_anti")
-        left = settled(left.join(groups, "class"))
+        tried, links = tried.unionByName(pairs.select("a", "b")), links.unionByName(found.select("a", "b"))
+        # What has one label is connected and needs no more comparing, though not all that is connected
+        # has one label yet. A hub is done with its list.
+        moves = settled(found.select(F.greatest("la", "lb").alias("label"), F.least("la", "lb").alias("to"))
+                        .groupBy("label").agg(F.min("to").alias("to")))
+        further = moves.select(F.col("label").alias("to"), F.col("to").alias("last"))
+        moves = moves.join(further, "to", "left").select("label", F.coalesce("last", "to").alias("to"))
+        left = keys.join(hubs.select(*on, F.col("hub").alias("class")), [*on, "class"], "left_anti")
+        left = settled(join_keyed(left, moves, ["label"]).withColumn("label", F.coalesce("to", "label")).drop("to"))
         still = left.groupBy(*on).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-        keys = settled(left.join(still.select(*on), on))
-        turn, hubs_each = turn + 1, hubs_each * HUB_GROWTH
+        keys = settled(join_keyed(left, still.select(*on), on, "left_semi"))
+        hubs_each *= HUB_GROWTH
     return links
 
 
