@@ -90,11 +90,13 @@ def test_licences_within_longer_lines_and_wrapped_in_paragraphs_are_found(spark)
     rows = [(1, f"{long} {license.NOTICES['GPL-3.0']} {long}"),
             (2, f"{long} {license.NOTICES['BSD-3-Clause'].replace('permitted', 'permitted' + chr(10))} {long}\nmore"),
             (3, f"{long} {license.NOTICES['MIT']} {long} {license.NOTICES['LGPL-3.0']} {long}"),
-            (4, long), (5, f"{long} licensed under the terms of {long}")]
+            (4, long), (5, f"{long} licensed under the terms of {long}"),
+            (6, f"{long} is {license.NOTICES['GPL-2.0'][13:]} {license.NOTICES['GPL-3.0']} {long}")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     notices = spark.createDataFrame(list(license.NOTICES.items()), "license string, notice string")
     got = sorted((r.doc_id, r.license, r.dice, r.n_units) for r in license.scan(df, notices).collect())
-    assert got == [(1, "GPL-3.0", 1.0, 1), (2, "BSD-3-Clause", 1.0, 1), (3, "LGPL-3.0", 1.0, 1), (3, "MIT", 1.0, 1)]
+    assert got == [(1, "GPL-3.0", 1.0, 1), (2, "BSD-3-Clause", 1.0, 1), (3, "LGPL-3.0", 1.0, 1), (3, "MIT", 1.0, 1),
+                   (6, "GPL-2.0", 2 * 9 / 22, 1), (6, "GPL-3.0", 1.0, 1)]
 
 
 def brute_sets(text):

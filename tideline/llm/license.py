@@ -5,9 +5,13 @@ All in DataFrame functions.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm.common import settled
+
 #: Short public licence notices by SPDX name.
 NOTICES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -55,19 +59,28 @@ def n_bigrams(unit: Column) -> Column:
     return F.greatest(F.length(unit) - F.length(F.translate(unit, " ", "")), F.lit(1))
 
 
-def windows(docs: DataFrame, known: DataFrame, least: float) -> DataFrame:
+def anchors(listed: list[tuple[str, list[str], int]], least: float) -> str:
+    """A pattern that every text matches which can hold a template: a bigram it can't do without.
+
+    A unit that reaches ``least`` has at least ``need`` of a template's bigrams, so it has one of any
+    others' number and one more; the longest are taken, which few other texts hold.
+    """
+    chosen = set()
+    for _, pairs, n in listed:
+        need = math.ceil(least / (2 - least) * n - 1e-9)
+        chosen.update(sorted(set(pairs), key=lambda b: (-len(b), b))[:max(len(set(pairs)) - need + 1, 1)])
+    # Words are ASCII letters and digits: nothing in them is part of a pattern's language.
+    return "(?i)" + "|".join(b.replace(" ", "[^a-z0-9]+") for b in sorted(chosen))
+
+
+def windows(docs: DataFrame, listed: list[tuple[str, list[str], int]], least: float) -> DataFrame:
     """Runs of a notice's own length, at any word, that reach ``least``: ``doc_id``, ``unit``, ``license``, ``dice``.
 
     A text can only hold a notice if enough of its bigrams occur, which is asked first. A run loses
-    nothing if it is moved on to its first bigram of the notice or to the end of the text, so only
-    those places are tried. Of overlapping runs the one of greatest Dice stays, of equals the first
-    license by name, of its runs the first.
+    nothing if it is moved until it begins or ends with a bigram of the notice, so only those places
+    are tried, both, as one of them may stand clear of a neighbour. Runs are taken by greatest Dice, of equals the first license by name, of
+    its runs the first; one that overlaps a run taken before it is not.
     """
-    # A short list, held as one literal.
-    listed = [(r["license"], r["t"], r["tn"]) for r in known.collect()]
-    if not listed:
-        return docs.sparkSession.createDataFrame([], docs.select("doc_id").schema).select(
-            "doc_id", F.lit("").alias("unit"), F.lit("").alias("license"), F.lit(0.0).alias("dice"))
     text = lambda value: F.lit(value)
     every = F.array(*[F.struct(text(name).alias("license"), F.array(*map(text, t)).alias("t"), F.lit(tn).alias("tn"))
                       for name, t, tn in listed])
@@ -91,20 +104,26 @@ def windows(docs: DataFrame, known: DataFrame, least: float) -> DataFrame:
         F.filter("p", lambda q: F.array_contains(x["t"], q["b"])).alias("hits")))).drop("able", "p")
 
     def runs(x):
-        def run(a, k):
-            low = F.least(a["at"], x["last"])
+        def run(low, k):
             near = F.filter(F.slice(x["hits"], F.greatest(k + 2 - x["tn"], F.lit(1)), 2 * x["tn"]),
                             lambda q: (q["at"] >= low) & (q["at"] < low + x["tn"]))
             common = F.size(F.array_distinct(F.transform(near, lambda q: q["b"])))
             return F.struct((2.0 * common / (x["tn"] + x["tn"])).alias("dice"), x["license"].alias("license"),
                             low.alias("low"), (low + x["tn"] - 1).alias("high"))
 
-        return F.when(x["last"] >= 0, F.filter(F.transform(x["hits"], run), lambda r: r["dice"] >= least)).otherwise(F.array())
+        def both(a, k):
+            return F.array(run(F.least(a["at"], x["last"]), k), run(F.greatest(a["at"] - x["tn"] + 1, F.lit(0)), k))
+
+        every_run = F.array_distinct(F.flatten(F.transform(x["hits"], both)))
+        return F.when(x["last"] >= 0, F.filter(every_run, lambda r: r["dice"] >= least)).otherwise(F.array())
 
     found = held(placed, "runs", F.flatten(F.transform("tried", runs))).where(F.size("runs") > 0)
-    better = lambda r, o: (o["low"] <= r["high"] + 1) & (r["low"] <= o["high"] + 1) & (
-        F.struct(-o["dice"], o["license"], o["low"]) < F.struct(-r["dice"], r["license"], r["low"]))
-    best = F.filter("runs", lambda r: ~F.exists("runs", lambda o: better(r, o)))
+    ordered = F.array_sort(F.transform("runs", lambda r: F.struct(
+        (-r["dice"]).alias("minus"), r["license"].alias("license"), r["low"].alias("low"), r["high"].alias("high"),
+        r["dice"].alias("dice"))))
+    apart = lambda r, o: (o["low"] > r["high"] + 1) | (r["low"] > o["high"] + 1)
+    best = F.aggregate(ordered, F.filter(ordered, lambda r: F.lit(False)), lambda taken, r: F.when(
+        F.forall(taken, lambda o: apart(r, o)), F.concat(taken, F.array(r))).otherwise(taken))
     return found.select("doc_id", "w", F.explode(best).alias("r")).select(
         "doc_id", F.concat_ws(" ", F.slice("w", F.col("r.low") + 1, F.col("r.high") - F.col("r.low") + 2)).alias("unit"),
         "r.license", "r.dice")
@@ -127,6 +146,13 @@ def scan(docs: DataFrame, templates: DataFrame, least: float = 0.8) -> DataFrame
     notice = F.trim(F.translate(normal(F.col("notice")), "\n", " "))
     known = templates.where("notice is not null").select("license", notice.alias("unit")).where("unit <> ''")
     known = known.select("license", bigrams(F.col("unit")).alias("t"), n_bigrams(F.col("unit")).alias("tn"))
+    # A short list, held in the plan.
+    listed = [(r["license"], r["t"], r["tn"]) for r in known.collect()]
+    if not listed:
+        return docs.sparkSession.createDataFrame([], docs.select("doc_id").schema).select(
+            "doc_id", F.lit("").alias("license"), F.lit(0.0).alias("dice"), F.lit(0).cast("long").alias("n_units"))
+    # Few texts hold any of these words next to each other; the others are read once and no more.
+    docs = settled(docs.select("doc_id", "text").where(F.col("text").rlike(anchors(listed, least))))
     low = F.ceil(F.lit(least) / (2 - least) * F.col("tn") - 1e-9).cast("int")
     high = F.floor((2 - F.lit(least)) / least * F.col("tn") + 1e-9).cast("int")
     # A row per template and size that it can match: as many as the templates have words.
@@ -139,7 +165,7 @@ def scan(docs: DataFrame, templates: DataFrame, least: float = 0.8) -> DataFrame
     best = hits.where(F.col("dice") >= least).groupBy("doc_id", "unit").agg(
         F.min(F.struct((-F.col("dice")).alias("minus"), "license")).alias("best"))
     whole = best.select("doc_id", "unit", "best.license", (-F.col("best.minus")).alias("dice"), F.lit(1).alias("_whole"))
-    inner = windows(docs, known, least).select("doc_id", "unit", "license", "dice", F.lit(0).alias("_whole")).distinct()
+    inner = windows(docs, listed, least).select("doc_id", "unit", "license", "dice", F.lit(0).alias("_whole")).distinct()
     # A license that a line, paragraph or text shows is told by those alone.
     one = lambda i: F.col("_whole") == i
     return whole.unionByName(inner).groupBy("doc_id", "license").agg(
