@@ -53,8 +53,10 @@ def class_id(hashes: np.ndarray) -> int:
 def _batches(source: Iterator[pa.RecordBatch], column: str, size: int):
     for whole in source:
         for batch in slices(whole, column, 1_500_000):
-            texts = batch.column(batch.schema.get_field_index(column)).to_pylist()
-            yield batch, shingle_sets(texts, size)
+            at = batch.schema.get_field_index(column)
+            # Hashing takes some sixty bytes per character at a time.
+            yield batch, [s for part in slices(batch, column, 300_000)
+                          for s in shingle_sets(part.column(at).to_pylist(), size)]
 
 
 def digests(docs: DataFrame, size: int) -> DataFrame:
@@ -190,11 +192,12 @@ def prefixes(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
 
     shared = (sets.mapInArrow(emit, DEALT)
               .groupBy("bucket").applyInArrow(frequencies, "class long, n long, hash long, sets long"))
-    # One set's elements at most: no more than its document.
-    whole = shared.groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct("sets", "hash"))).alias("all"))
-    keep = F.size("all") + 2 - least_overlap_column(F.col("n"), percent)
-    return whole.where(keep > 0).select(
-        "class", "n", F.transform(F.slice("all", 1, keep.cast("int")), lambda e: e["hash"]).alias("prefix"))
+    # One set's elements at most: no more than its document has.
+    mine = Window.partitionBy("class")
+    ranked = shared.withColumns({"rank": F.row_number().over(mine.orderBy("sets", "hash")), "m": F.count("*").over(mine)})
+    first = ranked.where(F.col("rank") <= F.col("m") + 2 - least_overlap_column(F.col("n"), percent))
+    return first.groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct("rank", "hash"))).alias("all")).select(
+        "class", "n", F.transform("all", lambda e: e["hash"]).alias("prefix"))
 
 
 def boundary(ordered: DataFrame, percent: int) -> int:
