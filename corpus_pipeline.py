@@ -1,12 +1,12 @@
 """From documents to packed training sequences, in five stages.
 
 Each stage takes what the one before it kept, as Parquet, and judges it by itself. All but the
-last return the columns of documents.
+last return the columns of documents, whatever other columns there are and whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import language, mixing, ngram_join, packing, tokens, toxicity
@@ -19,45 +19,61 @@ LANGUAGE_LEAST = 0.5
 TOXIC = 0.7
 
 
+def whole(docs: DataFrame) -> Column:
+    """A row as one value: what a stage adds beside it can have any name, also one of a column."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("doc")
+
+
 def numbered(docs: DataFrame) -> DataFrame:
-    """The rows, written with a number ``_row`` each: ids may be null or occur more than once."""
-    return settled(docs.withColumn("_row", F.monotonically_increasing_id()))
+    """The rows as ``doc``, written with a number ``row`` each: ids may be null or occur more than once."""
+    return settled(docs.select(whole(docs), F.monotonically_increasing_id().alias("row")))
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in one of the labelled languages; without letters or in doubt they go."""
-    scored = language.identify(docs, language.fit(docs))
+    """Keep documents in one of the labelled languages; without letters or in doubt they go.
+
+    Null, empty and letterless texts go. Repeated rows stay or go together; an empty table stays empty.
+    """
+    scored = language.identify(docs.select(whole(docs), "text"), language.fit(docs))
     good = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LANGUAGE_LEAST)
-    return scored.where(good).select(docs.columns)
+    return scored.where(good).select("doc.*")
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents scored under the limit; all labelled rows among them teach."""
+    """Keep documents scored under the limit; all labelled rows among them teach.
+
+    Null and empty texts are judged by the bias. Repeated rows stay or go together; an empty table
+    stays empty.
+    """
     model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("score") < TOXIC).select(docs.columns)
+    return toxicity.score(docs.select(whole(docs), "text"), model).where(F.col("score") < TOXIC).select("doc.*")
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each group of near copies: of least id, null last. Rows without words stay."""
     rows = numbered(docs)
-    groups = ngram_join.join(rows.select(F.col("_row").alias("doc_id"), "text")).select(
-        F.col("doc_id").alias("_row"), "component_id")
-    rank = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row")
-    ranked = rows.select("_row", rank.alias("rank")).join(groups, "_row")
-    first = settled(ranked.groupBy("component_id").agg(F.min("rank").alias("rank")).select("rank._row"))
-    return rows.join(first, "_row", "left_semi").select(docs.columns)
+    groups = ngram_join.join(rows.select(F.col("row").alias("doc_id"), "doc.text")).select(
+        F.col("doc_id").alias("row"), "component_id")
+    rank = F.struct(F.col("doc.doc_id").isNull().alias("none"), "doc.doc_id", F.xxhash64("doc.text").alias("text"), "row")
+    ranked = rows.select("row", rank.alias("rank")).join(groups, "row")
+    first = settled(ranked.groupBy("component_id").agg(F.min("rank").alias("rank")).select("rank.row"))
+    return rows.join(first, "row", "left_semi").select("doc.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows in as many copies as the mix takes of each: 0, 1 or 2."""
+    """Rows in as many copies as the mix takes of each: 0, 1 or 2. Rows without words have none."""
     rows = numbered(docs)
-    copies = settled(mixing.mix(rows, keep=["_row"]).where("copies > 0").select("_row", "copies"))
-    return rows.join(copies, "_row").select(
-        *docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy")).drop("_copy")
+    sized = rows.select("row", "doc.doc_id", "doc.text", "doc.source")
+    copies = settled(mixing.mix(sized, keep=["row"]).where("copies > 0").select("row", "copies"))
+    return rows.join(copies, "row").select(
+        "doc", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select("doc.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens with their place in a sequence; each copy of a document is cut for itself."""
+    """Pieces of at most 2048 tokens with their place in a sequence; each copy of a document is cut for itself.
+
+    A null text is empty and gives the end id alone; other columns than id and text are left out.
+    """
     cut = tokens.pieces(docs, VOCABULARY, end_id=1, longest=2048)
     return packing.pack(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), ["doc_id", "start"])
 
