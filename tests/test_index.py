@@ -10,7 +10,7 @@ import pytest
 from tests.test_files import AS_OF, HOUR, NOW, lines_by_dir, put, touch
 from tideline.operators.inventory import DIR_KEYS
 from tideline.plans import problems, rounds, runlog
-from tideline.session import matching_paths
+from tideline.session import ensure_checkpoint_dir, matching_paths
 from tideline.sources import archive, files, index, walk
 from tideline.streaming import shipping
 
@@ -120,8 +120,10 @@ def test_rounds_remove_what_retention_names_after_a_shipment_and_after_none(spar
     put(root, "big@main@h", NOW - 2 * HOUR, b"y" * 100 + b"\n")
     put(root, "big@main@h", NOW - HOUR, b"y" * 5000 + b"\n")
     touch(root, "bad@name", "x")
+    scratch = set(os.listdir(ensure_checkpoint_dir(spark)))
     # Shipped: files before the last shipped one go, as far as 250 bytes of the directory stay.
     ship(spark, tmp_path, AS_OF, delete=True, min_bytes=250)
+    assert set(os.listdir(ensure_checkpoint_dir(spark))) == scratch  # a round leaves no table behind
     state = str(tmp_path / "state")
     removed = lambda n: spark.read.parquet(f"{state}/removed/batch_id={n}")
     assert removed(0).count() == 4  # 505 bytes in s: the file of 303 bytes left goes, of 202 stays

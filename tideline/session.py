@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scope = threading.local()
+
 
 def use_utc(spark: SparkSession) -> SparkSession:
     """Labels, archive dates and directory dates are all UTC days."""
@@ -35,7 +39,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh, not yet existing path under the shared folder."""
-    return f"{ensure_checkpoint_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+    if getattr(_scope, "paths", None) is not None:
+        _scope.paths.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Scratch paths this thread takes within are removed at the end: nothing lazy may outlive it."""
+    outer, _scope.paths = getattr(_scope, "paths", None), []
+    try:
+        yield
+    finally:
+        for path in _scope.paths:
+            delete_folder(spark, path)
+        _scope.paths = outer
 
 
 def matching_paths(spark: SparkSession, pattern: str) -> list[str]:

@@ -14,7 +14,7 @@ from tideline.operators import rollup
 from tideline.operators.inventory import clock_ms
 from tideline.operators.joins import settled
 from tideline.operators.rollup import WINDOW_SECONDS
-from tideline.session import read_folders
+from tideline.session import read_folders, scratch_scope
 from tideline.streaming.shipping import batch_clock, utc_now
 
 HOUR_MS = 3_600_000
@@ -89,6 +89,10 @@ def start_rollup(reports: DataFrame, state_root: str, out: str, once: bool = Fal
     step = seconds * 1000
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
+        with scratch_scope(batch.sparkSession):
+            one_batch(batch, batch_id)
+
+    def one_batch(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         before = _closed_before(session, state_root, batch_id)
         limit = clock_ms(batch_clock(session, state_root, batch_id, clock)) + ahead_seconds * 1000

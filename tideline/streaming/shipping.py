@@ -13,7 +13,7 @@ from tideline.functions import predicates
 from tideline.operators import retention
 from tideline.operators.inventory import DIR_KEYS, MAX_LOOK_BACK_DAYS
 from tideline.plans import compact, rounds, runlog, ship
-from tideline.session import matching_paths, read_folders
+from tideline.session import matching_paths, read_folders, scratch_scope
 from tideline.sources import archive, index
 
 def utc_now(batch_id: int) -> str:
@@ -68,7 +68,10 @@ def start_shipping(spark: SparkSession, spool: str, archive_root: str, state_roo
     ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
+        with scratch_scope(batch.sparkSession):
+            one_round(batch.sparkSession, batch_id)
+
+    def one_round(session: SparkSession, batch_id: int) -> None:
         as_of = batch_clock(session, state_root, batch_id, clock)
         round_id, log, runs = f"{name}-{batch_id}", runlog.Phases(), f"{state_root}/runs/batch_id={batch_id}"
         with log.phase("round"):
