@@ -62,7 +62,7 @@ def test_near_equal_vectors_are_grouped(spark):
         low, high = sorted((root[a], root[b]))
         root = [low if r == high else r for r in root]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in
-           embedding_dedup.dedup(df, cell_size=60, probes=12, block=64).collect()}
+           embedding_dedup.dedup(df, cell_size=60, block=64).collect()}
     assert got == {i: (int(c[i].sum()) - 1, root[i], root[i] == i) for i in range(700)} | {
         i: (0, i, True) for i, _ in ODD}
     assert embedding_dedup.dedup(df.limit(0)).collect() == []
@@ -92,7 +92,7 @@ def test_plans_meet_every_demand(histogram):
 def test_packing_places_each_piece_once(spark):
     rng = random.Random(6)
     rows = [(i, 0, rng.choice([3, 17, 64, 64, 64, 200, 256])) for i in range(2000)]
-    df = spark.createDataFrame(rows, "doc_id long, start long, length long").withColumn("offset", F.lit("x")).drop("offset")
+    df = spark.createDataFrame(rows, "doc_id long, start long, length long")
     got = packing.pack(df, ["doc_id", "start"], capacity=256, grain=8).collect()
     assert Counter((r.doc_id, r.length) for r in got) == Counter((i, n) for i, _, n in rows)
     used = defaultdict(list)
@@ -112,6 +112,41 @@ def test_packing_places_each_piece_once(spark):
         packing.pack(df, ["doc_id", "start"], capacity=128)
 
 
+def test_packing_goes_on_where_names_clash(spark):
+    names = ["sequence_id", "Offset", "slot", "place", "row", "width", "one", "rank", "key0", "filled",
+             "_range", "_sum", "_base", "_width", "_rank", "a.b"]
+    rows = [(i % 5, i, 1 + i * 7 % 64) for i in range(60)] + [(None, 1, 9), (None, 1, 9)]
+    plain = spark.createDataFrame(rows, "doc_id long, start long, length long")
+    df = plain.select("*", *[F.concat(F.lit(n), "start").alias(n) for n in names])
+    got = packing.pack(df, ["doc_id", "start"], capacity=64, grain=8)
+    kept = [n for n in names if n not in ("sequence_id", "Offset")]
+    assert got.columns == ["doc_id", "start", "length", *kept, "sequence_id", "offset"]
+    want = packing.pack(plain, ["doc_id", "start"], capacity=64, grain=8)
+    place = lambda r: (r["doc_id"] is None, r["doc_id"], r["start"], r["length"], r["sequence_id"], r["offset"])
+    found = got.collect()
+    assert sorted(map(str, map(place, found))) == sorted(map(str, map(place, want.collect())))
+    assert all(r[n] == f"{n}{r['start']}" for r in found for n in kept)
+
+
+def test_an_id_on_several_vectors_joins_none_of_them(spark):
+    rows = [(1, [1.0, 0.0], "x"), (1, [0.0, 1.0], "y"), (2, [1.0, 0.01], "z"), (3, [0.01, 1.0], "z"),
+            (3, [0.01, 1.0], "z"), (0, [-1.0, 0.0], "z"), (None, [1.0, 0.0], "z"), (2, None, "z")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, id string").withColumns(
+        {n: F.lit(9) for n in ("least", "copies", "component", "component_id", "n_links", "kept", "cell", "x")})
+    got = sorted(map(tuple, embedding_dedup.dedup(df).collect()), key=str)
+    assert got == sorted([(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (3, 2, 1, False),
+                          (0, 0, 0, True), (None, 0, None, True), (2, 0, 2, True)], key=str)
+
+
+def test_scaled_copies_tie_with_equal_ones(spark):
+    v = [0.1, 0.7, 0.3, 0.9, 0.2, 0.6]
+    rows = [(50, v), (7, [4 * c for c in v]), (60, v), (3, [c / 2 for c in v]), (9, [1.0] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns(
+        {n: F.lit("x") for n in ("rep", "place", "salt", "shard", "score", "rank", "query")})
+    got = ann.search(df).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [3, 7, 60, 9] and len({r.score for r in got[:3]}) == 1
+
+
 def test_pieces_hold_all_ids(spark):
     texts = [None, "", "word " * 3000, "Ünïcode ßtraße 漢字 🙂 <|endoftext|> it's 42", "a\tb\r\nc"]
     df = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "doc_id long, text string, ids int")

@@ -166,8 +166,20 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, shard_size: int = 2_
 
     found = met.select("asked", "ids", "vectors", "graph", "start").mapInArrow(find, "query long, rep long, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
-    # A query's own vector is found without the graph: its copies come first.
-    own = queries.select(F.col("rep").alias("query"), "rep", F.lit(1.0).alias("score")).distinct()
+
+    def with_itself(batches):
+        for batch in batches:
+            u = unit(matrix(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(0), pa.array((u * u).sum(1))],
+                                             names=["query", "rep", "score"])
+
+    # A query's own vector is found without the graph, for its copies. Its cosine is computed as all others
+    # are, so that a scaled copy ties with an equal one. A batch holds vectors of one length.
+    own = None
+    for dim in sorted(sizes):
+        mine = asked.where(F.col("dim") == dim).select("rep", "embedding").mapInArrow(
+            with_itself, "query long, rep long, score double")
+        own = mine if own is None else own.unionByName(mine)
     kept = (found.where("query <> rep").withColumn("r", F.row_number().over(best)).where(F.col("r") <= 2 * (k + 1))
             .select("query", "rep", "score").unionByName(own))
     spread = kept.join(members.select("rep", "vec_id"), "rep")

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.common import components, settled
-from tideline.llm.vectors import matrix, unit, usable
+from tideline.llm.vectors import matrix, unit, unusable, usable
 
 
 def fit_cells(sample: DataFrame, cells: int, rounds: int) -> np.ndarray:
     """Unit centres of a spherical k-means over ``sample`` (``id``, ``embedding``), summed in tasks."""
-    start = sample.orderBy(F.xxhash64("id", F.lit("centre")), "id").limit(cells)
+    start = sample.orderBy(F.xxhash64("embedding", F.lit("centre")), "id").limit(cells)
     centres = unit(np.array([r["embedding"] for r in start.select("embedding").collect()], float))
     for _ in range(rounds):
         def add(batches, centres=centres):
@@ -99,7 +99,7 @@ def visits(x: np.ndarray, centres: np.ndarray, least: float) -> tuple[np.ndarray
 
 
 def dedup(vectors: DataFrame, least: float = 0.9, cell_size: int = 1_000, most_cells: int = 4_096,
-          probes: int = 12, rounds: int = 6, sample: int = 100_000, block: int = 1_024) -> DataFrame:
+          rounds: int = 6, sample: int = 100_000, block: int = 1_024) -> DataFrame:
     """``vec_id``, ``n_links``, ``component_id``, ``kept`` for every row.
 
     Takes ``vec_id`` and ``embedding``; other columns are left out. Vectors link when their cosine, in
@@ -107,19 +107,23 @@ def dedup(vectors: DataFrame, least: float = 0.9, cell_size: int = 1_000, most_c
     often as they are. The centres are fitted on at most about ``sample`` vectors; all vectors get a
     home cell and are guests in all others whose homes may be near enough (:func:`visits`); in each
     cell homes are compared with all, block by block, so that a cell of any size is many small tasks.
-    All pairs are found, whatever the cells; ``probes`` is accepted but limits nothing. Null vectors, zero ones and those with
+    All pairs are found, whatever the cells. Null vectors, zero ones and those with
     null or non-finite components link with nothing; vectors link only with those of their own
-    length. Rows without an id are kept, alone. Empty tables give no row.
+    length. Rows without an id are kept, alone. An id on several rows stands for each of them by
+    itself: every row has the links and component of its own vector, ``component_id`` is the least
+    id of a row in it, and all rows with that id in it are kept. Empty tables give no row.
     """
     spark = vectors.sparkSession
     rows = settled(usable(vectors))
-    distinct = settled(rows.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")))
+    # Ids may be on several vectors, so a distinct vector's number is its own; it is written once.
+    distinct = settled(rows.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+                       .withColumn("id", F.monotonically_increasing_id()))
     counts, edges = [], []
     for dim, n in [(r["d"], r["n"]) for r in distinct.groupBy(F.size("embedding").alias("d")).agg(
             F.count("*").alias("n")).collect()]:
         mine = distinct.where(F.size("embedding") == dim)
         grain = 1 << 20
-        fitted = settled(mine.where(F.pmod(F.xxhash64("id"), F.lit(grain)) < grain * min(1.0, sample / n)))
+        fitted = settled(mine.where(F.pmod(F.xxhash64("embedding"), F.lit(grain)) < grain * min(1.0, sample / n)))
         centres = fit_cells(fitted, int(min(most_cells, max(1, n // cell_size))), rounds)
 
         def assign(batches, centres=centres):
@@ -159,12 +163,12 @@ def dedup(vectors: DataFrame, least: float = 0.9, cell_size: int = 1_000, most_c
     joined = spark.createDataFrame([], "a long, b long")
     for e in edges:
         joined = joined.unionByName(e)
-    groups = components(distinct.select("id"), joined)
-    known = distinct.join(none, "id", "left").join(groups, "id").select(
-        "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        F.col("component").alias("component_id"))
-    found = rows.join(known, "embedding").select("vec_id", "n_links", "component_id").dropDuplicates(["vec_id"])
-    return vectors.select("vec_id").join(found, "vec_id", "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component_id", "vec_id").alias("component_id")).withColumn(
+    groups = settled(components(distinct.select("id"), joined).join(distinct.select("id", "least"), "id"))
+    names = groups.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = (distinct.select("id", "embedding", "copies").join(none, "id", "left")
+             .join(groups.select("id", "component"), "id").join(names, "component")
+             .select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"))
+    found = rows.join(known, "embedding").select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
+    alone = unusable(vectors).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return found.unionByName(alone).withColumn(
         "kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -138,6 +138,7 @@ def pack(pieces: DataFrame, key: list[str], length: str = "length", capacity: in
          grain: int = 16) -> DataFrame:
     """Give each piece a place: adds ``sequence_id`` and ``offset``, keeps all other columns.
 
+    Input columns of these two names are replaced; no other name of a column matters.
     ``key`` orders the pieces of a width; rows equal in all of it are interchangeable. Every
     ``length`` must be from 1 to ``capacity``. Widths are lengths in units of ``grain``, rounded up, so
     the histogram has at most capacity / grain rows; it and the patterns made from it are all
@@ -145,9 +146,12 @@ def pack(pieces: DataFrame, key: list[str], length: str = "length", capacity: in
     width says which sequence it goes to. Offsets have no gaps. An empty table stays empty.
     """
     room = capacity // grain
-    wide = settled(pieces.withColumn("_width", F.ceil(F.col(length) / grain).cast("int"))
-                   .withColumn("_one", F.lit(1).cast("long")))
-    histogram = {r["_width"]: r["n"] for r in wide.groupBy("_width").agg(F.count("*").alias("n")).collect()}
+    # The row travels as one value, so that none of its columns meets one of those used here.
+    order = [f"key{i}" for i in range(len(key))]
+    wide = settled(pieces.select(
+        F.struct("*").alias("row"), F.ceil(F.col(length) / grain).cast("int").alias("width"),
+        F.lit(1).cast("long").alias("one"), *[F.col(k).alias(o) for k, o in zip(key, order)]))
+    histogram = {r["width"]: r["n"] for r in wide.groupBy("width").agg(F.count("*").alias("n")).collect()}
     if histogram and (min(histogram) < 1 or max(histogram) > room):
         raise ValueError(f"lengths must be from 1 to {capacity}")
     # For each (width, pattern): the first global rank, pieces per sequence, first sequence, first slot.
@@ -173,9 +177,9 @@ def pack(pieces: DataFrame, key: list[str], length: str = "length", capacity: in
         nth = r - low[k]
         return pd.DataFrame({"sequence_id": base[k] + nth // per[k], "slot": slots[k] + nth % per[k]})
 
-    ranked = running_total(wide, ["_width", *key], "_one", "_rank")
-    placed = ranked.withColumn("_place", place("_rank"))
+    ranked = running_total(wide, ["width", *order], "one", "rank").select("row", place("rank").alias("place"))
+    placed = ranked.select("row", "place.sequence_id", "place.slot", F.col("row").getField(length).alias("filled"))
     before = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    return (placed.select(*pieces.columns, "_place.sequence_id", "_place.slot")
-            .withColumn("offset", F.coalesce(F.sum(length).over(before), F.lit(0)).cast("long"))
-            .drop("slot"))
+    kept = [F.col("row").getField(c).alias(c) for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    return (placed.withColumn("offset", F.coalesce(F.sum("filled").over(before), F.lit(0)).cast("long"))
+            .select(*kept, "sequence_id", "offset"))

@@ -7,12 +7,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _fit(vector):
+    return (F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+            & F.exists(vector, lambda x: x != 0))
+
+
 def usable(df: DataFrame, column: str = "embedding") -> DataFrame:
     """Rows with an id whose vector is not null or zero and has only finite components, as doubles."""
     v = F.col(column).cast("array<double>")
     return (df.where(F.col("vec_id").isNotNull()).select("vec_id", v.alias("embedding"))
-            .where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-                   & F.exists("embedding", lambda x: x != 0)))
+            .where(_fit("embedding")))
+
+
+def unusable(df: DataFrame, column: str = "embedding") -> DataFrame:
+    """``vec_id`` of the rows that :func:`usable` leaves out."""
+    v = F.col(column).cast("array<double>")
+    return (df.select("vec_id", v.alias("embedding"))
+            .where(F.col("vec_id").isNull() | ~F.coalesce(_fit("embedding"), F.lit(False))).select("vec_id"))
 
 
 def matrix(column) -> np.ndarray:
