@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta, timezone
 
 from tideline.operators import errors
@@ -16,6 +17,20 @@ def test_phase_timers(spark):
     assert got["ship"].p95_ms == 7
 
 
+def test_percentiles_are_exact_beyond_any_sketch(spark):
+    rng = random.Random(5)
+    runs = [("combine", rng.randrange(-9_000, 3_000_000)) for _ in range(60_000)]
+    runs += [("skewed", rng.choice([4095, 4096, 4097])) for _ in range(1_000)] + [(None, 3), ("none", None)]
+    got = {r.phase: r for r in runlog.phase_timers(
+        spark.createDataFrame(runs, "phase string, duration_ms bigint")).collect()}
+    for phase in ("combine", "skewed", None):
+        values = sorted(n for p, n in runs if p == phase)
+        at = [values[-(-len(values) * p // 100) - 1] for p in (50, 95)]
+        assert [got[phase].p50_ms, got[phase].p95_ms] == at
+        assert (got[phase].n_runs, got[phase].total_ms) == (len(values), sum(values))
+    assert (got["none"].n_runs, got["none"].p50_ms, got["none"].total_ms) == (1, None, None)
+
+
 def test_only_fatal_errors_are_metered(spark):
     rows = [(T0 + timedelta(seconds=s), fatal) for s, fatal in
             [(0, True), (59, True), (60, True), (61, False)]]

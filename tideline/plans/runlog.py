@@ -6,10 +6,11 @@ import time
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 10_000
+# Values of one block of a histogram.
+BLOCK_MS = 4096
 RUNS_SCHEMA = "phase string, started_ms bigint, duration_ms bigint, started boolean, ended boolean"
 
 
@@ -32,20 +33,45 @@ class Phases:
         spark.createDataFrame(self.rows, RUNS_SCHEMA).coalesce(1).write.mode("overwrite").parquet(path)
 
 
-def phase_timers(runs: DataFrame) -> DataFrame:
-    """Per phase: count, extremes, total and percentiles of ``duration_ms``.
+def percentiles(counts: DataFrame, percents: dict[str, int]) -> DataFrame:
+    """Exact discrete percentiles of ``duration_ms`` per phase: the value at rank ceil(n * percent / 100).
 
-    Percentiles are mergeable sketches, exact while a phase has fewer runs than
-    ``ACCURACY``; no phase is gathered in one place.
+    ``counts``: phase, duration_ms, n, a row per value. Sums by block of ``BLOCK_MS`` values find the block
+    a rank lies in, then only that block is ordered, so no phase is gathered in one place.
     """
-    return runs.groupBy("phase").agg(
-        F.count(F.lit(1)).alias("n_runs"),
+    some = counts.where("duration_ms IS NOT NULL").withColumn("_block", F.expr(f"duration_ms div {BLOCK_MS}"))
+    upto = Window.partitionBy("phase").orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranks = F.array(*[
+        F.struct(F.lit(name).alias("name"), F.expr(f"(_total * {percent} + 99) div 100").alias("rank"))
+        for name, percent in percents.items()])
+    blocks = (
+        some.groupBy("phase", "_block").agg(F.sum("n").alias("_n"))
+        .withColumns({"_upto": F.sum("_n").over(upto), "_total": F.sum("_n").over(Window.partitionBy("phase"))})
+        .select(F.col("phase").alias("_phase"), F.col("_block").alias("_at"), "_upto",
+                (F.col("_upto") - F.col("_n")).alias("_before"), F.explode(ranks).alias("_wanted"))
+        .where("_wanted.rank > _before AND _wanted.rank <= _upto")
+    )
+    inside = Window.partitionBy("phase", "_wanted.name").orderBy("duration_ms").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    # A run may have no phase: its null is a group of its own.
+    met = some.join(blocks, F.col("phase").eqNullSafe(F.col("_phase")) & (F.col("_block") == F.col("_at"))).withColumn(
+        "_reached", F.col("_before") + F.sum("n").over(inside) >= F.col("_wanted.rank"))
+    return met.groupBy("phase").agg(*[
+        F.min(F.when(F.col("_reached") & (F.col("_wanted.name") == name), F.col("duration_ms"))).alias(name)
+        for name in percents])
+
+
+def phase_timers(runs: DataFrame) -> DataFrame:
+    """Per phase: count, extremes, total and exact percentiles of ``duration_ms``."""
+    counts = runs.groupBy("phase", "duration_ms").agg(F.count(F.lit(1)).alias("n"))
+    timers = counts.groupBy("phase").agg(
+        F.sum("n").alias("n_runs"),
         F.min("duration_ms").alias("min_ms"),
         F.max("duration_ms").alias("max_ms"),
-        F.sum("duration_ms").cast("bigint").alias("total_ms"),
-        F.percentile_approx("duration_ms", F.lit(0.5), F.lit(ACCURACY)).alias("p50_ms"),
-        F.percentile_approx("duration_ms", F.lit(0.95), F.lit(ACCURACY)).alias("p95_ms"),
+        F.sum(F.col("duration_ms") * F.col("n")).cast("bigint").alias("total_ms"),
     )
+    marks = percentiles(counts, {"p50_ms": 50, "p95_ms": 95}).withColumnRenamed("phase", "_phase")
+    return timers.join(marks, F.col("phase").eqNullSafe(F.col("_phase")), "left").drop("_phase")
 
 
 def fatal_errors(reports: DataFrame, minutes: int = 1) -> DataFrame:
