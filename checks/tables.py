@@ -174,6 +174,10 @@ def listings(spark: SparkSession, sf: str) -> DataFrame:
     return local.unionByName(extra).unionByName(missing)
 
 
+# Events of one millisecond have files of one name: what tells them apart is the event.
+ATTEMPTED_FILE = ("file_name", "event_id")
+
+
 def attempts(spark: SparkSession, sf: str) -> DataFrame:
     """agent, cycle, file_name, ok: every event is one attempted file; 200 events a cycle."""
     return events(spark, sf).select(
@@ -184,13 +188,13 @@ def attempts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def after_listing(spark: SparkSession, sf: str) -> DataFrame:
-    """agent, cycle, file_name: the directory after each cycle.
+    """agent, cycle, file_name, event_id: the directory after each cycle.
 
     Files of failed attempts are gone but for every 1001st, files of every 13th
     event were rotated away meanwhile.
     """
     kept = (F.col("ok") & (F.col("event_id") % 13 != 0)) | (F.col("event_id") % 1001 == 0)
-    return attempts(spark, sf).where(kept).select("agent", "cycle", "file_name")
+    return attempts(spark, sf).where(kept).select("agent", "cycle", *ATTEMPTED_FILE)
 
 
 TELEMETRY_KEYS = {

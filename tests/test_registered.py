@@ -50,6 +50,6 @@ def repeated(spark, tmp_path_factory):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["agg6_zero_fill"])
+@pytest.mark.parametrize("name", ["agg6_zero_fill", "agg7_ship_statistics", "jn3_missing", "job6_ship_stats"])
 def test_repeated_events_equal_the_twin(spark, repeated, name):
     assert compare.mismatch(spark, compare.database(repeated), repeated, name) is None

@@ -74,14 +74,16 @@ def sync_candidates(listing: DataFrame, parity_exclusions: bool = False) -> Data
     return beyond_gap(local, missing)
 
 
-def ship_statistics(attempts: DataFrame, after: DataFrame) -> DataFrame:
+def ship_statistics(attempts: DataFrame, after: DataFrame,
+                    file_keys: Sequence[str] = ("file_name",)) -> DataFrame:
     """AGG7 / JOB6: per agent and cycle what was tried, rotated away and lost.
 
     ``num_shipped`` counts attempts, lost ones included; ``num_delivered`` those
     that succeeded. A failed file that still exists aborts its cycle: the row then
-    has ``aborted`` set and is not a statistic to report.
+    has ``aborted`` set and is not a statistic to report. ``file_keys`` tell the files
+    of a cycle apart, where one name came up more than once.
     """
-    keys = ["agent", "cycle", "file_name"]
+    keys = ["agent", "cycle", *file_keys]
     present = after.groupBy(*keys).agg(F.lit(True).alias("_present"))
     flagged = attempts.join(present, keys, "left").withColumn("_gone", F.col("_present").isNull())
     return flagged.groupBy("agent", "cycle").agg(
