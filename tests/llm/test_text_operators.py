@@ -4,6 +4,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from tideline.llm import language, license, ngram_join, quality, toxicity
@@ -36,6 +37,20 @@ def test_language_backs_off_to_grams_and_leaves_letterless_texts_undetermined(sp
     assert language.fit(documents(spark, [])).predict("the") == ("und", 0.0)
 
 
+def test_words_are_scored_once(spark, monkeypatch):
+    rng = random.Random(1)
+    rows = [(i, prose(rng, lang, 40), lang, "s", 1) for i in range(60) for lang in ("en", "de")]
+    model = language.fit(documents(spark, rows), orders=(4, 3, 2, 1))
+    asked, grams = [], language.grams
+    monkeypatch.setattr(language, "grams", lambda word, n: asked.append(word) or grams(word, n))
+    texts = [" ".join("".join(chr(97 + n // 26 ** k % 26) for k in range(4)) for n in range(at, at + 10_000)) for at in range(0, 70_000, 10_000)]
+    first = [model.predict(t) for t in texts]
+    asked.clear()
+    assert [model.predict(t) for t in texts] == first and not asked
+    alone = np.array([model.word(w) for w in texts[0].split()[:50]])
+    assert np.allclose(alone, model.scores(texts[0].split()[:50]), atol=1e-6)
+
+
 def test_a_rare_language_is_learned_beside_frequent_ones(spark):
     rng = random.Random(3)
     rows = [(i, prose(rng, "en" if i % 2 else "de", 20), "en" if i % 2 else "de", "s", 1) for i in range(6000)]

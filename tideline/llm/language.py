@@ -21,7 +21,7 @@ from tideline.llm.tokens import slices
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 #: Words whose scores a worker remembers; beyond it the memory is emptied.
-REMEMBERED = 60_000
+REMEMBERED = 200_000
 #: Sampled documents of a language, whatever the number of languages.
 LEAST_EACH = 100
 
@@ -53,18 +53,36 @@ class Model:
     at: dict[str, int] = field(default_factory=dict)
     rows: np.ndarray | None = None
 
-    def word(self, word: str) -> np.ndarray:
-        """A known word's log frequencies, or the mean of its longest known n-grams', or nothing."""
-        if word in self.words.at:
-            found = self.words.table[self.words.at[word]]
-            return found - found.sum() / len(found)
+    def scores(self, words: list[str]) -> np.ndarray:
+        """For each word a known word's log frequencies, or the mean of its longest known n-grams', or nothing."""
+        out = np.zeros((len(words), len(self.langs)))
+
+        def put(rows: list[int], found: np.ndarray) -> None:
+            out[rows] = found - (found.sum(1) / len(self.langs))[:, None]
+
+        known = [(i, self.words.at[w]) for i, w in enumerate(words) if w in self.words.at]
+        if known:
+            rows, hits = map(list, zip(*known))
+            put(rows, self.words.table[hits])
+        left = [i for i, w in enumerate(words) if w not in self.words.at]
         for n in sorted(self.grams, reverse=True):
-            known = self.grams[n].at
-            hits = [known[x] for x in grams(word, n) if x in known]
-            if hits:
-                found = self.grams[n].table[hits].sum(0) / len(hits)
-                return found - found.sum() / len(found)
-        return np.zeros(len(self.langs))
+            at, rows, starts, hits, others = self.grams[n].at, [], [], [], []
+            for i in left:
+                mine = [at[x] for x in grams(words[i], n) if x in at]
+                if mine:
+                    rows.append(i)
+                    starts.append(len(hits))
+                    hits += mine
+                else:
+                    others.append(i)
+            if rows:
+                sizes = np.diff([*starts, len(hits)]).astype(np.float32)
+                put(rows, np.add.reduceat(self.grams[n].table[hits], starts) / sizes[:, None])
+            left = others
+        return out
+
+    def word(self, word: str) -> np.ndarray:
+        return self.scores([word])[0]
 
     def forget(self) -> None:
         """Give the memory of words back."""
@@ -77,11 +95,12 @@ class Model:
         if self.rows is None or len(self.at) > REMEMBERED:
             self.at, self.rows = {}, np.zeros((REMEMBERED, len(self.langs)))
         at = self.at
-        for w in [w for w in set(words) if w not in at]:
-            n = at[w] = len(at)
-            if n >= len(self.rows):  # one text with more words than are remembered
-                self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
-            self.rows[n] = self.word(w)
+        new = list(set(words).difference(at))
+        n = len(at)
+        while n + len(new) > len(self.rows):  # one text with more words than are remembered
+            self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
+        self.rows[n:n + len(new)] = self.scores(new)
+        at.update(zip(new, range(n, n + len(new))))
         total = self.rows[list(map(at.__getitem__, words))].sum(0)
         odds = np.exp(total - total.max())
         best = int(np.argmax(odds))
