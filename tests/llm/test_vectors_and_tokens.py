@@ -168,6 +168,22 @@ def test_chunks_encode_as_the_whole_text(text):
     assert np.frombuffer(encode([text])[0], "<u4").tolist() == want
 
 
+def test_what_is_asked_for_again_is_not_encoded_again(monkeypatch):
+    asked = []
+
+    class Counted(tokens.Encoder):
+        def word(self, word):
+            asked.append(word)
+            return super().word(word)
+
+    monkeypatch.setattr(tokens, "REMEMBERED", 500)
+    encode = Counted(VOCABULARY)
+    texts = [f"the House, {' '.join(f'w{chr(97 + i)}{chr(97 + k)}{chr(97 + k // 26)}' for k in range(300))}" for i in range(20)]
+    want = [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(encode([t])[0], "<u4").tolist() for t in texts] == want
+    assert asked.count("the") == asked.count("house") == 1
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 50_000), st.integers(0, 2**32 - 1), st.just(7)), max_size=700),
        st.integers(0, 700), st.integers(0, 700))

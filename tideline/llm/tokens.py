@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -14,14 +14,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Chunks and words remembered within a task. Beyond it the memory is emptied, nothing else changes.
-REMEMBERED = 120_000
+#: Chunks, words among them, of one generation of a task's memory. Changes cost, not results.
+REMEMBERED = 200_000
 #: Chunks of printable ASCII and Latin letters that have one composed form and one lower-case letter.
 LETTER = "a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e"
 PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]*")
 #: Fixed value: the vocabulary's own rule for words, on lower-case plain chunks.
 WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[^0-9{LETTER}]+")
 
+#: Marks that often end a chunk: a run of them is one word by that rule.
+MARKS = ".,;:!?)\""
+
 
 def _byte_letters() -> list[str]:
     """The printable letter that stands for each byte in a byte-level vocabulary."""
@@ -30,6 +33,28 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in own else next(others) for b in range(256)]
 
 
+class Memory(dict):
+    """Values by key, computed when first asked for. What a whole generation did not ask for is forgotten."""
+
+    def __init__(self, compute: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.compute, self.most, self.before = compute, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.before.get(key)
+        if found is None:
+            found = self.compute(key)
+        if len(self) >= self.most:
+            self.before = self.copy()
+            self.clear()
+        self[key] = found
+        return found
+
+    def forget(self) -> None:
+        self.clear()
+        self.before = {}
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit integers.
 
@@ -45,39 +70,30 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
+        self.chunks = Memory(self.chunk, REMEMBERED)
 
     def word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            shown = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
-            found = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-            self.words[word] = found
-        return found
+        shown = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def chunk(self, chunk: str) -> bytes:
-        if PLAIN.fullmatch(chunk) and "<|" not in chunk:
-            return b"".join([self.word(w) for w in WORDS.findall(chunk.lower())])
+        if (chunk.isprintable() if chunk.isascii() else PLAIN.fullmatch(chunk)) and "<|" not in chunk:
+            lower = chunk.lower()
+            word = lower.rstrip(MARKS)
+            found = [word, lower[len(word):]] if word.isalpha() else WORDS.findall(lower)
+            # A word is a chunk too: it is remembered as one.
+            if found and found[0] == chunk:
+                return self.word(chunk)
+            return b"".join([self.chunks[w] for w in found if w])
         return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.chunks) > REMEMBERED:
-            self.chunks = {"": b""}
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        known = self.chunks
-        for chunk in {c for chunks in split for c in chunks}:
-            if chunk not in known:
-                known[chunk] = self.chunk(chunk)
         get = self.chunks.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in split]
-
+        return [b"".join(map(get, (t or "").replace("\n", " ").split(" "))) for t in texts]
 
     def forget(self) -> None:
         """Give the memory back: a worker that has ended a task may wait long for the next."""
-        self.chunks, self.words = {"": b""}, {}
+        self.chunks.forget()
 
 
 @lru_cache(maxsize=1)
