@@ -1,3 +1,5 @@
+import gzip
+import io
 import os
 import random
 
@@ -9,7 +11,7 @@ from tests import reference_model as model
 from tideline.operators import inventory, retention
 from tideline.operators.inventory import DIR_KEYS
 from tideline.plans import compact, problems, rounds, ship
-from tideline.sources import archive, files
+from tideline.sources import archive, files, reading
 
 AS_OF = "2024-01-31 12:00:00"
 NOW = inventory.clock_ms(AS_OF)
@@ -254,3 +256,41 @@ def test_bad_directories_are_quarantined_and_idle_folders_not_read(spark, tmp_pa
     assert rounds.shipping_folders(root, done.units) == [f"{root}/s@main@h"]
     bad = problems.recorded(spark, out).where("is_fatal").collect()
     assert [(r.dir_name, r.error_kind) for r in bad] == [("bad@name", "bad_directory")]
+
+
+def test_many_small_files_are_read_by_few_tasks_and_not_listed_by_the_driver(spark, tmp_path):
+    root = str(tmp_path)
+    for i in range(120):
+        put(root, f"s@main@h{i % 3}", NOW + i, b"%d a\n%d b" % (i, i))
+    lines = files.log_lines(spark, root)
+    assert lines.rdd.getNumPartitions() <= 4
+    # The scans are of the ranges, a table of our own: no file of the spool is an input of the plan.
+    assert not [f for f in lines.inputFiles() if "@main@" in f]
+    assert sorted(r.line for r in lines.collect()) == sorted(f"{i} {x}" for i in range(120) for x in "ab")
+
+
+def test_a_line_is_in_one_range_wherever_the_cuts_lie(monkeypatch):
+    rng = random.Random(7)
+    for _ in range(2000):
+        data = rng.choice([b"", reading.BOM]) + bytes(rng.choice(b"a\r\nb\xef") for _ in range(rng.randint(0, 25)))
+        step = rng.randint(1, 9)
+        monkeypatch.setattr(reading, "BLOCK", rng.randint(3, 6))
+        got = []
+        for start in range(0, max(len(data), 1), step):
+            source = io.BytesIO(data)
+            source.seek(start)
+            for found in reading.lines_from(source, start, start + step if start + step < len(data) else None):
+                got += found
+        assert got == data.removeprefix(reading.BOM).splitlines()
+
+
+def test_packed_and_grown_files_are_read_whole_and_gone_ones_left_out(spark, tmp_path):
+    folder = tmp_path / "s@main@h"
+    folder.mkdir()
+    (folder / "a.gz").write_bytes(gzip.compress(b"one\ntwo\n" * 50))
+    (folder / "grown").write_bytes(b"three\nfour\n")
+    rows = [("s", "main", "h", name, f"file:{folder}/{name}", 3) for name in ("a.gz", "grown", "gone")]
+    found = spark.createDataFrame(
+        rows, "service string, category string, host string, file_name string, path string, size_bytes bigint")
+    got = [r.line for r in files.lines_of(found).orderBy("file_name", "block", "pos").collect()]
+    assert got == ["one", "two"] * 50 + ["three", "four"]

@@ -13,7 +13,7 @@ from tideline.operators import inventory, retention
 from tideline.operators.inventory import DIR_KEYS, MAX_LOOK_BACK_DAYS
 from tideline.operators.joins import join_keyed, settled
 from tideline.plans import catalogue, compact, problems, retain, runlog, ship
-from tideline.session import scratch_dir
+from tideline.session import qualified, scratch_dir
 from tideline.sources import archive, files, index
 
 
@@ -104,11 +104,10 @@ def run_round(spark: SparkSession, spool: str, archive_root: str, as_of: str, ro
     published = False
     if units.limit(1).count():
         with log.phase("ship"):
-            oldest = units.agg(F.min("first_label")).first()[0]
-            lines = files.log_lines(spark, shipping_folders(spool, units), from_name=f"@{oldest}")
             # Exactly the planned files: one that appeared since waits for the next round.
-            planned = join_keyed(lines, todo.select(*DIR_KEYS, "file_name").distinct(),
-                                 [*DIR_KEYS, "file_name"], "inner")
+            key = names.destination_key(*[F.col(k) for k in DIR_KEYS])
+            path = F.concat_ws("/", F.lit(qualified(spark, spool)), key, "file_name")
+            planned = files.lines_of(todo.dropDuplicates([*DIR_KEYS, "file_name"]).withColumn("path", path))
             merged = compact.merged_lines(planned, units, as_of, shard_bytes)
             sources = join_keyed(todo, units.select(*DIR_KEYS, "archive_name"), DIR_KEYS, "inner")
             published = archive.publish(merged, units, sources, archive_root, round_id, as_of)

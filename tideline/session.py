@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import threading
 import uuid
@@ -75,16 +74,6 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
-def hidden_folders(spark: SparkSession, root: str) -> list[str]:
-    """Folders of ``root`` that Spark's own listing leaves out by their first letter, as path patterns."""
-    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{{_,.}}*")
-    fs = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = [s.getPath() for s in (fs.globStatus(pattern) or []) if s.isDirectory()]
-    # Spark lists _a=b itself.
-    return [re.sub(r"([{}\[\]*?\\])", r"\\\1", p.toString()) for p in found
-            if p.getName().startswith(".") or "=" not in p.getName()]
-
-
 def read_folders(spark: SparkSession, root: str, column: str, wanted: Callable[[str], bool],
                  schema: str) -> DataFrame:
     """Parquet below ``root/<column>=<value>`` for the wanted values only.

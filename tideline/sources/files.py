@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -10,9 +11,12 @@ from pyspark.sql import functions as F
 
 from tideline.functions import names, predicates
 from tideline.operators import inventory
-from tideline.operators.joins import join_keyed
-from tideline.session import hidden_folders
-from tideline.sources import walk
+from tideline.operators.joins import join_keyed, settled
+from tideline.session import qualified
+from tideline.sources import reading, walk
+
+# Files that one task opens at most, however small they are.
+FILES_A_TASK = 4096
 
 
 def _part(path: Column, from_end: int) -> Column:
@@ -24,10 +28,12 @@ def _decoded(path: Column) -> Column:
     return F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
 
 
-def spool_roots(spark: SparkSession, root: str | list[str]) -> list[str]:
-    """``root`` and the folders in it that begin with ``_`` or a dot, which a listing finds only by name."""
-    roots = [root] if isinstance(root, str) else list(root)
-    return roots + [path for r in roots for path in hidden_folders(spark, r)]
+def _listed(entries: DataFrame) -> DataFrame:
+    """Rows of :func:`walk.entries`; a directory that can't be listed is an error."""
+    failed = F.raise_error(F.concat(F.lit("can't list "), F.col("path"), F.lit(": "), F.col("error")))
+    return entries.select(
+        "dir_name", F.when(F.col("error").isNull(), F.col("file_name")).otherwise(failed).alias("file_name"),
+        "size_bytes", "path")
 
 
 def rotated_files(spark: SparkSession, root: str | list[str],
@@ -39,11 +45,7 @@ def rotated_files(spark: SparkSession, root: str | list[str],
     while the listing runs is left out; a directory that can't be listed fails the job
     (:func:`tideline.sources.index.advance` records it instead).
     """
-    listed = walk.entries(walk.directories(spark, root))
-    failed = F.raise_error(F.concat(F.lit("can't list "), F.col("path"), F.lit(": "), F.col("error")))
-    listing = listed.select(
-        "dir_name", F.when(F.col("error").isNull(), F.col("file_name")).otherwise(failed).alias("file_name"),
-        "size_bytes", "path")
+    listing = _listed(walk.entries(walk.directories(spark, root)))
     return names.with_service_identity(listing.where(~predicates.excluded(F.col("file_name"), exclude)))
 
 
@@ -82,29 +84,56 @@ def lookback_days(as_of: str, days: int) -> list[str]:
     return [str(today - timedelta(days=n)) for n in range(days + 1)]
 
 
+def _folders(spark: SparkSession, root: str | list[str]) -> DataFrame:
+    """``dir_name`` and ``path`` of the folders of a root, or of those in a list."""
+    if isinstance(root, str):
+        return walk.directories(spark, root)
+    found = [(path.rstrip("/").rsplit("/", 1)[-1], qualified(spark, path)) for path in root]
+    return spark.createDataFrame(found, "dir_name string, path string")
+
+
 def log_lines(spark: SparkSession, root: str | list[str],
               from_name: str | None = None) -> DataFrame:
     """SRC4: the lines of all rotated files, in no particular row order.
 
-    ``block`` and ``pos`` order the lines of a file: the byte where the split
-    starts, and a number that rises within the split. Files of any size are thus
-    read in parallel and still have an exact line order. ``from_name`` is a
-    constant lower bound on the file name, which skips whole files. A list of folders
-    is read as it is; of a single root all folders are.
+    Of a single root all service directories are read, of a list of folders each as it is; only files
+    directly in them, and none that begin with ``_`` or a dot. ``from_name`` is a constant lower
+    bound on the file name: files below it are not opened. For the rest see :func:`lines_of`.
     """
-    root = spool_roots(spark, root) if isinstance(root, str) else root
-    lines = spark.read.text(root, recursiveFileLookup=True)
+    service = names.with_service_identity(_folders(spark, root)).where("dir_ok")
+    found = _listed(walk.entries(service)).where(~F.col("file_name").rlike("^[_.]"))
     if from_name is not None:
-        lines = lines.where(F.col("_metadata.file_name") >= from_name)
-    path = _decoded(F.col("_metadata.file_path"))
-    tagged = lines.select(
-        _part(path, 2).alias("dir_name"),
-        _part(path, 1).alias("file_name"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("pos"),
-        F.col("value").alias("line"),
-    )
-    return names.with_service_identity(tagged).where("dir_ok").drop("dir_name", "dir_ok")
+        found = found.where(F.col("file_name") >= from_name)
+    return lines_of(names.with_service_identity(found))
+
+
+def lines_of(found: DataFrame) -> DataFrame:
+    """The lines of the files in ``found``: directory keys, ``file_name``, ``path``, ``size_bytes``.
+
+    ``block`` and ``pos`` order the lines of a file: the byte where the range
+    starts, and the line's number in the range. Files of any size are thus
+    read in parallel and still have an exact line order. Tasks open the files, thousands of
+    small ones each: the driver keeps no list of them. A file that has gone since it was listed has no
+    lines, one that has grown is read to its end.
+    """
+    spark = found.sparkSession
+    step = range_bytes(spark)
+    size = F.when(reading.packed(F.col("file_name")), 0).otherwise(F.coalesce("size_bytes", F.lit(0))).cast("bigint")
+    sized = found.select(*inventory.DIR_KEYS, "file_name", "path", size.alias("size"))
+    starts = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(step).cast("bigint"))
+    ranges = settled(sized.select("*", F.explode(starts).alias("block")))
+    total = ranges.agg(F.count("*"), F.sum(F.least(F.col("size") - F.col("block"), F.lit(step)))).first()
+    least = min(total[0], int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(1, least, math.ceil(total[0] / FILES_A_TASK), math.ceil((total[1] or 0) / step))
+    end = F.when(F.col("block") + step < F.col("size"), F.col("block") + step)
+    dealt = ranges.select(*inventory.DIR_KEYS, "file_name", "path", "block", end.alias("end")).repartition(tasks)
+    return dealt.mapInArrow(reading.read_ranges, reading.LINES)
+
+
+def range_bytes(spark: SparkSession) -> int:
+    """Bytes of a file that are read in one go: ``spark.sql.files.maxPartitionBytes``."""
+    text = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(text)
 
 
 def numbered_lines(lines: DataFrame) -> DataFrame:
