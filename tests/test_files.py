@@ -294,3 +294,16 @@ def test_packed_and_grown_files_are_read_whole_and_gone_ones_left_out(spark, tmp
         rows, "service string, category string, host string, file_name string, path string, size_bytes bigint")
     got = [r.line for r in files.lines_of(found).orderBy("file_name", "block", "pos").collect()]
     assert got == ["one", "two"] * 50 + ["three", "four"]
+
+
+def test_deletions_are_dealt_over_the_tasks(spark, tmp_path):
+    made = [put(str(tmp_path), "s@main@h", NOW + i, b"x") for i in range(20)]
+    rows = [(f"file:{tmp_path}/s@main@h/{name}", i > 0) for i, name in enumerate(made)]
+    flagged = spark.createDataFrame(rows, "path string, to_delete boolean").coalesce(1)
+    spark.sparkContext.setJobGroup("deletions", "")
+    archive.delete_files(flagged)
+    spark.sparkContext.setJobGroup("", "")
+    assert os.listdir(tmp_path / "s@main@h") == made[:1]
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for job in tracker.getJobIdsForGroup("deletions") for s in tracker.getJobInfo(job).stageIds]
+    assert max(tracker.getStageInfo(s).numTasks for s in stages if tracker.getStageInfo(s)) >= 4

@@ -24,6 +24,8 @@ from tideline.operators.inventory import KEYS
 from tideline.operators.joins import settled
 from tideline.session import matching_paths
 
+# Files that one task removes at most, about.
+FILES_A_TASK = 4096
 CATALOGUE_SCHEMA = (
     "dir_date date, file_name string, service string, category string, host string, "
     "n_files bigint, bytes bigint, last_label string, publish_id string"
@@ -207,4 +209,6 @@ def delete_files(flagged: DataFrame, path: str = "path") -> None:
             yield batch.slice(0, 0)
 
     doomed = settled(flagged.where("to_delete").select(F.col(path).alias("path")))
-    doomed.mapInArrow(remove, "path string").write.format("noop").mode("overwrite").save()
+    # Names take few bytes, and so few partitions of the table, however many files there are.
+    tasks = max(int(doomed.sparkSession.conf.get("spark.sql.shuffle.partitions")), doomed.count() // FILES_A_TASK)
+    doomed.repartition(tasks).mapInArrow(remove, "path string").write.format("noop").mode("overwrite").save()
