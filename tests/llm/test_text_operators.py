@@ -170,6 +170,29 @@ def test_join_of_empty_and_repeated_rows(spark):
     assert got == [(1, 1, 1), (1, 1, 1), (2, 0, 2), (None, 1, 1)]
 
 
+def test_a_large_group_of_near_copies_is_compared_in_proportion_to_its_members(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 301):  # most link with the base, a quarter with nothing, few with each other
+        words = list(base)
+        for at in rng.sample(range(150), rng.choice([3, 3, 4, 12])):
+            words[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    compared, verified = [], ngram_join.verified
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "verified", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(df).collect()}
+    assert got == brute_join(rows)
+    assert len({c for _, c in got.values()}) > 50
+    assert sum(compared) < 10 * len(rows)
+
+
 def test_shingles_of_many_texts_equal_those_of_each(spark):
     texts = ["a b c d e f", None, "", "É é Z z", "x " * 50, "one"]
     together = shingle_sets(texts)

@@ -7,8 +7,10 @@
    enumerate the 2-subsets of their prefix (two similar sets have one in common); large sets
    scan the inverted lists of the elements of theirs. The size from which scanning is cheaper
    is the boundary.
-3. Lists with the same members count once. Sets that meet are compared exactly, by rounds: with one
-   hub of each list first, then with eight, sixty-four, ... of what is left. What a round connects needs no
+3. Lists with the same members count once. An entry knows how many common elements its set can still have
+   if this is where it meets another first; two entries that can't have enough together are not compared.
+4. Sets that meet are compared exactly, by rounds: with one hub of each list first, the one whose elements
+   most sets have, then with eight, sixty-four, ... of what is left. What a round connects needs no
    more comparing, and a hub that met its whole list leaves it, so a large group of near copies
    needs few comparisons per member, and rounds go on until no list is left.
 """
@@ -166,8 +168,9 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 
 def prefixes(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """``class``, ``n``, ``prefix``: shared elements, those that fewest sets have first.
+    """``class``, ``n``, ``shared``, ``centre``, ``prefix``: shared elements, those that fewest sets have first.
 
+    ``shared`` is how many elements other sets have too, ``centre`` how many sets have an element on average.
     Elements that one set alone has come first in this order and can be left out, but they take
     places: what is kept is n - ceil(t n) + 2 long, less those. One kept element more than
     single elements need makes room for 2-subsets.
@@ -194,10 +197,11 @@ def prefixes(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
               .groupBy("bucket").applyInArrow(frequencies, "class long, n long, hash long, sets long"))
     # One set's elements at most: no more than its document has.
     mine = Window.partitionBy("class")
-    ranked = shared.withColumns({"rank": F.row_number().over(mine.orderBy("sets", "hash")), "m": F.count("*").over(mine)})
-    first = ranked.where(F.col("rank") <= F.col("m") + 2 - least_overlap_column(F.col("n"), percent))
-    return first.groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct("rank", "hash"))).alias("all")).select(
-        "class", "n", F.transform("all", lambda e: e["hash"]).alias("prefix"))
+    ranked = shared.withColumns({"rank": F.row_number().over(mine.orderBy("sets", "hash")), "shared": F.count("*").over(mine),
+                                "centre": F.sum("sets").over(mine) / F.col("n")})
+    first = ranked.where(F.col("rank") <= F.col("shared") + 2 - least_overlap_column(F.col("n"), percent))
+    return first.groupBy("class", "n", "shared", "centre").agg(F.sort_array(F.collect_list(F.struct("rank", "hash"))).alias("all")).select(
+        "class", "n", "shared", "centre", F.transform("all", lambda e: e["hash"]).alias("prefix"))
 
 
 def boundary(ordered: DataFrame, percent: int) -> int:
@@ -223,14 +227,21 @@ def boundary(ordered: DataFrame, percent: int) -> int:
 
 
 def meeting_keys(ordered: DataFrame, limit: int, percent: int) -> DataFrame:
-    """``key``, ``class``, ``n``, ``heavy``: sets that may link share a key, and one of a heavy key is large."""
+    """``key``, ``cap``, ``class``, ``n``, ``centre``, ``heavy``: sets that may link share a key, and one of a heavy key is large.
+
+    ``cap`` is the most elements a set can have in common with one that it shares no earlier key with:
+    those of the key and the shared ones that come after them.
+    """
+    rest = ["class", "n", "centre"]
     light = ordered.where((F.col("n") <= limit) & (F.size("prefix") > 1))
     pairs = F.expr("flatten(transform(sequence(1, size(prefix) - 1), i -> transform(sequence(i + 1, size(prefix)), "
-                   "j -> xxhash64(least(prefix[i - 1], prefix[j - 1]), greatest(prefix[i - 1], prefix[j - 1])))))")
-    subsets = light.select(F.explode(pairs).alias("key"), "class", "n", F.lit(False).alias("heavy"))
+                   "j -> struct(xxhash64(least(prefix[i - 1], prefix[j - 1]), greatest(prefix[i - 1], prefix[j - 1])) AS key, "
+                   "shared - j + 2 AS cap))))")
+    subsets = light.select(F.explode(pairs).alias("e"), *rest).select("e.*", *rest, F.lit(False).alias("heavy"))
     near = ordered.where((F.col("n") > limit) | (F.col("n") * 100 >= limit * percent))
     singles = near.where(F.size("prefix") > 1).select(
-        F.explode(F.expr("slice(prefix, 1, size(prefix) - 1)")).alias("key"), "class", "n", F.lit(True).alias("heavy"))
+        F.posexplode(F.expr("slice(prefix, 1, size(prefix) - 1)")).alias("at", "key"), "shared", *rest).select(
+        "key", (F.col("shared") - F.col("at")).alias("cap"), *rest, F.lit(True).alias("heavy"))
     return subsets.unionByName(singles)
 
 
@@ -254,11 +265,15 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def lists_once(keys: DataFrame, limit: int) -> DataFrame:
-    """``key``, ``heavy``, ``class``, ``n`` of one list for each set of members that can hold a link."""
+    """Rows of one list for each set of members that can hold a link.
+
+    Of lists with the same members the one whose elements come first stays: there all caps are the largest,
+    and two members that link meet first in no other of them.
+    """
     digest = [F.bit_xor(F.xxhash64("class", F.lit(i))).alias(f"d{i}") for i in range(2)]
-    stats = keys.groupBy("key", "heavy").agg(F.count("*").alias("c"), F.max("n").alias("top"), *digest)
+    stats = keys.groupBy("key", "heavy").agg(F.count("*").alias("c"), F.max("n").alias("top"), F.sum("cap").alias("caps"), *digest)
     useful = stats.where("c > 1").where(~F.col("heavy") | (F.col("top") > limit))
-    one = useful.groupBy("c", "d0", "d1").agg(F.min(F.struct("key", "heavy")).alias("l")).select("l.*")
+    one = useful.groupBy("c", "d0", "d1").agg(F.max(F.struct("caps", "key", "heavy")).alias("l")).select("l.key", "l.heavy")
     return keys.join(one, ["key", "heavy"])
 
 
@@ -266,15 +281,17 @@ def class_links(sets: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
     """Links ``a``, ``b`` between classes: enough to connect all that link, by comparing what shares a list."""
     limit = boundary(ordered, percent)
     keys = settled(lists_once(meeting_keys(ordered, limit, percent), limit).withColumn("label", F.col("class")))
-    fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (
+        (100 + percent) * F.least("cap", "hub_cap") >= percent * (F.col("n") + F.col("m")))
     on = ["key", "heavy"]
     links = tried = sets.sparkSession.createDataFrame([], "a long, b long")
     hubs_each = 1
     while not keys.isEmpty():
         # The same order in all lists, so that lists with many members in common choose the same hubs.
-        order = Window.partitionBy(*on).orderBy(F.xxhash64("label", F.lit(hubs_each)), F.xxhash64("class", F.lit(hubs_each)), "class")
+        by_label = [F.xxhash64("label", F.lit(hubs_each))] if hubs_each > 1 else []
+        order = Window.partitionBy(*on).orderBy(*by_label, F.desc("centre"), "class")
         hubs = settled(keys.withColumn("place", F.row_number().over(order)).where(F.col("place") <= hubs_each).select(
-            *on, F.col("class").alias("hub"), F.col("n").alias("m"), F.col("label").alias("hub_label")))
+            *on, F.col("class").alias("hub"), F.col("n").alias("m"), F.col("cap").alias("hub_cap"), F.col("label").alias("hub_label")))
         first = F.col("class") < F.col("hub")
         pairs = (keys.join(hubs, on).where("label <> hub_label").where(fits).select(
             F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b"),
@@ -283,12 +300,10 @@ def class_links(sets: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
         pairs = settled(pairs.join(tried, ["a", "b"], "left_anti") if hubs_each > 1 else pairs)
         found = settled(verified(pairs, sets, percent))
         tried, links = tried.unionByName(pairs.select("a", "b")), links.unionByName(found.select("a", "b"))
-        # What has one label is connected and needs no more comparing, though not all that is connected
-        # has one label yet. A hub is done with its list.
-        moves = settled(found.select(F.greatest("la", "lb").alias("label"), F.least("la", "lb").alias("to"))
-                        .groupBy("label").agg(F.min("to").alias("to")))
-        further = moves.select(F.col("label").alias("to"), F.col("to").alias("last"))
-        moves = moves.join(further, "to", "left").select("label", F.coalesce("last", "to").alias("to"))
+        # What is connected takes one label and needs no more comparing. A hub is done with its list.
+        named = found.select(F.col("la").alias("id")).union(found.select("lb")).distinct()
+        moves = components(named, found.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(
+            F.col("id").alias("label"), F.col("component").alias("to"))
         left = keys.join(hubs.select(*on, F.col("hub").alias("class")), [*on, "class"], "left_anti")
         left = settled(join_keyed(left, moves, ["label"]).withColumn("label", F.coalesce("to", "label")).drop("to"))
         still = left.groupBy(*on).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
