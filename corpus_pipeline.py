@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tideline.llm import language, mixing, ngram_join, packing, tokens, toxicity
 from tideline.llm.common import settled, table
 from tideline.llm.queries import VOCABULARY
+from tideline.operators.joins import join_keyed
 
 #: A document of at least this posterior is in a known language.
 LANGUAGE_LEAST = 0.5
@@ -56,16 +57,16 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
         F.col("doc_id").alias("row"), "component_id")
     rank = F.struct(F.col("doc.doc_id").isNull().alias("none"), "doc.doc_id", F.xxhash64("doc.text").alias("text"), "row")
     ranked = rows.select("row", rank.alias("rank")).join(groups, "row")
-    first = settled(ranked.groupBy("component_id").agg(F.min("rank").alias("rank")).select("rank.row"))
-    return rows.join(first, "row", "left_semi").select("doc.*")
+    first = ranked.groupBy("component_id").agg(F.min("rank").alias("rank")).select("rank.row")
+    return join_keyed(rows, first, ["row"], "left_semi").select("doc.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in as many copies as the mix takes of each: 0, 1 or 2. Rows without words have none."""
     rows = numbered(docs)
     sized = rows.select("row", "doc.doc_id", "doc.text", "doc.source")
-    copies = settled(mixing.mix(sized, keep=["row"]).where("copies > 0").select("row", "copies"))
-    return rows.join(copies, "row").select(
+    copies = mixing.mix(sized, keep=["row"]).where("copies > 0").select("row", "copies")
+    return join_keyed(rows, copies, ["row"], "inner").select(
         "doc", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select("doc.*")
 
 

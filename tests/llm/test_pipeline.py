@@ -88,3 +88,15 @@ def test_an_empty_table_passes_all_stages(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, str(tmp_path))
     assert docs.collect() == []
+
+
+def test_texts_stay_where_they_are_while_the_ids_of_what_is_kept_are_few(spark):
+    rows = [(i, f"some words of text {i}", "en", "a" if i % 2 else "b", 20) for i in range(40)]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for stage in (corpus_pipeline.one_of_near_copies, corpus_pipeline.mixed):
+            assert "SortMergeJoin" not in stage(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
