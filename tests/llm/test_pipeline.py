@@ -3,6 +3,9 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
+import pytest
+
 import corpus_pipeline
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -100,3 +103,24 @@ def test_texts_stay_where_they_are_while_the_ids_of_what_is_kept_are_few(spark):
             assert "SortMergeJoin" not in stage(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_texts_travel_in_small_batches(spark, tmp_path, name):
+    """Whatever the session had before: what a stage returns is computed when the caller asks for it."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    rows = [(i, "wide words " * 100_000, "en", "web") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1)
+    spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    spark.conf.unset(setting)
+    try:
+        dict(corpus_pipeline.STAGES)[name](spark, docs.limit(0), str(tmp_path))
+        seen = [r[0] for r in docs.select("text").mapInArrow(sizes, "n long").collect()]
+    finally:
+        spark.conf.unset(setting)
+    assert sum(seen) == 12 and max(seen) * len(rows[0][1]) < 2 * corpus_pipeline.BATCH_BYTES
