@@ -287,6 +287,16 @@ def make_folders(dirs: DataFrame, root: str) -> None:
     _in_tasks(dirs.select("dir_name"), create)
 
 
+def dealt(names_: DataFrame) -> DataFrame:
+    """Distinct (dir_name, file_name) rows over all tasks that a shuffle has.
+
+    What comes out of an aggregate takes few bytes, and adaptive execution would leave millions of files to
+    a task or two. A name that occurs often is one file and is written once.
+    """
+    tasks = int(names_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return names_.select("dir_name", "file_name").distinct().repartition(tasks)
+
+
 def put_files(df: DataFrame, root: str) -> None:
     """Write (dir_name, file_name, body) rows as files, from the tasks."""
     def write(batch):

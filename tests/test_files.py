@@ -307,3 +307,13 @@ def test_deletions_are_dealt_over_the_tasks(spark, tmp_path):
     tracker = spark.sparkContext.statusTracker()
     stages = [s for job in tracker.getJobIdsForGroup("deletions") for s in tracker.getJobInfo(job).stageIds]
     assert max(tracker.getStageInfo(s).numTasks for s in stages if tracker.getStageInfo(s)) >= 4
+
+
+def test_names_out_of_an_aggregate_are_written_by_many_tasks(spark):
+    from checks import tables
+
+    names_ = spark.range(3000).selectExpr("concat('d', id % 3) dir_name", "concat('f', id % 1000) file_name")
+    found = tables.dealt(names_).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in found) == 3000 and len(found) > 1
+    twice = tables.dealt(names_.unionByName(names_)).mapInArrow(lambda batches: batches, "dir_name string, file_name string")
+    assert twice.count() == 3000
