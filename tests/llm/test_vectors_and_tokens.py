@@ -250,3 +250,20 @@ def test_mix_meets_its_targets(spark):
     again = {r.doc_id: r.copies for r in mixing.mix(df.repartition(7)).collect()}
     assert again == {r.doc_id: r.copies for r in got}
     assert mixing.mix(df.limit(0)).collect() == []
+
+
+def test_blocks_of_queries_are_never_broadcast(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 8)))], VECTORS)
+    found = ann.search(df, every=4, k=3, shard_size=50, block=16)  # 8 shards, 7 blocks
+    lines = found._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line or "Exchange " in line:
+            below = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            assert "MapInArrow find" in "".join(lines[i:below]) or "asked" not in "".join(lines[i:below])
+    assert any("CartesianProduct" in line for line in lines)
+    x = cosines(np.array([r.embedding for r in df.orderBy("vec_id").collect()]))
+    got = {(r.query_id, r.rank): r.score for r in found.collect()}
+    assert len(got) == 300
+    assert all(abs(got[q, 1] - max(c for j, c in enumerate(x[q]) if j != q)) < 1e-9 for q in range(0, 400, 4))

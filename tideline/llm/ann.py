@@ -143,8 +143,9 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, shard_size: int = 2_
     blocks = -(-asked.count() // block)
     packed = settled(asked.groupBy("dim", F.pmod(F.xxhash64("rep"), F.lit(max(blocks, 1))).alias("block")).agg(
         F.collect_list(F.struct("rep", "embedding")).alias("asked")))
-    met = packed.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).join(
-        graphs, ["dim", "shard"])
+    # Blocks and indexes meet as two written tables do in nested loops: tasks read both where they lie. A join on the
+    # shard would copy each block for every shard, and broadcast those copies by the size of the one block on disk.
+    met = graphs.join(packed.hint("shuffle_replicate_nl"), "dim")
 
     def find(batches):
         for whole in batches:
