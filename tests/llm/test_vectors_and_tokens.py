@@ -1,9 +1,13 @@
 """Neighbours, embedding near-dedup, packing, mixing and token files."""
 
+import contextlib
 import math
+import os
 import random
+import threading
 import zlib
 from collections import Counter, defaultdict
+from contextlib import contextmanager
 
 import numpy as np
 import public_tokenizers
@@ -267,3 +271,58 @@ def test_blocks_of_queries_are_never_broadcast(spark):
     got = {(r.query_id, r.rank): r.score for r in found.collect()}
     assert len(got) == 300
     assert all(abs(got[q, 1] - max(c for j, c in enumerate(x[q]) if j != q)) < 1e-9 for q in range(0, 400, 4))
+
+
+@contextmanager
+def most_shuffled(spark):
+    """The most bytes that lay in Spark's local folders meanwhile, as a list of one."""
+    folders = [*spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+
+    def there():
+        total = 0
+        for top in folders:
+            for d, _, names in os.walk(top):
+                for name in names:
+                    with contextlib.suppress(OSError):  # files come and go
+                        total += os.stat(f"{d}/{name}").st_size
+        return total
+
+    most, over, before = [0], threading.Event(), there()
+
+    def watch():
+        while not over.wait(0.02):
+            most[0] = max(most[0], there() - before)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        yield most
+    finally:
+        over.set()
+        watcher.join()
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_vectors_without_clusters_are_not_copied_for_each_other(spark, kind):
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(2400, 24)).astype(np.float32)
+    x[:200] = x[300] + rng.normal(size=(200, 24)) * 0.3
+    x[2000:2300, 3] = 0.0
+    x[2100:2300] = x[2000:2200] * np.where(np.arange(24) == 3, -1, 1)  # -0.0 is 0.0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>")
+    with most_shuffled(spark) as most:
+        got = {r.vec_id: r.n_links for r in embedding_dedup.dedup(df, cell_size=24, block=64).collect()}  # 100 cells
+    assert most[0] < 12 * x.nbytes
+    c = cosines(x) >= 0.9
+    assert got == {i: int(c[i].sum()) - 1 for i in range(2400)}
+
+
+def test_vectors_that_share_a_digest_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "digest", lambda vector: F.pmod(F.xxhash64(vector), F.lit(150)))
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(200, 8))
+    x[150:] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + ODD, VECTORS)
+    c = cosines(x) >= 0.9
+    got = {r.vec_id: r.n_links for r in embedding_dedup.dedup(df).collect()}
+    assert got == {i: int(c[i].sum()) - 1 for i in range(200)} | {i: 0 for i, _ in ODD}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 
 from tideline.operators.joins import settled
 
-__all__ = ["components", "fanout", "running_total", "settled", "table", "words"]
+__all__ = ["components", "fanout", "running_total", "settled", "small_batches", "table", "words"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -27,6 +28,22 @@ def fanout(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
+    """Within, rows travel to Python workers in Arrow batches of about ``size`` bytes, for rows of megabytes.
+
+    Spark's own bound is 64 MB, of which executor and worker hold several copies for each task. Holds for what is run
+    within; only how many rows travel together changes.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def words(text):
     """Number of white-space separated words of a column; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
